@@ -1,14 +1,18 @@
 """Scaling, assignment by raw dot product, and the refinement loop."""
 
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from kinlink.functions.arrow import list_matrix, matrix_list
 from kinlink.operators.nearest import DOT_DECIMALS, dot_best, grid_best
@@ -18,6 +22,9 @@ CLUSTERS = 50
 MAX_ROUNDS = 20
 RESTARTS = 20
 
+# Relative rounding error of a double.
+EPSILON = 2.0**-52
+
 CENTROID_SCHEMA = T.StructType(
     [
         T.StructField("cluster_id", T.IntegerType()),
@@ -26,14 +33,57 @@ CENTROID_SCHEMA = T.StructType(
 )
 
 
+def _moments(vec):
+    """Per task: row count, mean and squared deviations of a vector column."""
+
+    def run(batches):
+        n, mean, spread = 0, 0.0, 0.0
+        for batch in batches:
+            points = list_matrix(batch.column(vec))[1]
+            if not len(points):
+                continue
+            batch_mean = points.mean(axis=0)
+            shift = batch_mean - mean
+            total = n + len(points)
+            spread = spread + ((points - batch_mean) ** 2).sum(axis=0)
+            spread = spread + shift**2 * (n * len(points) / total)
+            mean = mean + shift * (len(points) / total)
+            n = total
+        if n:
+            yield pa.RecordBatch.from_pydict(
+                {"n": pa.array([n]), "mean": pa.array([mean]), "spread": pa.array([spread])}
+            )
+
+    return run
+
+
 def dimension_stats(rows: DataFrame, vec: str) -> DataFrame:
-    """``(pos, mean, std)``: mean and population deviation per position; a zero deviation is 1."""
-    return (
-        rows.select(F.posexplode(vec).alias("pos", "value"))
+    """``(pos, mean, std)``: mean and population deviation per position; a zero deviation is 1.
+
+    Each task reduces its vectors to one row, so what is shuffled does not grow with the rows.
+    A variance within rounding of a constant column counts as zero.
+    """
+    parts = rows.select(vec).mapInArrow(
+        _moments(vec), "n bigint, mean array<double>, spread array<double>"
+    )
+    cells = parts.select(
+        "n", F.posexplode(F.arrays_zip("mean", "spread")).alias("pos", "cell")
+    ).select("pos", F.col("n").cast("double").alias("n"), "cell.mean", "cell.spread")
+    same_pos = Window.partitionBy("pos")
+    overall = F.sum(F.col("n") * F.col("mean")).over(same_pos) / F.sum("n").over(same_pos)
+    deviation = F.col("spread") + F.col("n") * F.pow(F.col("mean") - F.col("overall"), 2)
+    merged = (
+        cells.withColumn("overall", overall)
         .groupBy("pos")
-        .agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
-        .withColumn("std", F.when(F.col("std") == 0, F.lit(1.0)).otherwise(F.col("std")))
+        .agg(
+            F.sum("n").alias("n"),
+            F.max("overall").alias("mean"),
+            (F.sum(deviation) / F.sum("n")).alias("var"),
+        )
     )
+    noise = F.col("n") * EPSILON * F.col("var") + F.pow(F.col("n") * F.col("mean") * EPSILON, 2)
+    std = F.when(F.col("var") <= noise, F.lit(1.0)).otherwise(F.sqrt("var"))
+    return merged.select("pos", "mean", std.alias("std"))
 
 
 @dataclass(frozen=True)
@@ -226,14 +276,54 @@ def _as_vectors(cells: DataFrame, by: str, name: str) -> DataFrame:
     return packed.select(by, F.transform("packed", lambda cell: cell["value"]).alias(name))
 
 
-def group_means(rows: DataFrame, by: str, vec: str) -> DataFrame:
-    """``(cluster_id, centroid)``: the mean vector of each group of rows."""
+def _group_sums(by, vec):
+    """Per batch: the row count and the vector sum of each group."""
+
+    def run(batches):
+        for batch in batches:
+            groups = batch.column(by).dictionary_encode()
+            usable = pc.is_valid(groups).to_numpy(zero_copy_only=False)
+            valid, points = list_matrix(batch.column(vec))
+            codes = groups.indices.to_numpy(zero_copy_only=False)
+            points, codes = points[usable[valid]], codes[usable & valid].astype(np.int64)
+            if not len(points):
+                continue
+            order = np.argsort(codes, kind="stable")
+            present, starts = np.unique(codes[order], return_index=True)
+            sums = np.add.reduceat(points[order], starts, axis=0)
+            sizes = np.diff(np.append(starts, len(codes)))
+            cells = np.hstack([sizes[:, None], sums])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    groups.dictionary.take(pa.array(present)),
+                    matrix_list(np.ones(len(cells), dtype=bool), cells, pa.float64()),
+                ],
+                names=[by, "cells"],
+            )
+
+    return run
+
+
+def group_means(rows: DataFrame, by: str, vec: str, name: str = "centroid") -> DataFrame:
+    """``(by, n, name)``: size and mean vector of each group; null groups are left out.
+
+    Batches are summed before anything is shuffled, so a large group costs no more than others.
+    """
+    schema = T.StructType(
+        [rows.schema[by], T.StructField("cells", T.ArrayType(T.DoubleType()))]
+    )
     cells = (
-        rows.select(F.col(by).cast("int").alias("cluster_id"), F.posexplode(vec).alias("pos", "value"))
-        .groupBy("cluster_id", "pos")
-        .agg(F.avg("value").alias("value"))
+        rows.select(by, vec)
+        .mapInArrow(_group_sums(by, vec), schema)
+        .select(by, F.posexplode("cells").alias("pos", "value"))
+        .groupBy(by, "pos")
+        .agg(F.sum("value").alias("value"))
+    )
+    n = F.col("cells")[0]
+    sums = F.slice("cells", F.lit(2), F.size("cells") - 1)
+    return _as_vectors(cells, by, "cells").select(
+        by, n.cast("bigint").alias("n"), F.transform(sums, lambda total: total / n).alias(name)
     )
-    return _as_vectors(cells, "cluster_id", "centroid")
 
 
 def lloyd_step(points: DataFrame, vec: str, centroids: DataFrame) -> DataFrame:
@@ -276,20 +366,30 @@ def _held(centroids: DataFrame) -> Centroids:
 
 
 def kmeans_seed(
-    points: DataFrame, vec: str, k: int = CLUSTERS, restarts: int = RESTARTS, seed: int = 42
+    points: DataFrame,
+    vec: str,
+    k: int = CLUSTERS,
+    restarts: int = RESTARTS,
+    seed: int = 42,
+    parallelism: int = 4,
 ) -> tuple[DataFrame, float]:
-    """Start centres from the cheapest of several k-means runs, and their cost."""
+    """Start centres from the cheapest of several k-means runs, and their cost.
+
+    ``parallelism`` runs are submitted at a time, since one run leaves much of a cluster idle.
+    """
     spark = points.sparkSession
     rows = points.where(F.col(vec).isNotNull()).select(array_to_vector(vec).alias("features"))
     rows.persist()
+
+    def fit(turn):
+        model = KMeans(k=k, seed=seed + turn).fit(rows)
+        return model.summary.trainingCost, turn, model.clusterCenters()
+
     try:
-        best = None
-        for turn in range(restarts):
-            model = KMeans(k=k, seed=seed + turn).fit(rows)
-            cost = model.summary.trainingCost
-            if best is None or cost < best[1]:
-                best = (model.clusterCenters(), cost)
+        with ThreadPool(max(1, min(parallelism, restarts))) as pool:
+            runs = pool.map(inheritable_thread_target(spark)(fit), range(restarts))
     finally:
         rows.unpersist()
-    table = [(i, [float(x) for x in center]) for i, center in enumerate(best[0])]
-    return spark.createDataFrame(table, CENTROID_SCHEMA), best[1]
+    cost, _, centres = min(runs, key=lambda run: run[:2])
+    table = [(i, [float(x) for x in centre]) for i, centre in enumerate(centres)]
+    return spark.createDataFrame(table, CENTROID_SCHEMA), cost

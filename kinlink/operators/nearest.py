@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinlink.functions.arrow import list_matrix
+from kinlink.session import materialise
 
 TILE_ROWS = 16384
 STRIP_ROWS = 16384
@@ -162,11 +163,13 @@ def best_record(
     records without a signature, and queries whose group is empty, have no row.
     """
     key = [*on, vec]
-    known = records.where(F.col(vec).isNotNull()).groupBy(*key).agg(F.min("id").alias("id"))
+    known = materialise(
+        records.where(F.col(vec).isNotNull()).groupBy(*key).agg(F.min("id").alias("id")), "known"
+    )
     posed = queries.where(F.col(vec).isNotNull()).select("qid", *key)
-    asked = posed.select(*key).distinct()
-    settled = asked.join(known, key).select(*key, "id", F.lit(1.0).alias("score"))
-    left_open = asked.join(known, key, "left_anti")
+    asked = materialise(posed.select(*key).distinct().join(known, key, "left"), "asked")
+    settled = asked.where("id is not null").withColumn("score", F.lit(1.0))
+    left_open = asked.where("id is null").drop("id")
     graded = settled.unionByName(
         grid_best(left_open, known, on, vec, cosine_best, tile_rows, strip_rows)
     )

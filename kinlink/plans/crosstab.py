@@ -8,6 +8,7 @@ from kinlink.operators.crosstab import (
     guarded_crosstab,
     matched_records,
 )
+from kinlink.session import materialise
 
 
 def private_crosstab(
@@ -28,4 +29,6 @@ def private_crosstab(
     totals = group_totals(
         matched_records(records, links), skip_missing_payload, keep_missing_category
     )
+    # One row per category, read several times by the size gate and the merge.
+    totals = materialise(totals, "totals")
     return guarded_crosstab(totals, min_size, on_small, release_small_total, seed)

@@ -17,6 +17,7 @@ from kinlink.plans.crosstab import private_crosstab
 from kinlink.queries.data import block_links, document_records, nation_customer, table
 from kinlink.queries.sql import MATCHED_TOTALS, NATION_TOTALS, merge
 from kinlink.queries.sql import block_links as block_links_sql
+from kinlink.session import materialise
 
 LANGUAGES = ("de", "en", "es", "fr")
 
@@ -103,7 +104,7 @@ def averages(spark, sf_dir):
 
 def _matched_totals(spark, sf_dir):
     records, links = block_links(spark, sf_dir)
-    return group_totals(matched_records(records, links))
+    return materialise(group_totals(matched_records(records, links)), "totals")
 
 
 def masked(spark, sf_dir):

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinlink.functions.signatures import LONG, SHORT, signature_prefix
 from kinlink.operators.clustering import group_means
 from kinlink.plans.link import link_by_block
 from kinlink.plans.prepare import with_signature
@@ -59,7 +60,13 @@ def block_links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     """The prepared server documents, and the best one per client document of the same block."""
     records = signed_records(spark, sf_dir)
     links = link_by_block(signed_queries(spark, sf_dir), records, ["block"])
-    return records, materialise(links, "links")
+    return records, links
+
+
+def with_signatures(rows: DataFrame, name: str = "name") -> DataFrame:
+    """The long signature and its short prefix, written down; the name itself is dropped."""
+    signed = with_signature(rows, name, LONG).drop(name)
+    return materialise(signed.withColumn("sig50", signature_prefix(F.col("sig200"), SHORT)), "signed")
 
 
 def customer_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,8 +95,14 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def block_centroids(points: DataFrame) -> DataFrame:
+    """Start centres: the mean scaled vector of each block."""
+    renamed = points.withColumn("cluster_id", F.col("block").cast("int"))
+    return group_means(renamed, "cluster_id", "point").drop("n")
+
+
 def label_centroids(points: DataFrame) -> DataFrame:
-    return group_means(points, "label", "vec")
+    return group_means(points.withColumnRenamed("label", "cluster_id"), "cluster_id", "vec").drop("n")
 
 
 def nation_customer(spark: SparkSession, sf_dir: str) -> DataFrame:

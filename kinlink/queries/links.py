@@ -3,13 +3,14 @@
 from pyspark.sql import functions as F
 
 from kinlink.functions.scalars import clip_score
-from kinlink.functions.signatures import LONG, SHORT, signature, signature_prefix, unit_vector
+from kinlink.functions.signatures import unit_vector
 from kinlink.operators.clustering import assign_clusters, group_means
 from kinlink.operators.crosstab import matched_mask, matched_records
 from kinlink.operators.nearest import best_record
 from kinlink.plans.index import ClusterIndex, scaled_points
 from kinlink.plans.link import SCORE_THRESHOLD, link_by_block, link_by_cluster
 from kinlink.queries.data import (
+    block_centroids,
     block_links,
     customer_queries,
     customer_records,
@@ -17,6 +18,7 @@ from kinlink.queries.data import (
     signed_queries,
     signed_records,
     vectors,
+    with_signatures,
 )
 from kinlink.queries.sql import (
     CUSTOMER_QUERIES,
@@ -47,25 +49,16 @@ def candidate_scores(spark, sf_dir):
     """
     records = signed_records(spark, sf_dir)
     queries = signed_queries(spark, sf_dir)
-    units = records.where("sig50 is not null").select("block", unit_vector(F.col("sig50")).alias("u"))
-    cells = (
-        units.select("block", F.posexplode("u").alias("pos", "x"))
-        .groupBy("block", "pos")
-        .agg(F.avg("x").alias("x"), F.count(F.lit(1)).alias("n"))
-        .groupBy("block")
-        .agg(
-            F.max("n").alias("n_candidates"),
-            F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("cells"),
-        )
-    )
-    mean_score = F.aggregate(
-        F.zip_with("u", "cells", lambda x, cell: x * cell["x"]), F.lit(0.0), lambda a, x: a + x
+    units = records.select("block", unit_vector(F.col("sig50")).alias("u"))
+    blocks = group_means(units, "block", "u", "block_mean")
+    product = F.aggregate(
+        F.zip_with("u", "block_mean", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x
     )
     means = (
         queries.where("sig50 is not null")
         .withColumn("u", unit_vector(F.col("sig50")))
-        .join(cells, "block")
-        .select("qid", "n_candidates", F.round(mean_score, 6).alias("mean_score"))
+        .join(blocks, "block")
+        .select("qid", F.col("n").alias("n_candidates"), F.round(product, 6).alias("mean_score"))
     )
     best = link_by_block(queries, records, ["block"]).select(
         "qid", F.round("score", 9).alias("best_score")
@@ -114,23 +107,14 @@ def matched(spark, sf_dir):
 
 def customer_index(spark, sf_dir):
     """Customers clustered by the centre of each nation's scaled signatures."""
-    sig = signature(F.col("name"), LONG)
-    records = customer_records(spark, sf_dir).withColumn("sig200", sig).drop("name")
-    records = materialise(
-        records.withColumn("sig50", signature_prefix(F.col("sig200"), SHORT)), "customers"
-    )
-    points, scaler = scaled_points(records)
-    centroids = materialise(group_means(points, "block", "point"), "centroids")
+    points, scaler = scaled_points(with_signatures(customer_records(spark, sf_dir)))
+    centroids = materialise(block_centroids(points), "centroids")
     placed = assign_clusters(points, centroids, "point").drop("point")
     return ClusterIndex(materialise(placed, "index"), centroids, scaler)
 
 
 def linked_customers(spark, sf_dir):
-    sig = signature(F.col("name"), LONG)
-    queries = customer_queries(spark, sf_dir).withColumn("sig200", sig).drop("name")
-    queries = materialise(
-        queries.withColumn("sig50", signature_prefix(F.col("sig200"), SHORT)), "queries"
-    )
+    queries = with_signatures(customer_queries(spark, sf_dir))
     links = link_by_cluster(queries, customer_index(spark, sf_dir))
     return links.select("qid", "cluster_id", "id", F.round("score", 9).alias("score"))
 

@@ -3,20 +3,21 @@
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinlink.functions.signatures import LONG, SHORT, signature, signature_prefix
+from kinlink.functions.signatures import SHORT
 from kinlink.operators.crosstab import group_totals, guarded_crosstab
-from kinlink.operators.clustering import group_means
 from kinlink.plans.index import align_attributes, build_index, scaled_points, with_positions
 from kinlink.plans.link import link_by_block
 from kinlink.plans.prepare import with_signature
 from kinlink.queries.crosstabs import ORACLES as CROSSTAB_ORACLES
 from kinlink.queries.data import (
+    block_centroids,
     customer_records,
     document_queries,
     label_centroids,
     signed_records,
     table,
     vectors,
+    with_signatures,
 )
 from kinlink.queries.links import _scaled
 from kinlink.queries.sql import CUSTOMERS, LABEL_CENTROIDS, assigned, signatures
@@ -71,13 +72,10 @@ def centroid_table(spark, sf_dir):
 
 def index_roundtrip(spark, sf_dir):
     """Customers clustered from one centre per nation, written by cluster and read back."""
-    signed = customer_records(spark, sf_dir).withColumn("sig200", signature(F.col("name"), LONG))
-    aligned = align_attributes(signed.drop("name"), "payload", "category", "block")
-    prepared = materialise(
-        aligned.withColumn("sig50", signature_prefix(F.col("sig200"), SHORT)), "prepared"
-    )
+    records = align_attributes(customer_records(spark, sf_dir), "payload", "category", "block")
+    prepared = with_signatures(records)
     points, _ = scaled_points(prepared)
-    start = group_means(points, "block", "point")
+    start = block_centroids(points)
     index = build_index(prepared, start=start, max_rounds=1)
     path = scratch_path(spark, "index")
     write_index(with_positions(index), path)
@@ -109,7 +107,7 @@ def streamed_crosstab(spark, sf_dir):
     run = stream_matches(arrivals, link, f"{folder}/matches", f"{folder}/progress")
     run.awaitTermination()
     matched = records.join(kept_matches(spark, f"{folder}/matches"), "id", "left_semi")
-    groups = guarded_crosstab(group_totals(matched))
+    groups = guarded_crosstab(materialise(group_totals(matched), "totals"))
     return groups.select("label", "n", "total", F.round("avg", 6).alias("avg"))
 
 

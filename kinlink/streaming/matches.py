@@ -2,6 +2,7 @@
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -33,4 +34,10 @@ def stream_matches(
 
 def kept_matches(spark: SparkSession, matches_path: str) -> DataFrame:
     """``(id)``: every record matched so far, once, whichever batches matched it."""
-    return spark.read.parquet(matches_path).select("id").distinct()
+    try:
+        kept = spark.read.parquet(matches_path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "id bigint")
+    return kept.select("id").distinct()
