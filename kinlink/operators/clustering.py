@@ -15,8 +15,9 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from kinlink.functions.arrow import list_matrix, matrix_list
+from kinlink.functions.signatures import LONG
 from kinlink.operators.nearest import DOT_DECIMALS, dot_best, grid_best
-from kinlink.session import fits_broadcast
+from kinlink.session import broadcast_rows
 
 CLUSTERS = 50
 MAX_ROUNDS = 20
@@ -33,6 +34,15 @@ CENTROID_SCHEMA = T.StructType(
 )
 
 
+def clusters_for(records: int) -> int:
+    """Number of clusters that balances finding a cluster against searching it.
+
+    With k clusters a query costs k centre products of 200 terms and about records / k
+    record products of 50 terms, which is least at half the square root; 50 for 10,000.
+    """
+    return max(1, round(records**0.5 / 2))
+
+
 def _moments(vec):
     """Per task: row count, mean and squared deviations of a vector column."""
 
@@ -124,12 +134,11 @@ class Centroids:
     @classmethod
     def read(cls, table: DataFrame) -> "Centroids | None":
         """The table's centres, or None when they are too many to ship to every task."""
-        size = table.agg(
-            F.count(F.lit(1)).alias("rows"), F.max(F.size("centroid")).alias("width")
-        ).first()
-        if not fits_broadcast(size["rows"], size["width"] or 0):
+        bound = broadcast_rows(LONG)
+        rows = table.select("cluster_id", "centroid").limit(bound + 1).collect()
+        if len(rows) > bound:
             return None
-        rows = sorted(table.select("cluster_id", "centroid").collect(), key=lambda r: r[0])
+        rows.sort(key=lambda row: row["cluster_id"])
         return cls(
             np.array([row[0] for row in rows], dtype=np.int32),
             np.array([row[1] for row in rows], dtype=np.float64),

@@ -20,11 +20,12 @@ from pyspark.sql import types as T
 from kinlink.functions.arrow import list_matrix
 from kinlink.session import materialise
 
-TILE_ROWS = 16384
-STRIP_ROWS = 16384
+# Rows per side of one grid cell: about 13 MB of signatures, and seconds of work.
+TILE_ROWS = 65536
+STRIP_ROWS = 65536
 
-# Scores held at once inside a task (8 bytes each).
-_SCORES_AT_ONCE = 2_000_000
+# Scores held at once inside a task (4 bytes each).
+_SCORES_AT_ONCE = 4_000_000
 
 # Decimals to which real-valued dot products are rounded before they are ranked.
 DOT_DECIMALS = 6
@@ -34,47 +35,52 @@ def cosine_best(asked, known):
     """Row of ``known`` with the largest cosine for each row of ``asked``, first row on ties.
 
     Signature entries are below 2**20, so dot products and squared norms are integers that
-    doubles hold exactly. A rounded product finds the few rows near the maximum; only those
-    are scored as dot / sqrt(norm * norm) and ranked.
+    doubles hold exactly, and dot / sqrt(norm * norm) is the same in any order of summation.
     """
-    known_sq = (known * known).sum(axis=1)
-    asked_sq = (asked * asked).sum(axis=1)
-    known_unit = np.ascontiguousarray((known / np.sqrt(known_sq)[:, None]).T)
+    asked_sq, known_sq = (asked * asked).sum(axis=1), (known * known).sum(axis=1)
 
-    def rank(start, block):
-        rough = (block / np.sqrt(asked_sq[start : start + len(block)])[:, None]) @ known_unit
-        near = rough >= rough.max(axis=1, keepdims=True) - 1e-9
-        row, col = np.nonzero(near)
-        dots = np.einsum("ij,ij->i", block[row], known[col])
-        return row, col, dots / np.sqrt(asked_sq[start + row] * known_sq[col])
+    def score(row, col):
+        dots = np.einsum("ij,ij->i", asked[row], known[col])
+        return dots / np.sqrt(asked_sq[row] * known_sq[col])
 
-    return _first_best(asked, len(known), rank)
+    lengths = np.sqrt(known_sq)[:, None]
+    return _best(asked, known / np.where(lengths == 0, 1, lengths), score)
 
 
 def dot_best(asked, known):
     """Row of ``known`` with the largest rounded dot product, first row on ties."""
-    turned = np.ascontiguousarray(known.T)
 
-    def rank(start, block):
-        scores = np.round(block @ turned, DOT_DECIMALS)
-        row, col = np.nonzero(scores == scores.max(axis=1, keepdims=True))
-        return row, col, scores[row, col]
+    def score(row, col):
+        return np.round(np.einsum("ij,ij->i", asked[row], known[col]), DOT_DECIMALS)
 
-    return _first_best(asked, len(known), rank)
+    longest = np.sqrt((known * known).sum(axis=1).max()) or 1.0
+    return _best(asked, known / longest, score, tie=10.0**-DOT_DECIMALS / longest)
 
 
-def _first_best(asked, n_known, rank):
+def _best(asked, scaled, score, tie=0.0):
+    """Rank by ``score``, computed only where a single-precision product is near its maximum.
+
+    ``scaled`` rows are at most 1 long. The margin covers the worst rounding error of such a
+    product and, with ``tie``, the width within which scores count as equal, so the winner is
+    always among the rows that are scored.
+    """
+    lengths = np.sqrt((asked * asked).sum(axis=1))
+    lengths[lengths == 0] = 1.0
+    margin = 2 * (asked.shape[1] + 4) * 2.0**-24 + tie / lengths
+    turned = np.ascontiguousarray(scaled.T, dtype=np.float32)
     best = np.empty(len(asked), dtype=np.int64)
-    score = np.empty(len(asked), dtype=np.float64)
-    step = max(1, _SCORES_AT_ONCE // max(1, n_known))
+    top = np.empty(len(asked))
+    step = max(1, _SCORES_AT_ONCE // len(scaled))
     for start in range(0, len(asked), step):
-        block = asked[start : start + step]
-        row, col, value = rank(start, block)
+        part = slice(start, start + step)
+        rough = (asked[part] / lengths[part, None]).astype(np.float32) @ turned
+        floor = rough.max(axis=1) - margin[part].astype(np.float32)
+        row, col = np.nonzero(rough >= floor[:, None])
+        value = score(row + start, col)
         order = np.lexsort((col, -value, row))
-        first = np.unique(row[order], return_index=True)[1]
-        best[start : start + len(block)] = col[order][first]
-        score[start : start + len(block)] = value[order][first]
-    return best, score
+        first = order[np.unique(row[order], return_index=True)[1]]
+        best[part], top[part] = col[first], value[first]
+    return best, top
 
 
 def _tile_winners(vec, on, best_of):

@@ -7,6 +7,7 @@ from kinlink.functions.scalars import clip_score
 from kinlink.operators.clustering import assign_clusters
 from kinlink.operators.nearest import best_record
 from kinlink.plans.index import ClusterIndex, scaled_points
+from kinlink.session import materialise
 
 # Declared by the original protocol, and left unused by default there too.
 SCORE_THRESHOLD = 0.8
@@ -51,8 +52,9 @@ def link_by_cluster(
     ``queries`` has ``qid``, ``sig200`` and ``sig50`` and should be a written table.
     ``also_on`` narrows the candidates further, e.g. to the same block.
     """
-    placed = place_queries(queries, index, scaler)
     on = ["cluster_id", *(also_on or [])]
+    placed = place_queries(queries, index, scaler).select("qid", *on, "sig50")
+    placed = materialise(placed, "placed")
     return _finish(best_record(placed, index.records, on), min_score)
 
 

@@ -38,9 +38,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def fits_broadcast(rows: int, width: int) -> bool:
-    """True when ``rows`` vectors of ``width`` doubles may be shipped to every task."""
-    return rows * width * 8 <= BROADCAST_LIMIT
+def broadcast_rows(width: int) -> int:
+    """How many vectors of ``width`` doubles may be shipped to every task."""
+    return BROADCAST_LIMIT // (8 * width)
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
@@ -53,7 +53,7 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     cores = spark.sparkContext.defaultParallelism
     split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores * 4, key) if size < cores * split else df
+    return df.repartition(cores, key) if size < cores * split else df
 
 
 def _bytes(text: str) -> int:
