@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +23,10 @@ SHINGLE_PATTERN = r"(?s)(?=(...))."
 # Shingles per NumPy step: one slice of hashes stays inside the processor cache.
 _CHUNK = 16384
 
+# Characters whose shingles are made at once, and hashes remembered, inside a task.
+_PIECE = 200_000
+_KNOWN = 500_000
+
 
 def hash_family(length: int) -> list[tuple[int, int]]:
     """Multiplier and offset of each hash function, drawn from a generator seeded by its index."""
@@ -97,9 +102,7 @@ def minhash(grams: Column, length: int = LONG) -> Column:
         valid, bounds = list_bounds(column)
         offsets = np.append(bounds[:-1][valid], bounds[-1])
         coded = column.flatten().dictionary_encode()
-        numbers = np.fromiter(
-            (_gram_number(gram) for gram in coded.dictionary.to_pylist()), dtype=np.int64
-        )
+        numbers = np.fromiter(map(_gram_number, coded.dictionary.to_pylist()), dtype=np.int64)
         codes = coded.indices.to_numpy(zero_copy_only=False)
         values = numbers[codes] if len(codes) else numbers
         return matrix_list(valid, _minima(values, offsets, family, length), pa.int32())
@@ -107,8 +110,81 @@ def minhash(grams: Column, length: int = LONG) -> Column:
     return compute(grams)
 
 
+def _code_text(code: int) -> str:
+    return chr(code >> 42) + chr(code >> 21 & 0x1FFFFF) + chr(code & 0x1FFFFF)
+
+
+def _numbers(codes, known):
+    """Hash of each shingle code; ``known`` keeps the hashes of earlier calls."""
+    if len(known) > _KNOWN:
+        known.clear()
+    for code in codes:
+        if code not in known:
+            known[code] = _gram_number(_code_text(code))
+    return np.fromiter(map(known.__getitem__, codes), dtype=np.int64, count=len(codes))
+
+
+def _text_minima(texts, family, length, known):
+    """Signatures of texts that have at least one shingle each.
+
+    Three code points fit one 63-bit number, so the shingles of all texts are made, made
+    distinct per text and hashed once each as arrays.
+    """
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+    owner = np.repeat(np.arange(len(texts)), np.fromiter(map(len, texts), dtype=np.int64))
+    inside = owner[:-2] == owner[2:]
+    codes = ((points[:-2] << 42) | (points[1:-1] << 21) | points[2:])[inside]
+    coded = pa.array(codes).dictionary_encode()
+    vocabulary = coded.dictionary.to_pylist()
+    numbers = _numbers(vocabulary, known)
+    # Order of first appearance keeps the texts in order.
+    pairs = owner[:-2][inside] * len(vocabulary) + coded.indices.to_numpy()
+    text, gram = np.divmod(pc.unique(pa.array(pairs)).to_numpy(), len(vocabulary))
+    offsets = np.searchsorted(text, np.arange(len(texts) + 1))
+    return _minima(numbers[gram], offsets, family, length)
+
+
+def _pieces(texts):
+    """(row, text) pieces of at most ``_PIECE`` characters that overlap by two."""
+    for row, text in enumerate(texts):
+        if text is not None and len(text) >= SHINGLE:
+            for start in range(0, len(text) - SHINGLE + 1, _PIECE):
+                yield row, text[start : start + _PIECE + SHINGLE - 1]
+
+
+def _runs(pieces):
+    """Lists of pieces of about ``_PIECE`` characters together."""
+    run, size = [], 0
+    for piece in pieces:
+        run.append(piece)
+        size += len(piece[1])
+        if size >= _PIECE:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
+
+
 def signature(name: Column, length: int = LONG) -> Column:
-    return minhash(shingles(name_text(name)), length)
+    """MinHash signature of a name; null when it is missing or too short.
+
+    Equals ``minhash(shingles(name))``, with the shingles made inside the Arrow function: on
+    long texts most of the time goes into cutting them out one by one.
+    """
+    family = hash_family(length)
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def compute(column: pa.Array) -> pa.Array:
+        out = np.full((len(column), length), MODULUS, dtype=np.int32)
+        known = {}
+        for run in _runs(_pieces(column.to_pylist())):
+            rows = np.array([row for row, _ in run])
+            minima = _text_minima([text for _, text in run], family, length, known)
+            np.minimum.at(out, rows, minima)
+        valid = out[:, 0] < MODULUS
+        return matrix_list(valid, out[valid], pa.int32())
+
+    return compute(name_text(name))
 
 
 def signature_prefix(signature_200: Column, length: int) -> Column:

@@ -20,9 +20,9 @@ from pyspark.sql import types as T
 from kinlink.functions.arrow import list_matrix
 from kinlink.session import materialise
 
-# Rows per side of one grid cell: about 13 MB of signatures, and seconds of work.
-TILE_ROWS = 65536
-STRIP_ROWS = 65536
+# Rows per side of one grid cell: about 7 MB of signatures, and seconds of work.
+TILE_ROWS = 32768
+STRIP_ROWS = 32768
 
 # Scores held at once inside a task (4 bytes each).
 _SCORES_AT_ONCE = 4_000_000
@@ -70,12 +70,16 @@ def _best(asked, scaled, score, tie=0.0):
     turned = np.ascontiguousarray(scaled.T, dtype=np.float32)
     best = np.empty(len(asked), dtype=np.int64)
     top = np.empty(len(asked))
-    step = max(1, _SCORES_AT_ONCE // len(scaled))
+    step = min(len(asked), max(1, _SCORES_AT_ONCE // len(scaled)))
+    scores = np.empty((step, len(scaled)), dtype=np.float32)
+    near = np.empty((step, len(scaled)), dtype=bool)
     for start in range(0, len(asked), step):
-        part = slice(start, start + step)
-        rough = (asked[part] / lengths[part, None]).astype(np.float32) @ turned
-        floor = rough.max(axis=1) - margin[part].astype(np.float32)
-        row, col = np.nonzero(rough >= floor[:, None])
+        part = slice(start, min(start + step, len(asked)))
+        unit = (asked[part] / lengths[part, None]).astype(np.float32)
+        rough = np.matmul(unit, turned, out=scores[: len(unit)])
+        floor = (rough.max(axis=1) - margin[part]).astype(np.float32)[:, None]
+        hits = np.flatnonzero(np.greater_equal(rough, floor, out=near[: len(unit)]))
+        row, col = np.divmod(hits, len(scaled))
         value = score(row + start, col)
         order = np.lexsort((col, -value, row))
         first = order[np.unique(row[order], return_index=True)[1]]

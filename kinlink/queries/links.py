@@ -73,9 +73,10 @@ def best_in_block(spark, sf_dir):
 
 
 def above_threshold(spark, sf_dir):
+    """Customers linked inside their nation, weak winners left out."""
     links = link_by_block(
-        signed_queries(spark, sf_dir),
-        signed_records(spark, sf_dir),
+        with_signatures(customer_queries(spark, sf_dir)),
+        with_signatures(customer_records(spark, sf_dir)),
         ["block"],
         min_score=SCORE_THRESHOLD,
     )
@@ -131,11 +132,8 @@ QUERIES = {
 }
 
 
-def _linked(minimum=None):
-    return (
-        f"WITH {block_links_sql(minimum)} "
-        "SELECT qid, block, id, round(score, 9) AS score FROM link"
-    )
+def _linked(ctes):
+    return f"WITH {ctes} SELECT qid, block, id, round(score, 9) AS score FROM link"
 
 
 def _scaled(tag, length=200):
@@ -169,8 +167,10 @@ ORACLES = {
     "SELECT qid, block, count(*) AS n_candidates FROM pair GROUP BY qid, block",
     "candidate_scores": f"WITH {block_links_sql()} SELECT qid, count(*) AS n_candidates, "
     "round(avg(score), 6) AS mean_score, round(max(score), 9) AS best_score FROM pair GROUP BY qid",
-    "best_record": _linked(),
-    "link_min_score": _linked(SCORE_THRESHOLD),
+    "best_record": _linked(block_links_sql()),
+    "link_min_score": _linked(
+        block_links_sql(CUSTOMERS, CUSTOMER_QUERIES, minimum=SCORE_THRESHOLD)
+    ),
     "score_clip": f"WITH {LABEL_CENTROIDS}, r AS (SELECT id AS vec_id, "
     "round(4 * list_dot_product(v, c), 6) AS raw FROM pt JOIN c0 ON label = cluster_id) "
     "SELECT vec_id, raw, CASE WHEN raw > 1.01 THEN 0 ELSE raw END AS score FROM r",

@@ -49,10 +49,12 @@ def signatures(tag: str, source: str, length: int) -> str:
                       GROUP BY id)"""
 
 
-def block_links(minimum: float | None = None) -> str:
+def block_links(
+    records: str = DOCUMENTS, queries: str = DOCUMENT_QUERIES, minimum: float | None = None
+) -> str:
     """CTEs ending in ``pair`` (all scored pairs) and ``link(qid, block, id, score)``."""
     keep = "" if minimum is None else f" AND score >= {minimum}"
-    return f"""s AS ({DOCUMENTS}), q AS ({DOCUMENT_QUERIES}),
+    return f"""s AS ({records}), q AS ({queries}),
         {signatures('s', 's', 50)}, {signatures('q', 'q', 50)},
         known AS (SELECT id, block, sig::DOUBLE[] AS v FROM s JOIN s_sig USING (id)),
         asked AS (SELECT id AS qid, block, sig::DOUBLE[] AS v FROM q JOIN q_sig USING (id)),

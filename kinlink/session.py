@@ -43,22 +43,11 @@ def broadcast_rows(width: int) -> int:
     return BROADCAST_LIMIT // (8 * width)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """``df`` over all cores when its input is too small for that by itself.
+def spread(table: DataFrame, key: str) -> DataFrame:
+    """A table as read, over all cores when it has fewer scan splits than cores.
 
-    A table below one scan split (``spark.sql.files.maxPartitionBytes``) per core may come as
-    a single task. Anything larger already has enough splits and is not moved.
+    Such a table is at most one split (``spark.sql.files.maxPartitionBytes``) per core.
+    Anything larger is not moved.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores, key) if size < cores * split else df
-
-
-def _bytes(text: str) -> int:
-    number = text.lower().rstrip("b")
-    units = {"k": 10, "m": 20, "g": 30}
-    if number[-1] in units:
-        return int(number[:-1]) << units[number[-1]]
-    return int(number)
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores, key) if table.rdd.getNumPartitions() < cores else table

@@ -1,6 +1,8 @@
 """Plain Python versions of the steps, for small fixtures."""
 
+import contextlib
 import hashlib
+import io
 import math
 
 from kinlink.functions.signatures import MODULUS, hash_family
@@ -34,3 +36,10 @@ def best(queries, records):
             score, key = min(scored)
             found[qid] = (key, -score)
     return found
+
+
+def plan_text(df):
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain()
+    return out.getvalue()

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 from brute import best as plain_best
+from brute import plan_text
 from pyspark.sql import functions as F
 
 from kinlink.operators.nearest import best_record, cosine_best, dot_best
@@ -110,6 +111,6 @@ def test_dot_ties_go_to_first_row():
 def test_pairs_never_become_rows(spark):
     known = spark.createDataFrame(_rows(50, 8), SCHEMA)
     asked = spark.createDataFrame(_rows(50, 9), SCHEMA).withColumnRenamed("id", "qid")
-    plan = best_record(asked, known, ["block"])._jdf.queryExecution().toString()
+    plan = plan_text(best_record(asked, known, ["block"]))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert "FlatMapCoGroupsInArrow" in plan

@@ -2,6 +2,7 @@ import os
 
 import pytest
 from brute import best as plain_best
+from brute import plan_text
 from brute import signature as plain_signature
 from pyspark.sql import functions as F
 
@@ -85,7 +86,7 @@ def test_index_round_trip_and_pruning(spark, people, index, tmp_path):
     columns = sorted(placed.columns)
     assert sorted(map(str, back.select(columns).collect())) == sorted(map(str, placed.select(columns).collect()))
     one = back.where("cluster_id = 1").select("id", "sig50")
-    plan = one._jdf.queryExecution().toString()
+    plan = plan_text(one)
     assert "PartitionFilters: [isnotnull(cluster_id" in plan
     assert "payload" not in plan.split("ReadSchema")[1]
     write_centroids(index.centroids, str(tmp_path / "c"))

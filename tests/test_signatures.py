@@ -1,11 +1,14 @@
 import pytest
+from brute import plan_text
 from brute import signature as plain_signature
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from kinlink.functions import signatures
 from kinlink.functions.signatures import (
     hash_family,
+    minhash,
     shingle_hash,
     shingles,
     signature,
@@ -17,6 +20,12 @@ from kinlink.plans.prepare import prepare_records, unlinkable, with_signature
 NAMES = ["JOHN SMITH", "José Núñez", "A  B", "nan", "aaaaaaaa", "x😀y😀z", "line\nbreak", "abc"]
 
 
+def test_text_and_set_forms_agree(spark, small):
+    rows = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", F.col("text").alias("t"))
+    both = rows.select(signature(F.col("t"), 50).alias("a"), minhash(shingles(F.col("t")), 50).alias("b"))
+    assert both.where("a != b OR a IS NULL").count() == 0
+
+
 def test_known_values(spark):
     assert hash_family(3) == [(885441, 807917), (140892, 132344), (1002475, 118596)]
     row = spark.createDataFrame([("JOHN SMITH",)], "name string").select(
@@ -93,7 +102,8 @@ def test_any_text(spark, names):
     assert got == {i: plain_signature(n, 5) for i, n in enumerate(names)}
 
 
-def test_long_text_is_hashed_whole(spark):
+def test_long_text_is_hashed_whole(spark, monkeypatch):
+    monkeypatch.setattr(signatures, "_PIECE", 1000)
     text = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(60000)) + "#end"
     rows = spark.createDataFrame([(text,)], "name string")
     assert rows.select(signature(F.col("name"), 10).alias("s")).first()["s"] == plain_signature(text, 10)
@@ -101,5 +111,5 @@ def test_long_text_is_hashed_whole(spark):
 
 def test_signature_needs_no_shuffle(spark):
     rows = spark.range(10).selectExpr("id", "concat('name', id) AS name")
-    plan = rows.select("id", signature(F.col("name"), 50))._jdf.queryExecution().toString()
+    plan = plan_text(rows.select("id", signature(F.col("name"), 50)))
     assert "Exchange" not in plan
