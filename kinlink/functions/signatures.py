@@ -178,9 +178,9 @@ def signature(name: Column, length: int = LONG) -> Column:
         out = np.full((len(column), length), MODULUS, dtype=np.int32)
         known = {}
         for run in _runs(_pieces(column.to_pylist())):
-            rows = np.array([row for row, _ in run])
+            rows, starts = np.unique([row for row, _ in run], return_index=True)
             minima = _text_minima([text for _, text in run], family, length, known)
-            np.minimum.at(out, rows, minima)
+            out[rows] = np.minimum(out[rows], np.minimum.reduceat(minima, starts, axis=0))
         valid = out[:, 0] < MODULUS
         return matrix_list(valid, out[valid], pa.int32())
 
