@@ -2,23 +2,13 @@
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-
-
-def list_bounds(column):
-    """Validity and start offsets of a list column, null lists counting as empty."""
-    valid = np.asarray(pc.is_valid(column).to_numpy(zero_copy_only=False), dtype=bool)
-    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
-    offsets = np.zeros(len(column) + 1, dtype=np.int64)
-    np.cumsum(sizes, out=offsets[1:])
-    return valid, offsets
 
 
 def list_matrix(column, dtype=np.float64):
     """Valid rows of an equal-length list column as a matrix, and the validity of each row."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    valid, offsets = list_bounds(column)
+    valid = column.is_valid().to_numpy(zero_copy_only=False)
     rows = int(valid.sum())
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(dtype, copy=False)
     width = len(flat) // rows if rows else 0

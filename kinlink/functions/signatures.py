@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinlink.functions.arrow import list_bounds, list_matrix, matrix_list
+from kinlink.functions.arrow import list_matrix, matrix_list
 
 # Fixed values that the signatures depend on.
 SHINGLE = 3
@@ -89,27 +89,6 @@ def _minima(values, offsets, family, length):
     return out
 
 
-def minhash(grams: Column, length: int = LONG) -> Column:
-    """MinHash signature of a shingle array; null in, null out.
-
-    Arrow encodes the batch's shingles as a dictionary, so each distinct shingle is hashed
-    once per batch, and NumPy takes the minima; nothing is exploded or shuffled.
-    """
-    family = hash_family(length)
-
-    @F.arrow_udf(T.ArrayType(T.IntegerType()))
-    def compute(column: pa.Array) -> pa.Array:
-        valid, bounds = list_bounds(column)
-        offsets = np.append(bounds[:-1][valid], bounds[-1])
-        coded = column.flatten().dictionary_encode()
-        numbers = np.fromiter(map(_gram_number, coded.dictionary.to_pylist()), dtype=np.int64)
-        codes = coded.indices.to_numpy(zero_copy_only=False)
-        values = numbers[codes] if len(codes) else numbers
-        return matrix_list(valid, _minima(values, offsets, family, length), pa.int32())
-
-    return compute(grams)
-
-
 def _code_text(code: int) -> str:
     return chr(code >> 42) + chr(code >> 21 & 0x1FFFFF) + chr(code & 0x1FFFFF)
 
@@ -168,8 +147,9 @@ def _runs(pieces):
 def signature(name: Column, length: int = LONG) -> Column:
     """MinHash signature of a name; null when it is missing or too short.
 
-    Equals ``minhash(shingles(name))``, with the shingles made inside the Arrow function: on
-    long texts most of the time goes into cutting them out one by one.
+    The smallest value of each hash function over the hashes of ``shingles(name)``. The
+    shingles are made inside the Arrow function, as arrays: cutting them out one by one takes
+    most of the time on long texts.
     """
     family = hash_family(length)
 

@@ -5,7 +5,6 @@ from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
@@ -291,7 +290,7 @@ def _group_sums(by, vec):
     def run(batches):
         for batch in batches:
             groups = batch.column(by).dictionary_encode()
-            usable = pc.is_valid(groups).to_numpy(zero_copy_only=False)
+            usable = groups.is_valid().to_numpy(zero_copy_only=False)
             valid, points = list_matrix(batch.column(vec))
             codes = groups.indices.to_numpy(zero_copy_only=False)
             points, codes = points[usable[valid]], codes[usable & valid].astype(np.int64)

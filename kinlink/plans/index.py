@@ -72,7 +72,7 @@ def build_index(
     held: Centroids = lloyd_rounds(points, "point", start, max_rounds)
     centroids = held.table(prepared.sparkSession)
     records = assign_clusters(points, centroids, "point", held).drop("point", "sig200")
-    return ClusterIndex(records, centroids, scaler)
+    return ClusterIndex(materialise(records, "index"), centroids, scaler)
 
 
 def with_positions(index: ClusterIndex) -> DataFrame:

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from kinlink.functions.signatures import (
     LONG,
     SHORT,
-    minhash,
     name_text,
     shingle_hash,
     shingles,
@@ -44,18 +43,12 @@ def shingle_numbers(spark, sf_dir):
     return rows.select("gram", shingle_hash(F.col("gram")).alias("h"))
 
 
-def signatures_of_sets(spark, sf_dir):
-    """Signatures from shingle sets that the JVM makes."""
-    sig = minhash(shingles(F.col("name")), SHORT).cast("array<string>")
-    return document_records(spark, sf_dir).select(
-        F.col("id").alias("doc_id"), F.array_join(sig, ",").alias("sig")
-    )
-
+def document_signatures(length):
+    def run(spark, sf_dir):
+        signed = with_signature(document_records(spark, sf_dir), "name", length)
+        return signed.select(F.col("id").alias("doc_id"), csv_text(f"sig{length}").alias("sig"))
 
-def signatures_of_texts(spark, sf_dir):
-    """Signatures straight from the texts."""
-    signed = with_signature(document_records(spark, sf_dir), "name", LONG)
-    return signed.select(F.col("id").alias("doc_id"), csv_text("sig200").alias("sig"))
+    return run
 
 
 def prefix(spark, sf_dir):
@@ -97,8 +90,8 @@ QUERIES = {
     "name_cast": name_cast,
     "shingles": shingle_counts,
     "shingle_hash": shingle_numbers,
-    "minhash_50": signatures_of_sets,
-    "minhash_200": signatures_of_texts,
+    "minhash_50": document_signatures(SHORT),
+    "minhash_200": document_signatures(LONG),
     "signature_prefix": prefix,
     "unit_signature": unit_cells,
     "signature_projection": projection,

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from kinlink.functions import signatures
 from kinlink.functions.signatures import (
     hash_family,
-    minhash,
     shingle_hash,
     shingles,
     signature,
@@ -20,10 +19,16 @@ from kinlink.plans.prepare import prepare_records, unlinkable, with_signature
 NAMES = ["JOHN SMITH", "José Núñez", "A  B", "nan", "aaaaaaaa", "x😀y😀z", "line\nbreak", "abc"]
 
 
-def test_text_and_set_forms_agree(spark, small):
+def test_agrees_with_native_columns(spark, small):
     rows = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", F.col("text").alias("t"))
-    both = rows.select(signature(F.col("t"), 50).alias("a"), minhash(shingles(F.col("t")), 50).alias("b"))
-    assert both.where("a != b OR a IS NULL").count() == 0
+    hashes = rows.select("doc_id", F.explode(shingles(F.col("t"))).alias("g")).select(
+        "doc_id", shingle_hash(F.col("g")).alias("h")
+    )
+    minima = [F.min((a * F.col("h") + b) % 1048575).cast("int") for a, b in hash_family(4)]
+    native = hashes.groupBy("doc_id").agg(F.array(*minima).alias("native"))
+    both = rows.withColumn("s", signature(F.col("t"), 4)).join(native, "doc_id", "full")
+    assert both.where("NOT s <=> native").count() == 0
+    assert both.count() == rows.count()
 
 
 def test_known_values(spark):
