@@ -170,7 +170,8 @@ def best_record(
     """``(qid, on, id, score)``: the record with the highest signature cosine in the query's group.
 
     ``queries`` has ``qid``, ``records`` has ``id``; ties go to the lowest id. Queries or
-    records without a signature, and queries whose group is empty, have no row.
+    records without a signature, and queries whose group is empty, have no row. Both should be
+    written tables; the distinct signatures of each are written down when this is called.
     """
     key = [*on, vec]
     known = materialise(

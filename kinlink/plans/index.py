@@ -14,6 +14,7 @@ from kinlink.operators.clustering import (
     Centroids,
     Scaler,
     assign_clusters,
+    clusters_for,
     kmeans_seed,
     lloyd_rounds,
 )
@@ -54,20 +55,21 @@ def align_attributes(
 def build_index(
     prepared: DataFrame,
     start: DataFrame | None = None,
-    k: int = CLUSTERS,
+    k: int | None = CLUSTERS,
     restarts: int = RESTARTS,
     max_rounds: int = MAX_ROUNDS,
     seed: int = 42,
 ) -> ClusterIndex:
     """Cluster the server's prepared records, from given start centres or from k-means runs.
 
-    ``prepared`` has ``sig200`` and ``sig50`` and should be a written table. ``k`` should grow
-    with the table (the sample run has 200 records per cluster), since a query is compared
-    with every distinct signature of its cluster.
+    ``prepared`` has ``sig200`` and ``sig50`` and should be a written table. A query is compared
+    with every distinct signature of its cluster, so ``k`` should grow with the table;
+    ``k=None`` takes half the square root of its rows.
     """
     points, scaler = scaled_points(prepared)
     points = materialise(points, "points")
     if start is None:
+        k = clusters_for(points.count()) if k is None else k
         start, _ = kmeans_seed(points, "point", k, restarts, seed)
     held: Centroids = lloyd_rounds(points, "point", start, max_rounds)
     centroids = held.table(prepared.sparkSession)

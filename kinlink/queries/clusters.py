@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from kinlink.functions.scalars import cluster_flags
 from kinlink.operators.clustering import (
-    Centroids,
     Scaler,
     assign_clusters,
     centroid_scores,
@@ -80,8 +79,7 @@ def scaled_assignment(spark, sf_dir):
 
 def cluster_one_hot(spark, sf_dir):
     placed, centroids = _placed(spark, sf_dir)
-    k = Centroids.read(centroids).ids.size
-    flags = F.posexplode(cluster_flags(F.col("cluster_id"), k)).alias("cluster_id", "flag")
+    flags = F.posexplode(cluster_flags(F.col("cluster_id"), centroids.count())).alias("cluster_id", "flag")
     return placed.select(F.col("id").alias("vec_id"), flags)
 
 

@@ -5,13 +5,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def read_records(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def read_records(
+    spark: SparkSession, path: str, schema: StructType, multi_line: bool = False
+) -> DataFrame:
     """CSV records with a header and a declared schema (no inference pass).
 
-    Quoted fields may span lines and hold doubled quotes.
+    Quoted fields may hold doubled quotes, and with ``multi_line`` line breaks; such a file is
+    read by one task, others are split.
     """
     return spark.read.csv(
-        path, header=True, schema=schema, multiLine=True, escape='"', enforceSchema=False
+        path, header=True, schema=schema, multiLine=multi_line, escape='"', enforceSchema=False
     )
 
 

@@ -15,7 +15,7 @@ from kinlink.plans.prepare import prepare_records, with_signature
 from kinlink.queries import ORACLES, QUERIES
 from kinlink.queries.data import document_queries, document_records, table
 from kinlink.queries.stores import DOCUMENT_SCHEMA
-from kinlink.session import materialise
+from kinlink.session import materialise, scratch_path, spread
 from kinlink.sources.tables import (
     insert_columns,
     read_centroids,
@@ -117,7 +117,7 @@ def test_csv_keeps_odd_text(spark, tmp_path):
     rows = [(1, 'say "hi", you\nthere'), (2, None), (3, "José, #1"), (4, "back\\slash")]
     df = spark.createDataFrame(rows, "id int, name string")
     write_csv(df, str(tmp_path / "out"))
-    back = read_records(spark, str(tmp_path / "out"), df.schema)
+    back = read_records(spark, str(tmp_path / "out"), df.schema, multi_line=True)
     assert sorted(map(tuple, back.collect())) == rows
 
 
@@ -166,3 +166,21 @@ def test_entry_runs(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert __spark_entry__.queries().keys() == QUERIES.keys()
+
+
+def test_cluster_count_from_the_table(spark, people):
+    prepared = materialise(prepare_records(people[2], "name"), "p")
+    index = build_index(prepared, k=None, restarts=1, max_rounds=2)
+    assert index.centroids.count() == 6  # 128 records
+    assert index.records.where("cluster_id IS NULL").count() == 0
+
+
+def test_small_tables_are_spread_and_large_ones_are_not(spark, tmp_path):
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "one"))
+    assert spread(spark.read.parquet(str(tmp_path / "one")), "id").rdd.getNumPartitions() == 4
+    many = spark.range(0, 100, 1, 9)
+    assert "Exchange" not in plan_text(spread(many, "id"))
+
+
+def test_shared_folder_comes_from_the_session(spark):
+    assert scratch_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
