@@ -24,7 +24,7 @@ SHINGLE_PATTERN = r"(?s)(?=(...))."
 _CHUNK = 16384
 
 # Characters whose shingles are made at once, and hashes remembered, inside a task.
-_PIECE = 200_000
+_PIECE = 400_000
 _KNOWN = 500_000
 
 
@@ -67,10 +67,6 @@ def shingle_hash(gram: Column) -> Column:
     return total % MODULUS
 
 
-def _gram_number(gram: str) -> int:
-    return int(hashlib.sha256(gram.encode()).hexdigest(), 32) % MODULUS
-
-
 def _minima(values, offsets, family, length):
     """Smallest hash per list and function, over runs of whole lists."""
     rows = len(offsets) - 1
@@ -93,13 +89,22 @@ def _code_text(code: int) -> str:
     return chr(code >> 42) + chr(code >> 21 & 0x1FFFFF) + chr(code & 0x1FFFFF)
 
 
+def _hashes(codes):
+    """``shingle_hash`` of shingle codes: hex digits times their powers of 32, which repeat."""
+    digests = b"".join(hashlib.sha256(_code_text(code).encode()).digest() for code in codes)
+    halves = np.frombuffer(digests, dtype=np.uint8).reshape(len(codes), 32, 1)
+    digits = np.concatenate([halves >> 4, halves & 15], axis=2).reshape(len(codes), 64)
+    powers = 32 ** (np.arange(63, -1, -1) % 4)
+    return digits @ powers % MODULUS
+
+
 def _numbers(codes, known):
-    """Hash of each shingle code; ``known`` keeps the hashes of earlier calls."""
+    """Hashes of shingle codes; ``known`` keeps those of earlier calls."""
     if len(known) > _KNOWN:
         known.clear()
-    for code in codes:
-        if code not in known:
-            known[code] = _gram_number(_code_text(code))
+    new = [code for code in codes if code not in known]
+    if new:
+        known.update(zip(new, _hashes(new).tolist()))
     return np.fromiter(map(known.__getitem__, codes), dtype=np.int64, count=len(codes))
 
 

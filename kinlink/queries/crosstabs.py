@@ -64,7 +64,7 @@ def document_block(spark, sf_dir):
 
 
 def _nation_totals(spark, sf_dir):
-    return group_totals(nation_customer(spark, sf_dir))
+    return materialise(group_totals(nation_customer(spark, sf_dir)), "totals")
 
 
 def gate(spark, sf_dir):

@@ -8,13 +8,18 @@ import math
 from kinlink.functions.signatures import MODULUS, hash_family
 
 
+def gram_number(gram):
+    """Hex digits of the digest as digits of a base-32 number, without the remainder."""
+    number = 0
+    for digit in hashlib.sha256(gram.encode()).hexdigest():
+        number = number * 32 + int(digit, 16)
+    return number
+
+
 def signature(name, length):
     if name is None or len(name) < 3:
         return None
-    numbers = {
-        int(hashlib.sha256(name[i : i + 3].encode()).hexdigest(), 32)
-        for i in range(len(name) - 2)
-    }
+    numbers = {gram_number("".join(chars)) for chars in zip(name, name[1:], name[2:])}
     return [min((a * n + b) % MODULUS for n in numbers) for a, b in hash_family(length)]
 
 

@@ -31,18 +31,18 @@ def _centres(spark, matrix):
     )
 
 
-def _plain_rounds(data, centroids, rounds):
-    """Assign by raw dot product, average, stop when labels repeat."""
-    centroids, labels = centroids.copy(), None
+def _plain_rounds(data, centres, rounds):
+    """Labels by rounded dot product, then means of the non-empty clusters, until labels repeat."""
+    before = None
     for _ in range(rounds):
-        new = np.round(data @ centroids.T, 6).argmax(axis=1)
-        if labels is not None and (new == labels).all():
-            break
-        for i in range(len(centroids)):
-            if (new == i).any():
-                centroids[i] = data[new == i].mean(axis=0)
-        labels = new
-    return centroids
+        labels = np.round(data @ centres.T, 6).argmax(axis=1)
+        if np.array_equal(labels, before):
+            return centres
+        member = (labels[:, None] == np.arange(len(centres))).astype(float)
+        size = member.sum(axis=0)[:, None]
+        centres = np.where(size > 0, member.T @ data / np.maximum(size, 1), centres)
+        before = labels
+    return centres
 
 
 def test_stats_are_population_statistics(spark):
