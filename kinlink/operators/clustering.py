@@ -135,7 +135,7 @@ class Centroids:
         """The table's centres, or None when they are too many to ship to every task."""
         bound = broadcast_rows(LONG)
         rows = table.select("cluster_id", "centroid").limit(bound + 1).collect()
-        if len(rows) > bound:
+        if len(rows) > bound or (rows and len(rows) > broadcast_rows(len(rows[0]["centroid"]))):
             return None
         rows.sort(key=lambda row: row["cluster_id"])
         return cls(

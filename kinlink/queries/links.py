@@ -25,6 +25,7 @@ from kinlink.queries.sql import (
     CUSTOMERS,
     LABEL_CENTROIDS,
     assigned,
+    scaled,
     signatures,
 )
 from kinlink.queries.sql import block_links as block_links_sql
@@ -136,19 +137,8 @@ def _linked(ctes):
     return f"WITH {ctes} SELECT qid, block, id, round(score, 9) AS score FROM link"
 
 
-def _scaled(tag, length=200):
-    """CTEs ``{tag}_pt(id, v)``: z-scores of the unit signatures in ``{tag}_sig``."""
-    return f"""{tag}_cell AS (SELECT id, generate_subscripts(v, 1) AS pos,
-                 unnest(v) / sqrt(list_dot_product(v, v)) AS x
-               FROM (SELECT id, sig::DOUBLE[] AS v FROM {tag}_sig)),
-        {tag}_stat AS (SELECT pos, avg(x) AS mean, stddev_pop(x) AS std FROM {tag}_cell GROUP BY pos),
-        {tag}_z AS (SELECT id, pos, (x - mean) / CASE WHEN std = 0 THEN 1 ELSE std END AS x
-                    FROM {tag}_cell JOIN {tag}_stat USING (pos)),
-        {tag}_pt AS (SELECT id, list(x ORDER BY pos) AS v FROM {tag}_z GROUP BY id)"""
-
-
 _CLUSTER_LINK = f"""WITH s AS ({CUSTOMERS}), q AS ({CUSTOMER_QUERIES}),
-    {signatures('s', 's', 200)}, {signatures('q', 'q', 200)}, {_scaled('s')}, {_scaled('q')},
+    {signatures('s', 's', 200)}, {signatures('q', 'q', 200)}, {scaled('s')}, {scaled('q')},
     cent AS (SELECT cluster_id, list(x ORDER BY pos) AS c FROM (
                SELECT block AS cluster_id, pos, avg(x) AS x FROM s JOIN s_z USING (id) GROUP BY 1, 2)
              GROUP BY cluster_id),

@@ -19,8 +19,7 @@ from kinlink.queries.data import (
     vectors,
     with_signatures,
 )
-from kinlink.queries.links import _scaled
-from kinlink.queries.sql import CUSTOMERS, LABEL_CENTROIDS, assigned, signatures
+from kinlink.queries.sql import CUSTOMERS, LABEL_CENTROIDS, assigned, scaled, signatures
 from kinlink.session import materialise, scratch_path
 from kinlink.sources.tables import (
     read_centroids,
@@ -118,7 +117,7 @@ QUERIES = {
     "streaming_crosstab": streamed_crosstab,
 }
 
-_INDEX = f"""WITH s AS ({CUSTOMERS}), {signatures('s', 's', 200)}, {_scaled('s')},
+_INDEX = f"""WITH s AS ({CUSTOMERS}), {signatures('s', 's', 200)}, {scaled('s')},
     c0 AS (SELECT cluster_id, list(x ORDER BY pos) AS c FROM (
              SELECT block AS cluster_id, pos, avg(x) AS x FROM s JOIN s_z USING (id) GROUP BY 1, 2)
            GROUP BY cluster_id),

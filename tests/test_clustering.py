@@ -126,7 +126,8 @@ def test_seed_picks_cheapest_run(spark):
     points = _points(spark, data)
     table, cost = kmeans_seed(points, "vec", k=3, restarts=4)
     assert sorted(round(r["centroid"][0]) for r in table.collect()) == [-5, 0, 5]
-    assert cost <= kmeans_seed(points, "vec", k=3, restarts=1)[1]
+    alone = kmeans_seed(points, "vec", k=3, restarts=1)[1]
+    assert cost <= alone + 1e-9  # sums of doubles vary in their last place
 
 
 def test_cluster_count_matches_the_sample_run():
