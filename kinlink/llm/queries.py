@@ -3,18 +3,33 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from kinlink.llm.minhash import near_duplicates
+from kinlink.llm.mixing import fair_queue
+from kinlink.llm.toxicity import toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_fair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weighted fair queueing of all documents by source."""
+    mix = fair_queue(_table(spark, sf_dir, "documents"))
+    return mix.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents at similarity 0.85."""
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents by a factorization machine."""
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op3_fair_mixing": op3_fair_mixing,
+    "op10_toxicity": op10_toxicity,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
 }
 

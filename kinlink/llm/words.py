@@ -62,11 +62,12 @@ def span_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
     return mix((prefix[ends] - prefix[starts]) * power[starts] + (ends - starts).astype(np.uint64))
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray):
-    """Start and end byte of each word, and the text it is in."""
-    space = np.zeros(256, bool)
-    space[[0x20, 9, 10, 11, 12, 13]] = True
-    inside = ~space[data]
+def word_spans(data: np.ndarray, offsets: np.ndarray, parts: np.ndarray | None = None):
+    """Start and end byte of each word, and the text it is in; ``parts``: which bytes form words."""
+    if parts is None:
+        parts = np.ones(256, bool)
+        parts[[0x20, 9, 10, 11, 12, 13]] = False
+    inside = parts[data]
     opens, closes = inside.copy(), inside.copy()
     opens[1:] &= ~inside[:-1]
     closes[:-1] &= ~inside[1:]
