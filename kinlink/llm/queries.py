@@ -1,22 +1,44 @@
 """The operators of this package as queries on the given tables."""
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from kinlink.llm.bpe import encode_decode
+from kinlink.llm.huffman import token_files
+from kinlink.llm.language import language
 from kinlink.llm.minhash import near_duplicates
 from kinlink.llm.mixing import fair_queue
 from kinlink.llm.toxicity import toxicity
 
 
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents through files of Huffman codes."""
+    return token_files(_table(spark, sf_dir, "documents"), VOCABULARY)
+
+
 def op3_fair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weighted fair queueing of all documents by source."""
     mix = fair_queue(_table(spark, sf_dir, "documents"))
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents."""
+    return language(_table(spark, sf_dir, "documents"))
+
+
+def op8_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BPE encoding of all documents by an automaton, and decoding."""
+    return encode_decode(_table(spark, sf_dir, "documents"), VOCABULARY)
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents at similarity 0.85."""
     return near_duplicates(_table(spark, sf_dir, "documents"))
@@ -28,6 +50,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_huffman_tokens": op2_huffman_tokens,
+    "op4_language": op4_language,
+    "op8_bpe_automaton": op8_bpe_automaton,
     "op3_fair_mixing": op3_fair_mixing,
     "op10_toxicity": op10_toxicity,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,

@@ -7,7 +7,7 @@ from kinlink.session import scratch_path
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
+def store(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back; its shuffle files go at once.
 
     The written table outlives lost executors, and nothing written here needs the shuffles
@@ -18,7 +18,7 @@ def store(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(_CLEAN_UP, "false")
     spark.conf.set(_CLEAN_UP, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", codec).parquet(path)
     finally:
         spark.conf.set(_CLEAN_UP, before)
     again = spark.read.schema(df.schema).parquet(path)

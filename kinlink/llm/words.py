@@ -49,17 +49,29 @@ def span_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
     A polynomial with an odd base: the difference of two prefix sums, shifted back by the
     inverse power of the base.
     """
-    base = 0x5851F42D4C957F2D
     n = len(symbols)
-    power = np.full(n + 1, base, np.uint64)
-    power[0] = 1
-    np.cumprod(power, out=power)
+    power, inverse = _powers(n)
     prefix = np.zeros(n + 1, np.uint64)
     np.cumsum(symbols * power[:n], out=prefix[1:])
-    power.fill(pow(base, -1, 2**64))
-    power[0] = 1
-    np.cumprod(power, out=power)
-    return mix((prefix[ends] - prefix[starts]) * power[starts] + (ends - starts).astype(np.uint64))
+    return mix((prefix[ends] - prefix[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+
+
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, at least n of each; kept up to twice a slice."""
+    size = 2 * SLICE_BYTES if n <= 2 * SLICE_BYTES else n
+    if size not in _POWERS:
+        both = []
+        for step in (0x5851F42D4C957F2D, pow(0x5851F42D4C957F2D, -1, 2**64)):
+            power = np.full(size, step, np.uint64)
+            power[:1] = 1
+            both.append(np.cumprod(power))
+        if size > 2 * SLICE_BYTES:
+            return both[0], both[1]
+        _POWERS[size] = (both[0], both[1])
+    return _POWERS[size]
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray, parts: np.ndarray | None = None):
