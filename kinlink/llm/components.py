@@ -91,34 +91,42 @@ def star_edges(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple
     return ids[ids != roots], roots[ids != roots]
 
 
-def set_links(sets: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) that connect what links of ``100 * shared >= percent * union`` connect.
+def tiled(rows: DataFrame, group: str, weight, most_rows: int, most_weight: int) -> DataFrame:
+    """``rows`` of groups of two or more, once for each pair of tiles they take part in.
 
-    ``sets``: id long, grp long (only sets of one group are compared), elements array<long>
-    (distinct). Groups are cut into tiles of bounded size, and each task compares two tiles
-    by products of 0/1 matrices, counting shared elements exactly. It returns stars inside
-    its two tiles, at most one row for each set, never the pairs. Small groups share a task.
+    A group is cut by a hash of ``id`` into tiles of about ``most_rows`` rows and
+    ``most_weight``. One task has the pair (i, j) of tiles, ``side`` 0 being i and 1 being j;
+    i = j is the tile with itself, all on side 0. Groups of one tile share tasks.
     """
-    sizes = sets.groupBy("grp").agg(F.count("*").alias("n"), F.sum(F.size("elements")).alias("e"))
+    sizes = rows.groupBy(group).agg(F.count("*").alias("n"), F.sum(weight).alias("e"))
     sizes = store(sizes.where("n > 1"), "groups")
-    weight = sizes.agg(F.sum("e")).first()[0] or 0
-    packs = max(1, weight // (TILE_ELEMENTS // 4))
-    tiles = F.ceil(F.greatest(F.col("n") / TILE_ROWS, F.col("e") / TILE_ELEMENTS)).cast("int")
-    placed = sets.join(sizes.select("grp", tiles.alias("tiles")), "grp").withColumn(
+    packs = max(1, (sizes.agg(F.sum("e")).first()[0] or 0) // max(1, most_weight // 4))
+    tiles = F.ceil(F.greatest(F.col("n") / most_rows, F.col("e") / most_weight)).cast("int")
+    placed = rows.join(sizes.select(group, tiles.alias("tiles")), group).withColumn(
         "tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
     )
-    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
-    placed = placed.select("*", other).select(
-        "id",
-        "grp",
-        "elements",
-        F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("grp"), F.lit(packs))).otherwise(F.col("grp")).alias("task"),
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    task = F.when(F.col("tiles") == 1, F.pmod(F.xxhash64(group), F.lit(packs))).otherwise(F.col(group))
+    return placed.select(
+        *rows.columns,
+        task.alias("task"),
         F.least("tile", "other").alias("i"),
         F.greatest("tile", "other").alias("j"),
         (F.col("tile") > F.col("other")).cast("int").alias("side"),
         (F.col("tiles") > 1).alias("cut"),
     )
 
+
+def set_links(sets: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) that connect what links of ``100 * shared >= percent * union`` connect.
+
+    ``sets``: id long, grp long (only sets of one group are compared), elements array<long>
+    (distinct). Groups are cut into tiles of bounded size, and each task compares two tiles
+    by products of 0/1 matrices, counting shared elements exactly. It returns stars inside
+    its two tiles, at most one row for each set, never the pairs. Small groups share a task.
+    """
+    placed = tiled(sets, "grp", F.size("elements"), TILE_ROWS, TILE_ELEMENTS)
+
     def compare(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         ids = table["id"].to_numpy()

@@ -2,9 +2,12 @@
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kinlink.llm.bpe import encode_decode
+from kinlink.llm.chat import digests, format_conversations
 from kinlink.llm.huffman import token_files
+from kinlink.llm.itq import near_vectors
 from kinlink.llm.language import language
 from kinlink.llm.minhash import near_duplicates
 from kinlink.llm.mixing import fair_queue
@@ -18,6 +21,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_itq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all embeddings at cosine 0.93."""
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents through files of Huffman codes."""
     return token_files(_table(spark, sf_dir, "documents"), VOCABULARY)
@@ -34,6 +42,18 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language(_table(spark, sf_dir, "documents"))
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one full of control strings, formatted and read back."""
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("\\### Assistant: </turn> ok").alias("text"),
+    )
+    return digests(format_conversations(rows.unionByName(hard)))
+
+
 def op8_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BPE encoding of all documents by an automaton, and decoding."""
     return encode_decode(_table(spark, sf_dir, "documents"), VOCABULARY)
@@ -50,6 +70,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_itq_near_dedup": op1_itq_near_dedup,
+    "op7_chat_format": op7_chat_format,
     "op2_huffman_tokens": op2_huffman_tokens,
     "op4_language": op4_language,
     "op8_bpe_automaton": op8_bpe_automaton,
