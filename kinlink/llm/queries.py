@@ -11,7 +11,9 @@ from kinlink.llm.itq import near_vectors
 from kinlink.llm.language import language
 from kinlink.llm.minhash import near_duplicates
 from kinlink.llm.mixing import fair_queue
+from kinlink.llm.paragraphs import without_repeats
 from kinlink.llm.toxicity import toxicity
+from kinlink.llm.vafile import top_k
 
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -42,6 +44,18 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language(_table(spark, sf_dir, "documents"))
 
 
+def op5_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the passages that repeat, and what was cut."""
+    docs = without_repeats(_table(spark, sf_dir, "documents"))
+    words = F.aggregate("removed_spans", F.lit(0).cast("long"), lambda n, s: n + s["words"])
+    return docs.select("doc_id", "text", words.alias("removed_words"), "removed_spans")
+
+
+def op6_vector_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of all embeddings for every fiftieth."""
+    return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one full of control strings, formatted and read back."""
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -71,6 +85,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_itq_near_dedup": op1_itq_near_dedup,
+    "op5_paragraph_dedup": op5_paragraph_dedup,
+    "op6_vector_top_k": op6_vector_top_k,
     "op7_chat_format": op7_chat_format,
     "op2_huffman_tokens": op2_huffman_tokens,
     "op4_language": op4_language,
