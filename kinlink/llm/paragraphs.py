@@ -11,7 +11,7 @@ from kinlink.llm.minhash import candidate_groups
 from kinlink.llm.tables import discard, store
 
 PERCENT = 80
-# Words a paragraph has at least: sentences are put together until they reach it.
+# Words of a sentence that is a paragraph, and of paragraphs that take part.
 LEAST_WORDS = 8
 # Words that successive repeated paragraphs must have together to be removed.
 LEAST_RUN = 20
@@ -25,9 +25,9 @@ def split_paragraphs(data: np.ndarray, offsets: np.ndarray):
     """Paragraphs of each text of a slice, as ranges of its words.
 
     A sentence ends at a word that ends in ``.``, ``!``, ``?`` or ``:`` or before a line
-    break, and sentences are put together until they have ``LEAST_WORDS`` words. A longer
-    sentence always ends its paragraph, so a passage has the same paragraphs, but for the
-    first and last one, in whatever surroundings it stands.
+    break. A sentence of ``LEAST_WORDS`` words is a paragraph, and shorter ones between two such
+    are put together until they have as many. So the paragraphs of a passage are the same, but
+    for a few words at either end, in whatever surroundings it stands.
 
     Returns (starts, ends, owner) of the words and (first, last + 1) word of each paragraph.
     """
@@ -42,11 +42,15 @@ def split_paragraphs(data: np.ndarray, offsets: np.ndarray):
     after = np.append(starts[1:], len(data))
     stop = mark[data[ends - 1]] | (breaks[after] > breaks[ends]) | final
     cuts, begin, out = np.flatnonzero(stop) + 1, 0, []
-    closing = final[cuts - 1]
-    for cut, last in zip(cuts.tolist(), closing.tolist()):
+    closing, sentence = final[cuts - 1].tolist(), 0
+    for cut, last in zip(cuts.tolist(), closing):
+        if cut - sentence >= LEAST_WORDS and sentence > begin:
+            out.append((begin, sentence))
+            begin = sentence
         if last or cut - begin >= LEAST_WORDS:
             out.append((begin, cut))
             begin = cut
+        sentence = cut
     return starts, ends, owner, np.array(out, np.int64).reshape(-1, 2)
 
 
@@ -90,12 +94,13 @@ def paragraph_keys(docs: DataFrame, id_column: str, text_column: str) -> DataFra
 
 
 def paragraph_sets(rows: DataFrame) -> DataFrame:
-    """(doc, no, grp, n_words, start, stop, h1, h2, elements) of the paragraphs asked for.
+    """(doc, no, grp, word, n_words, start, stop, h1, h2, elements) of the paragraphs asked for.
 
-    ``rows``: (id, text, asked), ``asked`` being the (no, grp) of paragraphs. ``start`` and
-    ``stop`` are characters: from the first word to the next paragraph's first word.
+    ``rows``: (id, text, asked), ``asked`` being the (no, grp) of paragraphs. ``word`` is the
+    number of its first word in the text. ``start`` and ``stop`` are characters: from the
+    first word to the next paragraph's first word.
     """
-    fields = ["doc", "no", "grp", "n_words", "start", "stop", "h1", "h2", "elements"]
+    fields = ["doc", "no", "grp", "word", "n_words", "start", "stop", "h1", "h2", "elements"]
 
     def made(batches):
         for batch in batches:
@@ -118,14 +123,14 @@ def paragraph_sets(rows: DataFrame) -> DataFrame:
                         p = int(first[r - a]) + want["no"]
                         base = int(lead[at[r - a]])
                         out.append(
-                            (names[r], want["no"], want["grp"], int(ranges[p, 1] - ranges[p, 0]), int(lead[begin[p]]) - base,
+                            (names[r], want["no"], want["grp"], int(ranges[p, 0] - ranges[first[r - a], 0]), int(ranges[p, 1] - ranges[p, 0]), int(lead[begin[p]]) - base,
                              int(lead[end[p]]) - base, int(one[p]), int(two[p]), hashes[edges[p] : edges[p + 1]].view(np.int64))
                         )
                 if out:
-                    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+                    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
                     yield pa.record_batch([pa.array(c, kind) for c, kind in zip(zip(*out), kinds)], fields)
 
-    schema = "doc long, no int, grp long, n_words int, start int, stop int, h1 long, h2 long, elements array<long>"
+    schema = "doc long, no int, grp long, word int, n_words int, start int, stop int, h1 long, h2 long, elements array<long>"
     return rows.select("id", "text", "asked").mapInArrow(made, schema)
 
 
@@ -134,8 +139,8 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     Paragraphs that agree in a band are candidates; those of an exact Jaccard similarity of
     0.8 over five-word shingles are linked, and of each component the paragraph of the
-    smallest (id, number) stays. Successive repeated paragraphs are one span, which is cut if
-    it has ``LEAST_RUN`` words. Texts are read whole; every paragraph of ``LEAST_WORDS`` words
+    smallest (id, number) stays. Repeated paragraphs with fewer than ``LEAST_WORDS`` words
+    between them are one span, which is cut if it has ``LEAST_RUN`` words. Texts are read whole; every paragraph of ``LEAST_WORDS`` words
     takes part.
     """
     units = store(paragraph_keys(docs, id_column, text_column), "paragraphs")
@@ -168,10 +173,13 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
     chosen = kinds.join(kept, "root").select("grp", "h1", "h2", "kept")
     gone = sets.drop("elements").join(chosen, ["grp", "h1", "h2"]).where(place != F.col("kept"))
     # A paragraph may have met several keys but has one group, so it is here once.
-    gone = gone.select("doc", "no", "n_words", "start", "stop").distinct()
+    gone = gone.select("doc", "no", "word", "n_words", "start", "stop").distinct()
     order = Window.partitionBy("doc").orderBy("no")
-    runs = gone.withColumn("run", F.col("no") - F.row_number().over(order))
-    runs = runs.groupBy("doc", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("n_words").alias("words"))
+    gap = F.col("word") - F.lag(F.col("word") + F.col("n_words")).over(order)
+    runs = gone.withColumn("opens", F.coalesce((gap >= LEAST_WORDS).cast("int"), F.lit(0)))
+    runs = runs.withColumn("run", F.sum("opens").over(order))
+    words = F.max(F.col("word") + F.col("n_words")) - F.min("word")
+    runs = runs.groupBy("doc", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), words.cast("long").alias("words"))
     runs = runs.where(F.col("words") >= LEAST_RUN)
     spans = runs.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "words"))).alias("spans"))
     out = store(spans, "spans")
