@@ -60,23 +60,29 @@ def term_buckets(texts: DataFrame) -> DataFrame:
 
 
 class Machine:
-    """bias + sum of w + sum over pairs of <v_i, v_j>, over the buckets a text holds."""
+    """bias + sum of w + sum over pairs of <v_i, v_j>, over the buckets a text holds.
 
-    def __init__(self, bias, weights, factors):
-        self.bias, self.weights, self.factors = bias, weights, factors
-        self.live = (weights != 0) | (factors != 0).any(1)
+    Only the buckets that count have a weight and factors; ``place`` is where, 0 for the rest.
+    """
+
+    def __init__(self, bias: float, buckets: np.ndarray, weights: np.ndarray, factors: np.ndarray):
+        self.bias, self.buckets, self.weights, self.factors = bias, buckets, weights, factors
+        self.place = np.zeros(BUCKETS, np.int32)
+        self.place[buckets] = np.arange(1, len(buckets) + 1)
 
     def scores(self, buckets: np.ndarray, owner: np.ndarray, owners: int) -> np.ndarray:
-        margin = np.bincount(owner, self.weights[buckets], owners) + self.bias
-        v = self.factors[buckets]
-        for f in range(v.shape[1]):
-            total = np.bincount(owner, v[:, f], owners)
-            margin += 0.5 * (total * total - np.bincount(owner, v[:, f] * v[:, f], owners))
+        """Of texts with these distinct buckets, all of which count."""
+        at = self.place[buckets] - 1
+        margin = np.bincount(owner, self.weights[at], owners) + self.bias
+        for column in self.factors[at].T:
+            total = np.bincount(owner, column, owners)
+            margin += 0.5 * (total * total - np.bincount(owner, column * column, owners))
         return 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
 
 
 def fit(
-    lists: list[np.ndarray],
+    flat: np.ndarray,
+    sizes: np.ndarray,
     labels: np.ndarray,
     factors: int = FACTORS,
     epochs: int = 8,
@@ -85,49 +91,54 @@ def fit(
     batch: int = 256,
     seed: int = 1,
 ) -> Machine:
-    """Adagrad on the log loss, in batches, over the buckets that ``LEAST_DOCS`` and ``LEAST_Z`` leave."""
-    weights, v = np.zeros(BUCKETS), np.zeros((BUCKETS, factors))
-    if not len(lists):
-        return Machine(0.0, weights, v)
+    """Adagrad on the log loss, in batches, over the buckets that ``LEAST_DOCS`` and ``LEAST_Z`` leave.
+
+    ``flat`` has the buckets of all texts one after the other, ``sizes`` their number in each.
+    """
     rng = np.random.default_rng(seed)
-    flat, toxic = np.concatenate(lists), np.repeat(labels, [len(x) for x in lists])
+    if not len(labels):
+        return Machine(0.0, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, factors)))
     held = np.bincount(flat, minlength=BUCKETS)
+    in_bad = np.bincount(flat, np.repeat(labels, sizes), BUCKETS)
     bad, good = max(labels.sum(), 1), max(len(labels) - labels.sum(), 1)
-    in_bad = np.bincount(flat, toxic, BUCKETS)
     share = np.clip(held / len(labels), 1e-9, 1 - 1e-9)
     z = (in_bad / bad - (held - in_bad) / good) / np.sqrt(share * (1 - share) * (1 / bad + 1 / good))
     common = (held >= LEAST_DOCS) & (np.abs(z) >= LEAST_Z)
-    lists = [x[common[x]] for x in lists]
-    v[common] = rng.normal(0, 0.01, (int(common.sum()), factors))
+    buckets = np.flatnonzero(common)
+    used = common[flat]
+    whose = np.repeat(np.arange(len(labels)), sizes)[used]
+    flat = (np.cumsum(common) - 1)[flat[used]]
+    edges = np.searchsorted(whose, np.arange(len(labels) + 1))
+    m = len(buckets)
+    weights, v = np.zeros(m), rng.normal(0, 0.01, (m, factors))
     toxic = np.clip(labels.mean(), 1e-3, 1 - 1e-3)
     bias = float(np.log(toxic / (1 - toxic)))
-    grown_w, grown_v, grown_b = np.full(BUCKETS, 1e-6), np.full((BUCKETS, factors), 1e-6), 1e-6
+    grown_w, grown_v, grown_b = np.full(m, 1e-6), np.full((m, factors), 1e-6), 1e-6
     for _ in range(epochs):
-        order = rng.permutation(len(lists))
+        order = rng.permutation(len(labels))
         for s in range(0, len(order), batch):
             rows = order[s : s + batch]
-            sizes = np.array([len(lists[r]) for r in rows])
-            flat = np.concatenate([lists[r] for r in rows])
-            owner = np.repeat(np.arange(len(rows)), sizes)
-            used, code = np.unique(flat, return_inverse=True)
-            w, vv = weights[used], v[used]
+            cells = np.concatenate([flat[edges[r] : edges[r + 1]] for r in rows])
+            owner = np.repeat(np.arange(len(rows)), edges[rows + 1] - edges[rows])
+            here, code = np.unique(cells, return_inverse=True)
+            w, vv = weights[here], v[here]
             cell = vv[code]
             total = np.stack([np.bincount(owner, cell[:, f], len(rows)) for f in range(factors)], 1)
             square = np.bincount(owner, (cell * cell).sum(1), len(rows))
             margin = bias + np.bincount(owner, w[code], len(rows)) + 0.5 * ((total**2).sum(1) - square)
             error = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - labels[rows]) / len(rows)
             each = error[owner]
-            grad_w = np.bincount(code, each, len(used)) + penalty * w
+            grad_w = np.bincount(code, each, len(here)) + penalty * w
             pull = each[:, None] * (total[owner] - cell)
-            grad_v = np.stack([np.bincount(code, pull[:, f], len(used)) for f in range(factors)], 1) + penalty * vv
-            grown_w[used] += grad_w**2
-            grown_v[used] += grad_v**2
-            weights[used] = w - rate * grad_w / np.sqrt(grown_w[used])
-            v[used] = vv - 0.3 * rate * grad_v / np.sqrt(grown_v[used])
+            grad_v = np.stack([np.bincount(code, pull[:, f], len(here)) for f in range(factors)], 1) + penalty * vv
+            grown_w[here] += grad_w**2
+            grown_v[here] += grad_v**2
+            weights[here] = w - rate * grad_w / np.sqrt(grown_w[here])
+            v[here] = vv - 0.3 * rate * grad_v / np.sqrt(grown_v[here])
             grad_b = error.sum()
             grown_b += grad_b**2
             bias -= rate * grad_b / np.sqrt(grown_b)
-    return Machine(bias, weights, v)
+    return Machine(bias, buckets, weights, v)
 
 
 def held_out(id_column: str, parts: int, part: int):
@@ -136,9 +147,9 @@ def held_out(id_column: str, parts: int, part: int):
 
 
 def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> Machine:
-    """Fit on at most ``SAMPLE`` labelled documents that are not held out.
+    """Fit on at most ``SAMPLE`` labelled documents that are not held out, in one task.
 
-    Of several labels of one document the largest counts. The ids of the sample are the only
+    The machine comes back as one row for each bucket that counts, at most ``BUCKETS``. Of several labels of one document the largest counts. The ids of the sample are the only
     thing that is broadcast; their number is bounded by ``SAMPLE``.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col(id_column).isNotNull() & ~held_out(id_column, 3, 1))
@@ -146,14 +157,36 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     known = known.orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).where("text is not null")
     picked = texts.join(F.broadcast(known.select("id")), "id").select("id", "text")
-    table = term_buckets(picked).join(F.broadcast(known), "id").orderBy("id", "terms").limit(SAMPLE).toArrow()
-    lists = [np.asarray(x) for x in table["terms"].to_numpy(zero_copy_only=False)] if len(table) else []
-    return fit(lists, table["toxic"].to_numpy().astype(float))
+    known = F.broadcast(known)
+    sample = term_buckets(picked).join(known, "id").repartition(1)
+
+    def learned(batches):
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return
+        table = pa.Table.from_batches(batches).sort_by("id").combine_chunks()
+        terms = table["terms"].combine_chunks()
+        machine = fit(terms.flatten().to_numpy(), np.diff(terms.offsets.to_numpy()), table["toxic"].to_numpy().astype(float))
+        buckets = np.concatenate([[-1], machine.buckets])
+        weights = np.concatenate([[machine.bias], machine.weights])
+        factors = np.concatenate([np.zeros((1, machine.factors.shape[1])), machine.factors])
+        yield pa.record_batch(
+            [pa.array(buckets, pa.int32()), pa.array(weights), pa.array(list(factors), pa.list_(pa.float64()))],
+            ["bucket", "weight", "factors"],
+        )
+
+    rows = sample.select("id", "terms", "toxic").mapInArrow(learned, "bucket int, weight double, factors array<double>")
+    found = rows.orderBy("bucket").toArrow()
+    if not len(found):
+        return fit(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    factors = np.stack(found["factors"].to_numpy())
+    buckets, weights = found["bucket"].to_numpy(), found["weight"].to_numpy()
+    return Machine(float(weights[0]), buckets[1:], weights[1:], factors[1:])
 
 
 def score(docs: DataFrame, machine: Machine, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, score) of every whole text; null, empty and blank texts get the score of no terms."""
-    model = docs.sparkSession.sparkContext.broadcast((machine.bias, machine.weights.astype(np.float32), machine.factors.astype(np.float32)))
+    model = docs.sparkSession.sparkContext.broadcast((machine.bias, machine.buckets, machine.weights, machine.factors))
 
     def scored(batches):
         own = Machine(*model.value)
@@ -162,7 +195,7 @@ def score(docs: DataFrame, machine: Machine, id_column: str = "doc_id", text_col
             found = np.zeros(len(batch))
             for a, b in W.slices(offsets):
                 buckets, owner = _terms(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                used = own.live[buckets]
+                used = own.place[buckets] > 0
                 buckets, owner = W.distinct(buckets[used], owner[used], b - a)
                 found[a:b] = own.scores(buckets, owner, b - a)
             yield pa.record_batch([batch.column(0), pa.array(found)], ["id", "score"])
