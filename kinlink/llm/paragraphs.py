@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from kinlink.llm import words as W
 from kinlink.llm.components import components, set_links
-from kinlink.llm.minhash import candidate_groups
 from kinlink.llm.tables import discard, store
 
 PERCENT = 80
@@ -15,10 +14,10 @@ PERCENT = 80
 LEAST_WORDS = 8
 # Words that successive repeated paragraphs must have together to be removed.
 LEAST_RUN = 20
-# At similarity 0.8 a pair shares none of 3 bands of 1 with a chance of 0.008, and a passage
-# has several paragraphs.
-BANDS = 3
-ROWS = 1
+# At similarity 0.8 a pair shares none of 4 bands of 2 with a chance of 0.017, at 0.9 of 0.001,
+# and a passage has several paragraphs. Bands of 1 would gather all that share one phrase.
+BANDS = 4
+ROWS = 2
 
 
 def split_paragraphs(data: np.ndarray, offsets: np.ndarray):
@@ -94,13 +93,13 @@ def paragraph_keys(docs: DataFrame, id_column: str, text_column: str) -> DataFra
 
 
 def paragraph_sets(rows: DataFrame) -> DataFrame:
-    """(doc, no, grp, word, n_words, start, stop, h1, h2, elements) of the paragraphs asked for.
+    """(doc, no, keys, word, n_words, start, stop, h1, h2, elements) of the paragraphs asked for.
 
-    ``rows``: (id, text, asked), ``asked`` being the (no, grp) of paragraphs. ``word`` is the
+    ``rows``: (id, text, asked), ``asked`` being the (no, keys) of paragraphs. ``word`` is the
     number of its first word in the text. ``start`` and ``stop`` are characters: from the
     first word to the next paragraph's first word.
     """
-    fields = ["doc", "no", "grp", "word", "n_words", "start", "stop", "h1", "h2", "elements"]
+    fields = ["doc", "no", "keys", "word", "n_words", "start", "stop", "h1", "h2", "elements"]
 
     def made(batches):
         for batch in batches:
@@ -123,14 +122,14 @@ def paragraph_sets(rows: DataFrame) -> DataFrame:
                         p = int(first[r - a]) + want["no"]
                         base = int(lead[at[r - a]])
                         out.append(
-                            (names[r], want["no"], want["grp"], int(ranges[p, 0] - ranges[first[r - a], 0]), int(ranges[p, 1] - ranges[p, 0]), int(lead[begin[p]]) - base,
+                            (names[r], want["no"], want["keys"], int(ranges[p, 0] - ranges[first[r - a], 0]), int(ranges[p, 1] - ranges[p, 0]), int(lead[begin[p]]) - base,
                              int(lead[end[p]]) - base, int(one[p]), int(two[p]), hashes[edges[p] : edges[p + 1]].view(np.int64))
                         )
                 if out:
-                    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+                    kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
                     yield pa.record_batch([pa.array(c, kind) for c, kind in zip(zip(*out), kinds)], fields)
 
-    schema = "doc long, no int, grp long, word int, n_words int, start int, stop int, h1 long, h2 long, elements array<long>"
+    schema = "doc long, no int, keys array<long>, word int, n_words int, start int, stop int, h1 long, h2 long, elements array<long>"
     return rows.select("id", "text", "asked").mapInArrow(made, schema)
 
 
@@ -147,32 +146,26 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
     unit = F.xxhash64("doc", "no")
     bands = units.select(F.explode("keys").alias("key"), "doc", "no")
     # Only keys of several paragraphs go on: most occur once and end here.
-    leads = bands.groupBy("key").agg(F.min(unit).alias("lead"), F.max(unit).alias("last")).where("lead < last")
-    met = bands.join(leads.select("key", "lead"), "key").select("doc", "no", unit.alias("id"), "lead").distinct()
-    met = store(met, "met")
+    shared = bands.groupBy("key").agg(F.min(unit).alias("first"), F.max(unit).alias("last")).where("first < last")
+    met = bands.join(shared.select("key"), "key").groupBy("doc", "no").agg(F.collect_set("key").alias("keys"))
+    asked = met.groupBy("doc").agg(F.collect_list(F.struct("no", "keys")).alias("asked"))
+    asked = store(asked, "asked")
     discard(units)
-    groups = components(met.select(F.col("id").alias("a"), F.col("lead").alias("b")))
-    nodes = met.select("doc", "no", "id").distinct().join(groups, "id")
-    asked = nodes.groupBy("doc").agg(F.collect_list(F.struct("no", F.col("component").alias("grp"))).alias("asked"))
-    texts = docs.select(F.col(id_column).cast("long").alias("doc"), F.col(text_column).alias("text"))
-    found = texts.join(asked, "doc").select(F.col("doc").alias("id"), "text", "asked")
+    texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
+    found = texts.join(asked.withColumnRenamed("doc", "id"), "id")
     sets = store(paragraph_sets(found), "sets")
 
+    # Equal sets are one kind, found at its first place; equal sets have equal keys.
     place = F.struct("doc", "no")
-    kinds = sets.groupBy("grp", "h1", "h2").agg(F.min(place).alias("lead"), F.min(F.xxhash64("doc", "no")).alias("id"))
-    kinds = store(kinds, "kinds")
-    several = kinds.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1")
-    compared = kinds.join(several, "grp", "left_semi").select("grp", "h1", "h2", "id")
-    # The elements of one paragraph of each kind, the one whose hash is the kind's id.
-    elements = sets.select("grp", "h1", "h2", F.xxhash64("doc", "no").alias("id"), "elements")
-    elements = elements.join(compared, ["grp", "h1", "h2", "id"]).dropDuplicates(["id"])
-    linked = components(set_links(elements.select("id", "grp", "elements"), PERCENT)).toDF("id", "root")
-    kinds = kinds.join(linked, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    kinds = store(kinds.select("grp", "h1", "h2", "lead", "root"), "kinds")
+    kinds = store(sets.groupBy("h1", "h2").agg(F.min(place).alias("lead"), F.min(unit).alias("id")), "kinds")
+    one = sets.select("h1", "h2", unit.alias("id"), "keys", "elements").join(kinds.select("h1", "h2", "id"), ["h1", "h2", "id"])
+    one = one.dropDuplicates(["id"]).select("id", F.explode("keys").alias("grp"), "elements")
+    linked = components(set_links(store(one, "kind_sets"), PERCENT)).toDF("id", "root")
+    kinds = store(kinds.join(linked, "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
     kept = kinds.groupBy("root").agg(F.min("lead").alias("kept"))
-    chosen = kinds.join(kept, "root").select("grp", "h1", "h2", "kept")
-    gone = sets.drop("elements").join(chosen, ["grp", "h1", "h2"]).where(place != F.col("kept"))
-    # A paragraph may have met several keys but has one group, so it is here once.
+    chosen = kinds.join(kept, "root").select("h1", "h2", "kept")
+    gone = sets.drop("elements", "keys").join(chosen, ["h1", "h2"]).where(place != F.col("kept"))
+    # Rows that repeat an id and a text give each paragraph several times.
     gone = gone.select("doc", "no", "word", "n_words", "start", "stop").distinct()
     order = Window.partitionBy("doc").orderBy("no")
     gap = F.col("word") - F.lag(F.col("word") + F.col("n_words")).over(order)
@@ -183,8 +176,8 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
     runs = runs.where(F.col("words") >= LEAST_RUN)
     spans = runs.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "words"))).alias("spans"))
     out = store(spans, "spans")
-    for table in (met, sets):
-        discard(table)
+    discard(asked)
+    discard(sets)
     return out
 
 
