@@ -12,6 +12,9 @@ def list_matrix(column, dtype=np.float64):
     rows = int(valid.sum())
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(dtype, copy=False)
     width = len(flat) // rows if rows else 0
+    lengths = np.diff(column.offsets.to_numpy())[valid]
+    if len(lengths) and (lengths != width).any():
+        raise ValueError(f"lists of {lengths.min()} to {lengths.max()} values where one length is needed")
     return valid, flat.reshape(rows, width)
 
 

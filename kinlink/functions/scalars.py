@@ -8,11 +8,16 @@ NUMBER_PATTERN = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[iI][nN][fF]([iI][
 UNKNOWN = "UNKNOWN"
 
 
-def payload_number(text: Column) -> Column:
-    """Numeric value of a payload; bad, missing and NaN values become 0."""
+def payload_value(text: Column) -> Column:
+    """Numeric value of a payload; bad, missing and NaN values are null."""
     as_text = text.cast("string")
     number = F.when(as_text.rlike(NUMBER_PATTERN), F.trim(as_text).try_cast("double"))
-    return F.coalesce(F.nanvl(number, F.lit(0.0)), F.lit(0.0))
+    return F.nanvl(number, F.lit(None).cast("double"))
+
+
+def payload_number(text: Column) -> Column:
+    """Numeric value of a payload; bad, missing and NaN values become 0."""
+    return F.coalesce(payload_value(text), F.lit(0.0))
 
 
 def payload_or_zero(value: Column) -> Column:
@@ -30,10 +35,11 @@ def clip_score(score: Column, ceiling: float = 1.01) -> Column:
     return F.when(score > ceiling, F.lit(0.0)).otherwise(score)
 
 
-def cluster_flags(cluster_id: Column, clusters: int) -> Column:
-    """0/1 array with a single 1 at the chosen cluster."""
+def cluster_flags(cluster_id: Column, clusters: list[int]) -> Column:
+    """(cluster_id, flag) for each of the given ids, with a single flag 1 at the chosen one."""
+    ids = F.array(*[F.lit(i) for i in clusters]).cast("array<int>")
     return F.transform(
-        F.sequence(F.lit(0), F.lit(clusters - 1)), lambda i: (i == cluster_id).cast("int")
+        ids, lambda i: F.struct(i.alias("cluster_id"), (i == cluster_id).cast("int").alias("flag"))
     )
 
 

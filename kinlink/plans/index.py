@@ -5,10 +5,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinlink.functions.scalars import UNKNOWN, payload_number
+from kinlink.functions.scalars import UNKNOWN, payload_value
 from kinlink.functions.signatures import unit_vector
 from kinlink.operators.clustering import (
-    CLUSTERS,
     MAX_ROUNDS,
     RESTARTS,
     Centroids,
@@ -33,18 +32,21 @@ class ClusterIndex:
 
 def scaled_points(prepared: DataFrame, scaler: Scaler | None = None) -> tuple[DataFrame, Scaler]:
     """``prepared`` with ``point``, the z-scores of its unit 200-vector."""
-    rows = prepared.withColumn("point", unit_vector(F.col("sig200")))
-    scaler = scaler or Scaler.fit(rows, "point")
-    return prepared.withColumn("point", scaler.apply(unit_vector(F.col("sig200")))), scaler
+    unit = F.col("unit200") if "unit200" in prepared.columns else unit_vector(F.col("sig200"))
+    scaler = scaler or Scaler.fit(prepared.withColumn("point", unit), "point")
+    return prepared.withColumn("point", scaler.apply(unit)), scaler
 
 
 def align_attributes(
     records: DataFrame, payload: str, category: str, block: str | None = None
 ) -> DataFrame:
-    """Payload as a number, category as text, block with its default; one row per record."""
+    """Payload as a number, category as text, block with its default; one row per record.
+
+    A bad or missing payload is null: the totals decide whether it adds 0 or is skipped.
+    """
     blocks = F.coalesce(F.col(block).cast("string"), F.lit(UNKNOWN)) if block else F.lit(UNKNOWN)
     return (
-        records.withColumn("_payload", payload_number(F.col(payload)))
+        records.withColumn("_payload", payload_value(F.col(payload)))
         .withColumn("_category", F.col(category).cast("string"))
         .withColumn("_block", blocks)
         .drop("payload", "category", "block")
@@ -55,7 +57,7 @@ def align_attributes(
 def build_index(
     prepared: DataFrame,
     start: DataFrame | None = None,
-    k: int | None = CLUSTERS,
+    k: int | None = None,
     restarts: int = RESTARTS,
     max_rounds: int = MAX_ROUNDS,
     seed: int = 42,
@@ -63,8 +65,8 @@ def build_index(
     """Cluster the server's prepared records, from given start centres or from k-means runs.
 
     ``prepared`` has ``sig200`` and ``sig50`` and should be a written table. A query is compared
-    with every distinct signature of its cluster, so ``k`` should grow with the table;
-    ``k=None`` takes half the square root of its rows.
+    with every distinct signature of its cluster, so ``k`` grows with the table: by default it
+    is half the square root of its rows.
     """
     points, scaler = scaled_points(prepared)
     points = materialise(points, "points")

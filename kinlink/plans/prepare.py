@@ -12,7 +12,7 @@ from kinlink.functions.signatures import (
     signature_prefix,
     unit_vector,
 )
-from kinlink.session import spread
+from kinlink.session import materialise, spread
 from kinlink.sources.tables import insert_columns
 
 
@@ -25,13 +25,14 @@ def with_signature(records: DataFrame, name: str, length: int = LONG, place: int
 def prepare_records(records: DataFrame, name: str, place: int = 2) -> DataFrame:
     """``records`` with signatures of 200, 50 and 100 hashes and their unit vectors.
 
-    The long signature is computed once; the shorter ones are its prefixes. A null or too
-    short name has null signatures and is not linkable.
+    The long signature is computed once and written down; the shorter ones are its prefixes.
+    A null or too short name has null signatures and is not linkable.
     """
     rows = spread(records, records.columns[0])
     signed = rows.withColumn(name, name_text(F.col(name))).withColumn(
         "_sig", signature(F.col(name), LONG)
     )
+    signed = materialise(signed, "signed")
     long = F.col("_sig")
     short, middle = signature_prefix(long, SHORT), signature_prefix(long, MIDDLE)
     return insert_columns(

@@ -79,7 +79,8 @@ def scaled_assignment(spark, sf_dir):
 
 def cluster_one_hot(spark, sf_dir):
     placed, centroids = _placed(spark, sf_dir)
-    flags = F.posexplode(cluster_flags(F.col("cluster_id"), centroids.count())).alias("cluster_id", "flag")
+    ids = sorted(r[0] for r in centroids.select("cluster_id").collect())
+    flags = F.inline(cluster_flags(F.col("cluster_id"), ids))
     return placed.select(F.col("id").alias("vec_id"), flags)
 
 

@@ -19,9 +19,6 @@ from kinlink.queries.sql import MATCHED_TOTALS, NATION_TOTALS, merge
 from kinlink.queries.sql import block_links as block_links_sql
 from kinlink.session import materialise
 
-LANGUAGES = ("de", "en", "es", "fr")
-
-
 def payloads(spark, sf_dir):
     """Balances as text, some missing and some spoilt, read back as numbers."""
     balance = F.col("c_acctbal")
@@ -34,8 +31,11 @@ def payloads(spark, sf_dir):
 
 
 def one_hot(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(
-        "doc_id", *[category_flag(F.col("lang"), value).alias(f"is_{value}") for value in LANGUAGES]
+    """One column for each category that occurs."""
+    documents = table(spark, sf_dir, "documents")
+    found = distinct_categories(documents.withColumnRenamed("lang", "category")).collect()
+    return documents.select(
+        "doc_id", *[category_flag(F.col("lang"), r[0]).alias(f"is_{r[0]}") for r in sorted(found)]
     )
 
 
@@ -163,7 +163,7 @@ ORACLES = {
     "payload_coerce": "SELECT c_custkey, c_mktsegment = 'BUILDING' AS missing, CASE WHEN "
     "c_mktsegment = 'BUILDING' OR c_acctbal < 0 THEN 0 ELSE c_acctbal END AS payload FROM customer",
     "category_one_hot": "SELECT doc_id, "
-    + ", ".join(f"coalesce((lang = '{v}')::INTEGER, 0) AS is_{v}" for v in LANGUAGES)
+    + ", ".join(f"coalesce((lang = '{v}')::INTEGER, 0) AS is_{v}" for v in ("de", "en", "es", "fr"))
     + " FROM documents",
     "distinct_categories": "SELECT DISTINCT source || '/' || lang AS category FROM documents",
     "payload_lookup": "SELECT c.c_custkey, coalesce(x, 0) AS payload FROM customer c "

@@ -61,6 +61,14 @@ def csv_roundtrip(spark, sf_dir):
     return read_prepared(spark, f"{folder}/prepared")
 
 
+def csv_documents(spark, sf_dir):
+    """Whole documents, line breaks and all, to CSV and back."""
+    documents = table(spark, sf_dir, "documents")
+    path = scratch_path(spark, "documents")
+    write_csv(documents, path)
+    return read_records(spark, path, documents.schema)
+
+
 def centroid_table(spark, sf_dir):
     path = scratch_path(spark, "centroids")
     write_centroids(label_centroids(vectors(spark, sf_dir)), path)
@@ -112,6 +120,7 @@ def streamed_crosstab(spark, sf_dir):
 
 QUERIES = {
     "scan_csv_roundtrip": csv_roundtrip,
+    "scan_csv_documents": csv_documents,
     "centroid_table": centroid_table,
     "cluster_index_roundtrip": index_roundtrip,
     "streaming_crosstab": streamed_crosstab,
@@ -134,6 +143,7 @@ _INDEX = f"""WITH s AS ({CUSTOMERS}), {signatures('s', 's', 200)}, {scaled('s')}
 
 ORACLES = {
     "scan_csv_roundtrip": "SELECT * FROM customer",
+    "scan_csv_documents": "SELECT * FROM documents",
     "centroid_table": f"WITH {LABEL_CENTROIDS} SELECT cluster_id, "
     "(generate_subscripts(c, 1) - 1)::INTEGER AS pos, round(unnest(c), 6) AS x FROM c0",
     "cluster_index_roundtrip": _INDEX,

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 # Largest driver-held side (centroids) that is shipped to every task, in bytes.
 BROADCAST_LIMIT = 64 * 1024 * 1024
 
+_TO_DELETE: set[str] = set()
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names for lineage cuts; a temporary one only on local masters."""
@@ -23,9 +25,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new place in the shared folder, below one folder per application."""
+    """A new place in the shared folder, below one folder that goes when the application ends."""
     application = spark.sparkContext.applicationId
-    return f"{shared_dir(spark).rstrip('/')}/kinlink-{application}/{uuid.uuid4().hex}/{name}"
+    top = f"{shared_dir(spark).rstrip('/')}/kinlink-{application}"
+    if top not in _TO_DELETE:
+        _TO_DELETE.add(top)
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(top)
+        files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.deleteOnExit(where)
+    return f"{top}/{uuid.uuid4().hex}/{name}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -4,23 +4,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+# What an empty field is while reading, so that it differs from a quoted empty text.
+NO_TEXT = "\u0000"
 
 def read_records(
-    spark: SparkSession, path: str, schema: StructType, multi_line: bool = False
+    spark: SparkSession, path: str, schema: StructType, multi_line: bool = True
 ) -> DataFrame:
     """CSV records with a header and a declared schema (no inference pass).
 
-    Quoted fields may hold doubled quotes, and with ``multi_line`` line breaks; such a file is
-    read by one task, others are split.
+    Quoted fields may hold doubled quotes and line breaks; an empty field is null and ``""``
+    an empty text. Each file is read by one task. ``multi_line=False`` also splits files, but
+    only for data known to have no line breaks in fields: it would break such rows.
     """
     return spark.read.csv(
-        path, header=True, schema=schema, multiLine=multi_line, escape='"', enforceSchema=False
+        path,
+        header=True,
+        schema=schema,
+        multiLine=multi_line,
+        escape='"',
+        enforceSchema=False,
+        nullValue=NO_TEXT,
+        emptyValue="",
     )
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header, as the result table is handed out."""
-    df.write.mode("overwrite").csv(path, header=True, escape='"')
+    """CSV with a header, as the result table is handed out; blanks at the ends are kept."""
+    df.write.mode("overwrite").csv(
+        path,
+        header=True,
+        escape='"',
+        ignoreLeadingWhiteSpace=False,
+        ignoreTrailingWhiteSpace=False,
+        nullValue="",
+        emptyValue='""',
+    )
 
 
 def read_prepared(spark: SparkSession, path: str) -> DataFrame:

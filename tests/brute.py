@@ -1,26 +1,22 @@
-"""Plain Python versions of the steps, for small fixtures."""
+"""Other ways to the same results, for small fixtures."""
 
 import contextlib
-import hashlib
 import io
 import math
 
-from kinlink.functions.signatures import MODULUS, hash_family
+from pyspark.sql import functions as F
 
+from kinlink.functions.signatures import MODULUS, hash_family, shingle_hash, shingles
 
-def gram_number(gram):
-    """Hex digits of the digest as digits of a base-32 number, without the remainder."""
-    number = 0
-    for digit in hashlib.sha256(gram.encode()).hexdigest():
-        number = number * 32 + int(digit, 16)
-    return number
 
+def native_signature(name, length):
+    """The signature as a column of Spark's own array functions, one minimum for each hash."""
+    grams = F.transform(shingles(name), shingle_hash)
 
-def signature(name, length):
-    if name is None or len(name) < 3:
-        return None
-    numbers = {gram_number("".join(chars)) for chars in zip(name, name[1:], name[2:])}
-    return [min((a * n + b) % MODULUS for n in numbers) for a, b in hash_family(length)]
+    def least(a, b):
+        return F.array_min(F.transform(grams, lambda x: (x * a + b) % MODULUS))
+
+    return F.when(F.size(grams) > 0, F.array(*[least(a, b) for a, b in hash_family(length)]))
 
 
 def cosine(x, y):
