@@ -14,6 +14,16 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
 
 
+def source_key(source: Column) -> Column:
+    """A text that orders sources by code point with null last."""
+    return F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source))
+
+
+def document_mark(seed: int, id_column: str, text_column: str) -> Column:
+    """The hash by which documents are shuffled."""
+    return F.xxhash64(F.lit(seed), F.col(id_column), F.col(text_column))
+
+
 def source_targets(sizes: DataFrame, cycle: tuple[float, ...], share: float, most: float) -> DataFrame:
     """(key, source_size, docs, target) from (key, source_size, docs), one row for each source.
 
@@ -61,12 +71,12 @@ def fair_queue(
     Null texts count 0 words. A null source is a source of its own, after the others. Rows
     that repeat stand in line each. Other columns are not read; an empty table gives no rows.
 
-    Returns (id, size, source_size, target, copies, taken, mark, number) with the id under
-    ``id_column``; ``mark`` and ``number`` identify the row (a hash of id and text, and the
-    number among equal rows).
+    Returns (id, size, source_size, target, copies, taken, key, mark, number) with the id under
+    ``id_column``; ``key`` (of the source), ``mark`` and ``number`` identify the row (a hash of
+    id and text, and the number among equal rows).
     """
-    key = F.when(F.col(source_column).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source_column)))
-    mark = F.xxhash64(F.lit(seed), F.col(id_column), F.col(text_column))
+    key = source_key(F.col(source_column))
+    mark = document_mark(seed, id_column, text_column)
     sized = docs.select(
         F.col(id_column).alias("id"), key.alias("key"), word_count(F.col(text_column)).alias("size"), mark.alias("mark")
     )
@@ -125,6 +135,7 @@ def fair_queue(
         "target",
         "copies",
         (F.col("size") * F.col("copies")).alias("taken"),
+        "key",
         "mark",
         "number",
     )
@@ -138,11 +149,25 @@ def mixed_documents(
     seed: int = 7,
     **options,
 ) -> DataFrame:
-    """The mix itself: each document as often as ``fair_queue`` takes it, with all its columns."""
+    """The mix itself: each document as often as ``fair_queue`` takes it, with all its columns.
+
+    Of rows with equal id, text and source, those first in line are taken most often, so the
+    numbers of rows taken at least once, twice and so on say how often each one is. Texts are
+    shuffled once, by the key of the join, which also numbers the rows.
+    """
+    most = options.get("most", 3)
     queue = fair_queue(docs, id_column, text_column, source_column, seed=seed, **options)
-    queue = queue.where("copies > 0").select("mark", "number", "copies")
-    mark = F.xxhash64(F.lit(seed), F.col(id_column), F.col(text_column))
-    equal = Window.partitionBy("mark").orderBy(F.col(id_column), F.col(text_column))
-    numbered = docs.withColumn("mark", mark).withColumn("number", F.row_number().over(equal))
-    mixed = numbered.join(queue, ["mark", "number"])
-    return mixed.withColumn("copies", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+    depth = F.array(*[F.count_if(F.col("copies") >= turn) for turn in range(1, most + 1)])
+    queue = queue.where("copies > 0").groupBy("key", "mark").agg(depth.alias("depth"))
+    # Columns of docs stay in a struct, so no name of theirs meets one of these.
+    rows = docs.select(
+        source_key(F.col(source_column)).alias("key"),
+        document_mark(seed, id_column, text_column).alias("mark"),
+        F.struct(*[F.col(c) for c in docs.columns]).alias("doc"),
+    )
+    met = rows.join(queue, ["key", "mark"])
+    equal = Window.partitionBy("key", "mark").orderBy(F.col("doc")[id_column], F.col("doc")[text_column])
+    met = met.withColumn("number", F.row_number().over(equal))
+    copies = F.size(F.filter("depth", lambda rows_deep: rows_deep >= F.col("number")))
+    met = met.withColumn("copies", copies).where("copies > 0")
+    return met.withColumn("turn", F.explode(F.sequence(F.lit(1), "copies"))).select("doc.*")

@@ -186,6 +186,17 @@ def test_mix_meets_targets_and_repeats(spark):
     assert mixed.count() == sum(r["copies"] for r in rows)
 
 
+def test_mix_of_repeated_rows_and_clashing_names(spark):
+    rows = [(i % 7, "w " * (1 + i % 7), "ab"[i % 2], f"m{i}", i) for i in range(140)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, mark string, number int")
+    queue = fair_queue(docs).groupBy("doc_id", "key").agg(F.sum("copies").alias("copies")).collect()
+    expected = {(r["doc_id"], r["key"][1:]): r["copies"] for r in queue if r["copies"]}
+    mixed = mixed_documents(docs).collect()
+    assert dict(collections.Counter((r["doc_id"], r["source"]) for r in mixed)) == expected
+    assert max(collections.Counter(r["number"] for r in mixed).values()) <= 3
+    assert {tuple(r) for r in mixed} <= set(rows)
+
+
 def test_passages_are_cut_once(spark):
     rng = np.random.default_rng(4)
 
