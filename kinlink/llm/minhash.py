@@ -104,6 +104,8 @@ def near_duplicates(
     lead = copies.groupBy("component", "h1", "h2", "n").agg(F.min("id").alias("rep"))
     several = lead.groupBy("component").agg(F.count("*").alias("sets")).where("sets > 1")
     compared = lead.join(several, "component", "left_semi").select(F.col("rep").alias("id"), F.col("component").alias("grp"))
+    # Written first, so that its size is known when the join with the texts is planned.
+    compared = store(compared, "compared")
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     sets = store(shingle_sets(texts.join(compared, "id")), "sets")
     links = set_links(sets, percent)
@@ -127,4 +129,5 @@ def near_duplicates(
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = 85) -> DataFrame:
     """The documents that ``near_duplicates`` keeps, with all their columns."""
     gone = near_duplicates(docs, id_column, text_column, percent).where("not kept")
-    return docs.join(gone.select(id_column), id_column, "left_anti").select(*docs.columns)
+    gone = store(gone.select(id_column), "gone")
+    return docs.join(gone, id_column, "left_anti").select(*docs.columns)
