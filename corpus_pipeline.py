@@ -20,6 +20,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents with a predicted toxicity under 0.7; rows that share an id go together."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     gone = toxicity(docs, labels).where("predicted = 1").select("doc_id").distinct()
+    gone = store(gone, "toxic")  # its size is then known when the join with the texts is planned
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
