@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from kinlink.llm import words as W
 from kinlink.llm.pretokens import PieceEncoder, added_tokens, byte_letters, worker_state
-from kinlink.llm.tables import store
+from kinlink.llm.tables import discard, store
 
 # The longest code in bits; the decoding table has 2**LIMIT entries.
 LIMIT = 18
@@ -68,18 +68,24 @@ class Code:
         self.size[: width.sum()] = np.repeat(lengths, width)
 
     def encode(self, ids: np.ndarray, counts: np.ndarray) -> tuple[bytes, np.ndarray]:
-        """The bits of some documents one after the other, and where each block begins."""
+        """The bits of some documents one after the other, and where each block begins.
+
+        Each document begins with a byte of its own, so that its bytes can be moved alone.
+        """
         lengths = self.length[ids]
-        upto = np.cumsum(lengths)
-        at = upto - lengths
-        total = int(upto[-1]) if len(upto) else 0
+        upto = np.concatenate([[0], np.cumsum(lengths)])
+        ends = np.cumsum(counts)
+        before = upto[ends - counts]
+        sizes = (upto[ends] - before + 7) >> 3
+        at = upto[:-1] + np.repeat((np.cumsum(sizes) - sizes) * 8 - before, counts)
+        total = int(sizes.sum())
         value = self.bits[ids].astype(np.uint64) << (32 - lengths - (at & 7)).astype(np.uint64)
         byte = at >> 3
-        out = np.zeros((total >> 3) + 5)
+        out = np.zeros(total + 4)
         for k in range(4):
             out += np.bincount(byte + k, ((value >> np.uint64(24 - 8 * k)) & np.uint64(255)).astype(np.float64), len(out))
         first, _ = blocks(counts)
-        return out[: (total + 7) >> 3].astype(np.uint8).tobytes(), at[first]
+        return out[:total].astype(np.uint8).tobytes(), at[first]
 
     def decode(self, data: bytes, counts: np.ndarray, checkpoints: np.ndarray) -> np.ndarray:
         """All ids of a segment, every block at once, one table look-up for each token."""
@@ -106,6 +112,12 @@ def blocks(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.minimum(np.repeat(counts, each) - number * BLOCK, BLOCK)
 
 
+def runs_of(counts: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of documents with about ``SEGMENT`` tokens together."""
+    cuts = np.flatnonzero(np.diff((np.cumsum(counts) - counts) // SEGMENT, prepend=-1))
+    return list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(counts)]))
+
+
 def library_encoder(model_json: str, added: dict[str, int], name: str) -> PieceEncoder:
     """Pieces encoded by the BPE model of the tokenizers library, kept by the worker."""
     from tokenizers import Tokenizer
@@ -164,6 +176,40 @@ def global_counts(ids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return table["token"].to_numpy(), table["count"].to_numpy()
 
 
+def document_codes(ids: DataFrame, tokens: np.ndarray, lengths: np.ndarray) -> DataFrame:
+    """(id, n, bits, marks): each document's code and the bits at which its blocks begin.
+
+    Documents are put in order as codes, which are a third of the size of their ids.
+    """
+    shared = ids.sparkSession.sparkContext.broadcast((tokens, lengths))
+
+    def coded(batches):
+        code = Code(*shared.value)
+        for batch in batches:
+            counts = batch.column(1).to_numpy()
+            own = batch.column(2).to_pylist()
+            for a, b in runs_of(counts):
+                flat = np.frombuffer(b"".join(own[a:b]), "<u4").astype(np.int64)
+                bits, marks = code.encode(flat, counts[a:b])
+                each = -(-counts[a:b] // BLOCK)
+                cuts = np.concatenate([[0], np.cumsum(each)]).astype(np.int32)
+                # Every document has a block, as it has an end id.
+                first = marks[cuts[:-1]] >> 3
+                edges = [*first.tolist(), len(bits)]
+                marks = marks - np.repeat(first * 8, each)
+                yield pa.record_batch(
+                    [
+                        batch.column(0).slice(a, b - a),
+                        batch.column(1).slice(a, b - a),
+                        pa.array([bits[i:j] for i, j in zip(edges[:-1], edges[1:])], pa.binary()),
+                        pa.ListArray.from_arrays(pa.array(cuts), pa.array(marks, pa.int64())),
+                    ],
+                    ["id", "n", "bits", "marks"],
+                )
+
+    return ids.select("id", "n", "ids").mapInArrow(coded, "id long, n long, bits binary, marks array<long>")
+
+
 def write_tokens(
     docs: DataFrame, vocabulary: str, end: int = 2, id_column: str = "doc_id", text_column: str = "text"
 ) -> tuple[DataFrame, DataFrame]:
@@ -171,7 +217,7 @@ def write_tokens(
 
     Ids come from the BPE model of the tokenizers library, piece by piece of its byte-level
     pattern, and ``end`` is added to each document. Null texts are empty. Rows without an id
-    come first; rows that repeat an id are ordered by size and ids.
+    come first; rows that repeat an id are ordered by size and code.
     """
     spark = docs.sparkSession
     ids = store(token_ids(docs, vocabulary, end, id_column, text_column), "ids", "zstd")
@@ -180,45 +226,48 @@ def write_tokens(
     codes = spark.createDataFrame(
         pa.table({"token": pa.array(tokens, pa.int64()), "length": pa.array(lengths, pa.int64())})
     )
-    shared = spark.sparkContext.broadcast((tokens, lengths))
+    coded = store(document_codes(ids, tokens, lengths), "coded")
+    discard(ids)
 
     def packed(batches):
-        code = Code(*shared.value)
         part, before = TaskContext.get().partitionId(), 0
-        names, sizes, parts, waiting = [], [], [], 0
+        names, sizes, parts, marks, waiting, place = [], [], [], [], 0, 0
 
         def segment():
-            bits, marks = code.encode(np.frombuffer(b"".join(parts), "<u4").astype(np.int64), np.array(sizes))
             return pa.record_batch(
                 [
                     pa.array([part], pa.int32()),
                     pa.array([before], pa.int64()),
                     pa.array([names], pa.list_(pa.int64())),
                     pa.array([sizes], pa.list_(pa.int64())),
-                    pa.array([marks], pa.list_(pa.int64())),
-                    pa.array([bits], pa.binary()),
+                    pa.array([np.concatenate(marks)], pa.list_(pa.int64())),
+                    pa.array([b"".join(parts)], pa.binary()),
                 ],
                 ["part", "before", "ids", "counts", "checkpoints", "bits"],
             )
 
         for batch in batches:
-            for name, size, own in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            for name, size, bits, own in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 names.append(name)
                 sizes.append(size)
-                parts.append(own)
+                parts.append(bits)
+                marks.append(np.array(own, np.int64) + place * 8)
+                place += len(bits)
                 waiting += size
                 if waiting >= SEGMENT:
                     yield segment()
                     before += waiting
-                    names, sizes, parts, waiting = [], [], [], 0
+                    names, sizes, parts, marks, waiting, place = [], [], [], [], 0, 0
         if names:
             yield segment()
 
-    order = ["id", "n", "ids"]
+    order = ["id", "n", "bits"]
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = ids.repartitionByRange(tasks, "id", "n").sortWithinPartitions(*order).select("id", "n", "ids")
+    placed = coded.repartitionByRange(tasks, "id", "n").sortWithinPartitions(*order).select("id", "n", "bits", "marks")
     schema = "part int, before long, ids array<long>, counts array<long>, checkpoints array<long>, bits binary"
-    return store(codes, "codes"), store(placed.mapInArrow(packed, schema), "segments")
+    segments = store(placed.mapInArrow(packed, schema), "segments")
+    discard(coded)
+    return store(codes, "codes"), segments
 
 
 def read_tokens(spark: SparkSession, codes: DataFrame, segments: DataFrame, with_ids: bool = False) -> DataFrame:
