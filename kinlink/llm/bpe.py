@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinlink.llm import words as W
-from kinlink.llm.pretokens import PieceEncoder, added_tokens, byte_letters, worker_state
+from kinlink.llm.pretokens import PieceEncoder, added_tokens, byte_letters
 
+# Transitions that a task keeps; they are looked up again after that many new ones.
+TRANSITIONS = 400_000
 
 
 class TokenAutomaton:
@@ -31,7 +33,7 @@ class TokenAutomaton:
     """
 
     def __init__(self, tokens: list[bytes], merges: list[tuple[int, int, int]]):
-        self.labels = tokens
+        self.labels, self.met = tokens, 0
         self.copied: dict[int, tuple[int, int]] = {}
         self.beside: dict[int, tuple[int, int]] = {}
         self.lost: dict[tuple[int, int], int] = {}
@@ -71,6 +73,9 @@ class TokenAutomaton:
     def encode(self, piece: bytes, trie: dict, table: dict[int, dict[int, bool]]) -> list[int]:
         """Tokens of one piece; ``table`` holds the transitions out of each state met so far."""
         n = len(piece)
+        if self.met > TRANSITIONS:
+            table.clear()
+            self.met = 0
         states = [-1] * (n + 1)
         node = trie
         for j in range(n):
@@ -92,6 +97,7 @@ class TokenAutomaton:
                     allowed = row.get(token)
                     if allowed is None:
                         allowed = row[token] = self.has_arc(state, token)
+                        self.met += 1
                     if allowed:
                         states[j + 1] = token
         out = []
@@ -133,14 +139,9 @@ def encode_decode(
 
     def convert(batches):
         labels, merges, added = shared.value
-        state = worker_state(f"automaton {vocabulary}")
-        if not state:
-            own = TokenAutomaton(labels, merges)
-            state.update(automaton=own, trie=own.trie())
-        automaton, trie = state["automaton"], state["trie"]
-        table = worker_state(f"transitions {vocabulary}")
-        cache = worker_state(f"automaton pieces {vocabulary}")
-        encoder = PieceEncoder(lambda piece: automaton.encode(piece.encode(), trie, table), added, cache)
+        automaton = TokenAutomaton(labels, merges)
+        trie, table = automaton.trie(), {}
+        encoder = PieceEncoder(lambda raw, spans: (automaton.encode(raw[s:e], trie, table) for s, e in spans), added)
         label = labels.__getitem__
         for batch in batches:
             data, offsets = W.text_bytes(batch.column(1))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinlink.llm import words as W
-from kinlink.llm.pretokens import PieceEncoder, added_tokens, byte_letters, worker_state
+from kinlink.llm.pretokens import PieceEncoder, added_tokens, byte_letters
 from kinlink.llm.tables import discard, store
 
 # The longest code in bits; the decoding table has 2**LIMIT entries.
@@ -118,22 +118,18 @@ def runs_of(counts: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(counts)]))
 
 
-def library_encoder(model_json: str, added: dict[str, int], name: str) -> PieceEncoder:
-    """Pieces encoded by the BPE model of the tokenizers library, kept by the worker."""
+def library_encoder(model_json: str, added: dict[str, int]) -> PieceEncoder:
+    """Pieces encoded by the BPE model of the tokenizers library."""
     from tokenizers import Tokenizer
 
-    state = worker_state(f"library {name}")
-    if "model" not in state:
-        state["tokenizer"] = Tokenizer.from_str(model_json)
-        state["model"] = state["tokenizer"].model
-        state["cache"] = {}
+    model = Tokenizer.from_str(model_json).model
     letters = str.maketrans(dict(enumerate(byte_letters())))
-    model = state["model"]
-    return PieceEncoder(
-        lambda piece: [t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(letters))],
-        added,
-        state["cache"],
-    )
+
+    def pieces(raw: bytes, spans: list[tuple[int, int]]):
+        shown = raw.decode("latin-1").translate(letters) if spans else ""
+        return ([t.id for t in model.tokenize(shown[s:e])] for s, e in spans)
+
+    return PieceEncoder(pieces, added)
 
 
 def token_ids(docs: DataFrame, vocabulary: str, end: int, id_column: str, text_column: str) -> DataFrame:
@@ -142,7 +138,7 @@ def token_ids(docs: DataFrame, vocabulary: str, end: int, id_column: str, text_c
         shared = docs.sparkSession.sparkContext.broadcast((file.read(), added_tokens(vocabulary)))
 
     def encoded(batches):
-        encoder = library_encoder(*shared.value, vocabulary)
+        encoder = library_encoder(*shared.value)
         for batch in batches:
             data, offsets = W.text_bytes(batch.column(1))
             for a, b in W.slices(offsets):

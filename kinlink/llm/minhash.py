@@ -127,7 +127,16 @@ def near_duplicates(
 
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = 85) -> DataFrame:
-    """The documents that ``near_duplicates`` keeps, with all their columns."""
-    gone = near_duplicates(docs, id_column, text_column, percent).where("not kept")
-    gone = store(gone.select(id_column), "gone")
-    return docs.join(gone, id_column, "left_anti").select(*docs.columns)
+    """One row of each component of ``near_duplicates``, with all columns of ``docs``.
+
+    Of rows that repeat the kept id the first by text stays, equal ones being the same. Rows
+    without an id all stay, as they are linked with nothing.
+    """
+    found = store(near_duplicates(docs, id_column, text_column, percent).select(id_column, "kept"), "kept")
+    gone = store(found.where("not kept").select(id_column).distinct(), "gone")
+    several = found.where(F.col("kept") & F.col(id_column).isNotNull()).groupBy(id_column).count().where("count > 1")
+    several = store(several.select(id_column), "several")
+    stay = docs.join(gone, id_column, "left_anti").join(several, id_column, "left_anti").select(*docs.columns)
+    rows = docs.join(several, id_column, "left_semi").select(F.col(id_column).alias("id"), F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
+    rows = rows.groupBy("id").agg(F.min_by("row", F.col("row")[text_column]).alias("row"))
+    return stay.unionByName(rows.select("row.*"))

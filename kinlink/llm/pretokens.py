@@ -3,30 +3,25 @@
 The pieces are those of the byte-level pattern: contractions, letters, digits or other marks
 with one space before them, and white space. They are found with NumPy over the code points
 of a slice of texts, each distinct piece of a slice is encoded once, and pieces already met
-by the worker come from a bounded cache.
+by the task come from a bounded cache. Nothing is kept when a task ends.
 """
 
 import json
-import sys
-import types
 import unicodedata
+from array import array
 
 import numpy as np
+import pandas as pd
 
 from kinlink.llm import words as W
 
-CACHE_PIECES = 700_000
+# Pieces of each of the two generations that a task keeps.
+CACHE_PIECES = 150_000
 _SPACES = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 
 
-def worker_state(name: str) -> dict:
-    """A dictionary that lives as long as the Python worker, over all its tasks."""
-    module = sys.modules.setdefault("_kinlink_worker_state", types.ModuleType("_kinlink_worker_state"))
-    return module.__dict__.setdefault(name, {})
-
-
 def byte_letters() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -98,42 +93,75 @@ def piece_starts(text: str, points: np.ndarray, offsets: np.ndarray, added=()) -
     return np.flatnonzero(starts)
 
 
+def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The kind of each span of bytes, and one span of each kind; equal content is one kind.
+
+    Spans are told apart by a hash, and a second one is compared with that of the span that
+    stands for the kind. If they ever differ, the bytes themselves are compared instead.
+    """
+    code, kinds = pd.factorize(W.span_hashes(data, starts, ends, 1))
+    sample = np.empty(len(kinds), np.int64)
+    sample[code[::-1]] = np.arange(len(code))[::-1]
+    second = W.span_hashes(data, starts, ends, 2)
+    if (second != second[sample][code]).any():
+        raw = data.tobytes()
+        spans = np.array([raw[s:e] for s, e in zip(starts.tolist(), ends.tolist())], object)
+        code, kinds = pd.factorize(spans)
+        sample = np.empty(len(kinds), np.int64)
+        sample[code[::-1]] = np.arange(len(code))[::-1]
+    return code, sample
+
+
 class PieceEncoder:
-    """Token ids of whole texts, from a function that encodes one piece to ids."""
+    """Token ids of whole texts, from a function that encodes pieces to ids.
+
+    ``encode_pieces(raw, spans)`` gives the ids of some spans of the bytes ``raw``.
+    """
 
-    def __init__(self, encode_piece, added: dict[str, int], cache: dict):
-        self.encode_piece, self.added, self.cache = encode_piece, added, cache
+    def __init__(self, encode_pieces, added: dict[str, int]):
+        self.encode_pieces, self.added = encode_pieces, {token.encode(): i for token, i in added.items()}
+        self.strings = list(added)
+        # Pieces move to the young generation when they are met; the old one goes as a whole.
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _known(self, raw: bytes, spans: list[tuple[int, int]]) -> list[bytes]:
+        keys = [raw[s:e] for s, e in spans]
+        found = list(map(self.young.get, keys))
+        missing = []
+        for i, ids in enumerate(found):
+            if ids is None:
+                ids = found[i] = self.old.get(keys[i])
+                if ids is None:
+                    missing.append(i)
+                else:
+                    self.young[keys[i]] = ids
+        for i, ids in zip(missing, self.encode_pieces(raw, [spans[i] for i in missing])):
+            own = self.added.get(keys[i])
+            found[i] = self.young[keys[i]] = array("I", ids if own is None else [own]).tobytes()
+        if len(self.young) > CACHE_PIECES:
+            self.old, self.young = self.young, {}
+        return found
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a slice of texts, as unsigned 32 bits, and the number of ids of each text."""
-        import pandas as pd
-
-        text = data.tobytes().decode("utf-8")
+        raw = data.tobytes()
+        text = raw.decode("utf-8")
         points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        lead = np.zeros(len(data) + 1, np.int64)
-        np.cumsum((data & 0xC0) != 0x80, out=lead[1:])
-        offsets = lead[offsets]
-        starts = piece_starts(text, points, offsets, self.added)
+        place = np.flatnonzero((data & 0xC0) != 0x80)
+        offsets = np.searchsorted(place, offsets)
+        starts = piece_starts(text, points, offsets, self.strings)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
-        ends = np.append(starts[1:], len(points))
-        code, kinds = pd.factorize(W.span_hashes(W.mix(points.astype(np.uint64), 3), starts, ends))
-        sample = np.empty(len(kinds), np.int64)
-        sample[code[::-1]] = np.arange(len(code))[::-1]
-        cache = self.cache
-        if len(cache) > CACHE_PIECES:
-            cache.clear()
-        pieces = list(map(cache.get, kinds.tolist()))
-        for i in [i for i, ids in enumerate(pieces) if ids is None]:
-            piece = text[starts[sample[i]] : ends[sample[i]]]
-            own = self.added.get(piece)
-            ids = np.array(self.encode_piece(piece) if own is None else [own], np.uint32).tobytes()
-            pieces[i] = cache[int(kinds[i])] = ids
+        begin = place[starts]
+        end = np.append(begin[1:], len(data))
+        code, sample = distinct_spans(data, begin, end)
+        pieces = self._known(raw, list(zip(begin[sample].tolist(), end[sample].tolist())))
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) >> 2
         blob = np.frombuffer(b"".join(pieces), np.uint32)
-        begin = np.cumsum(sizes) - sizes
+        first = np.cumsum(sizes) - sizes
         each = sizes[code]
         upto = np.cumsum(each)
-        ids = blob[np.arange(upto[-1]) + np.repeat(begin[code] - upto + each, each)]
+        ids = blob[np.arange(upto[-1]) + np.repeat(first[code] - upto + each, each)]
         whole = np.concatenate([[0], upto])[np.searchsorted(starts, offsets)]
         return ids, np.diff(whole)

@@ -17,6 +17,8 @@ LEAST_DOCS = 5
 LEAST_Z = 3.0
 # Stems: beginnings of words, in bytes, that count as terms beside the word itself.
 STEMS = (4, 5)
+# Batches that training takes at least; few labels are gone through more often.
+LEAST_STEPS = 300
 
 
 def _terms(data: np.ndarray, offsets: np.ndarray):
@@ -114,7 +116,7 @@ def fit(
     toxic = np.clip(labels.mean(), 1e-3, 1 - 1e-3)
     bias = float(np.log(toxic / (1 - toxic)))
     grown_w, grown_v, grown_b = np.full(m, 1e-6), np.full((m, factors), 1e-6), 1e-6
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-LEAST_STEPS * batch // len(labels)))):
         order = rng.permutation(len(labels))
         for s in range(0, len(order), batch):
             rows = order[s : s + batch]

@@ -6,6 +6,8 @@ Texts are taken in slices of a few megabytes, so memory does not follow the batc
 single text longer than a slice is a slice of its own.
 """
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -43,35 +45,33 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def span_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of each span of 64-bit symbols, equal for equal content wherever it stands.
-
-    A polynomial with an odd base: the difference of two prefix sums, shifted back by the
-    inverse power of the base.
-    """
-    n = len(symbols)
-    power, inverse = _powers(n)
-    prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum(symbols * power[:n], out=prefix[1:])
-    return mix((prefix[ends] - prefix[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
-
+# Spans up to this many bytes are hashed side by side, longer ones one by one.
+LONG_SPAN = 64
+_KEEP = np.array([2 ** (8 * k) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
 
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of each span of bytes, equal for equal content wherever it stands.
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, at least n of each; kept up to twice a slice."""
-    size = 2 * SLICE_BYTES if n <= 2 * SLICE_BYTES else n
-    if size not in _POWERS:
-        both = []
-        for step in (0x5851F42D4C957F2D, pow(0x5851F42D4C957F2D, -1, 2**64)):
-            power = np.full(size, step, np.uint64)
-            power[:1] = 1
-            both.append(np.cumprod(power))
-        if size > 2 * SLICE_BYTES:
-            return both[0], both[1]
-        _POWERS[size] = (both[0], both[1])
-    return _POWERS[size]
+    The length and then each block of eight bytes pass through the finaliser, which maps
+    different values to different ones; spans over ``LONG_SPAN`` bytes are hashed by BLAKE2b.
+    """
+    sizes = ends - starts
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    blocks = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    out = mix(sizes.astype(np.uint64), seed)
+    some = np.flatnonzero(sizes <= LONG_SPAN)
+    for k in range(0, LONG_SPAN, 8):
+        some = some[sizes[some] > k]
+        if not len(some):
+            break
+        block = blocks[starts[some] + k] & _KEEP[np.minimum(sizes[some] - k, 8)]
+        out[some] = mix(out[some] ^ block, seed)
+    key = seed.to_bytes(8, "little")
+    for i in np.flatnonzero(sizes > LONG_SPAN).tolist():
+        digest = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, key=key).digest()
+        out[i] = int.from_bytes(digest, "little")
+    return out
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray, parts: np.ndarray | None = None):
@@ -98,8 +98,7 @@ def lowered(data: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    symbols = mix(np.arange(256, dtype=np.uint64), 7)[lowered(data)]
-    return span_hashes(symbols, starts, ends)
+    return span_hashes(lowered(data), starts, ends, 7)
 
 
 def shingles(words: np.ndarray, owner: np.ndarray, owners: int):
