@@ -13,15 +13,27 @@ from kinlink.llm.mixing import mixed_documents
 from kinlink.llm.paragraphs import without_repeats
 from kinlink.llm.queries import VOCABULARY
 from kinlink.llm.tables import store
-from kinlink.llm.toxicity import toxicity
+from kinlink.llm.toxicity import score, train
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a predicted toxicity under 0.7; rows that share an id go together."""
+    """Documents with a predicted toxicity under 0.7; rows that share an id go together.
+
+    Rows without an id are scored as well, and go by their text.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    gone = toxicity(docs, labels).where("predicted = 1").select("doc_id").distinct()
+    named, nameless = docs.where("doc_id is not null"), docs.where("doc_id is null")
+    machine = train(docs, labels)
+    gone = score(named, machine).where("score >= 0.7").select(F.col("id").alias("doc_id")).distinct()
     gone = store(gone, "toxic")  # its size is then known when the join with the texts is planned
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    kept = named.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # Texts without an id are scored under their number in a written table.
+    number = "number"
+    while number in docs.columns:
+        number += "_"
+    nameless = store(nameless.withColumn(number, F.monotonically_increasing_id()), "nameless")
+    toxic = score(nameless, machine, number).where("score >= 0.7").select(F.col("id").alias(number))
+    return kept.unionByName(nameless.join(toxic, number, "left_anti").select(*docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
