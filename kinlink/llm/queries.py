@@ -4,6 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinlink.llm import sql as SQL
 from kinlink.llm.bpe import encode_decode
 from kinlink.llm.chat import digests, format_conversations
 from kinlink.llm.huffman import token_files
@@ -13,6 +14,7 @@ from kinlink.llm.minhash import near_duplicates
 from kinlink.llm.mixing import fair_queue
 from kinlink.llm.paragraphs import without_repeats
 from kinlink.llm.toxicity import toxicity
+from kinlink.llm.trie import conversation_trie
 from kinlink.llm.vafile import top_k
 
 
@@ -83,7 +85,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all conversations, rebuilt with shared beginnings."""
+    return conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
+    "op13_conversation_trie": op13_conversation_trie,
     "op1_itq_near_dedup": op1_itq_near_dedup,
     "op5_paragraph_dedup": op5_paragraph_dedup,
     "op6_vector_top_k": op6_vector_top_k,
@@ -96,4 +104,4 @@ QUERIES = {
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op13_conversation_trie": SQL.TRIE}
