@@ -12,6 +12,7 @@ from kinlink.llm.itq import near_vectors
 from kinlink.llm.language import language
 from kinlink.llm.minhash import near_duplicates
 from kinlink.llm.mixing import fair_queue
+from kinlink.llm.packing import pack_documents
 from kinlink.llm.paragraphs import without_repeats
 from kinlink.llm.toxicity import toxicity
 from kinlink.llm.trie import conversation_trie
@@ -19,6 +20,7 @@ from kinlink.llm.vafile import top_k
 
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,12 +87,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 4096 tokens; the ids stay in the operator's table."""
+    return pack_documents(_table(spark, sf_dir, "documents"), WORD_VOCABULARY).drop("ids")
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The prefix trie of all conversations, rebuilt with shared beginnings."""
     return conversation_trie(_table(spark, sf_dir, "conversations"))
 
 
 QUERIES = {
+    "op11_best_fit_packing": op11_best_fit_packing,
     "op13_conversation_trie": op13_conversation_trie,
     "op1_itq_near_dedup": op1_itq_near_dedup,
     "op5_paragraph_dedup": op5_paragraph_dedup,
