@@ -14,6 +14,7 @@ from kinlink.llm.minhash import near_duplicates
 from kinlink.llm.mixing import fair_queue
 from kinlink.llm.packing import pack_documents
 from kinlink.llm.paragraphs import without_repeats
+from kinlink.llm.phrases import collocations
 from kinlink.llm.toxicity import toxicity
 from kinlink.llm.trie import conversation_trie
 from kinlink.llm.vafile import top_k
@@ -92,12 +93,18 @@ def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), WORD_VOCABULARY).drop("ids")
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 collocations of each language in all documents."""
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The prefix trie of all conversations, rebuilt with shared beginnings."""
     return conversation_trie(_table(spark, sf_dir, "conversations"))
 
 
 QUERIES = {
+    "op12_collocations": op12_collocations,
     "op11_best_fit_packing": op11_best_fit_packing,
     "op13_conversation_trie": op13_conversation_trie,
     "op1_itq_near_dedup": op1_itq_near_dedup,
@@ -112,4 +119,4 @@ QUERIES = {
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
 }
 
-ORACLES: dict[str, str] = {"op13_conversation_trie": SQL.TRIE}
+ORACLES: dict[str, str] = {"op12_collocations": SQL.PHRASES, "op13_conversation_trie": SQL.TRIE}

@@ -38,3 +38,38 @@ LEFT JOIN nodes p ON n.depth > 0 AND p.path = n.path[1:n.depth - 1]
 LEFT JOIN children k ON k.path = n.path
 JOIN below b ON b.path = n.path
 """
+
+PHRASES = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents
+), lists AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda w: w <> '') AS words FROM pieces
+), sizes AS (
+  SELECT lang, sum(len(words))::BIGINT AS n FROM lists GROUP BY lang
+), spots AS (
+  SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM lists
+), counts AS (
+  SELECT lang, phrase, count(*) AS f FROM (
+    SELECT lang, words[i:i + m - 1] AS phrase FROM spots, range(1, 5) AS t(m) WHERE i + m - 1 <= len(words)
+  ) GROUP BY ALL HAVING count(*) >= 30
+), candidates AS (
+  SELECT lang, phrase, f AS a FROM counts WHERE len(phrase) > 1
+), cuts AS (
+  SELECT c.lang, c.phrase, c.a, k, l.f AS l, r.f AS r, (2000000::HUGEINT * c.a) // (l.f + r.f) AS score
+  FROM (SELECT *, unnest(range(1, len(phrase))) AS k FROM candidates) c
+  JOIN counts l ON l.lang = c.lang AND l.phrase = c.phrase[1:k]
+  JOIN counts r ON r.lang = c.lang AND r.phrase = c.phrase[k + 1:]
+), best AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inner_phrases AS (
+  SELECT lang, phrase[i:i + m - 1] AS phrase, max(a) AS longer
+  FROM candidates, range(2, 4) AS t(m), range(1, 4) AS s(i) WHERE m < len(phrase) AND i + m - 1 <= len(phrase) GROUP BY ALL
+), stay AS (
+  SELECT b.* FROM best b LEFT JOIN inner_phrases USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 80 * a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(phrase, ' ')) AS rank,
+  array_to_string(phrase, ' ') AS phrase, a, l, r, n, score::BIGINT AS score
+FROM stay JOIN sizes USING (lang) QUALIFY rank <= 2000
+"""
