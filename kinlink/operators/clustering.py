@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from kinlink.functions.arrow import list_matrix, matrix_list
 from kinlink.functions.signatures import LONG
-from kinlink.operators.nearest import DOT_DECIMALS, dot_best, grid_best
+from kinlink.operators.nearest import DOT_DECIMALS, PrunedSearch, dot_best
 from kinlink.session import broadcast_rows
 
 CLUSTERS = 50
@@ -197,8 +197,10 @@ def assign_clusters(
 ) -> DataFrame:
     """``rows`` with ``cluster_id`` and ``cluster_score`` of the centre with the largest dot product.
 
-    Centres that fit the limit are shipped to the tasks. More of them are matched on a grid
-    of tiles, like records. Rows without a vector get a null cluster.
+    Centres that fit the limit are shipped to the tasks. More of them are cut into tiles in the
+    order of their direction, and a row meets only tiles whose bound reaches its best score.
+    Rows travel with their other columns, so nothing is joined by a vector. Rows without a
+    vector get a null cluster.
     """
     held = held or Centroids.read(centroids)
     if held is not None:
@@ -208,13 +210,15 @@ def assign_clusters(
             F.col("_best.cluster_id").alias("cluster_id"),
             F.col("_best.score").alias("cluster_score"),
         )
-    one_group = F.lit(0).alias("all")
-    known = centroids.select(one_group, F.col("centroid").alias(vec), F.col("cluster_id").alias("id"))
-    asked = rows.where(F.col(vec).isNotNull()).select(one_group, vec).distinct()
-    best = grid_best(asked, known, ["all"], vec, dot_best).select(
-        vec, F.col("id").alias("cluster_id"), F.col("score").alias("cluster_score")
+    known = centroids.select(F.col("centroid").alias(vec), F.col("cluster_id").alias("id"))
+    others = [name for name in rows.columns if name != vec]
+    asked = rows.where(F.col(vec).isNotNull())
+    search = PrunedSearch.of(asked, known, [], vec, dot_best, False, carry=others)
+    best = search.best("cluster_id", "cluster_score")
+    none = rows.where(F.col(vec).isNull()).select(
+        *rows.columns, F.lit(None).cast("int").alias("cluster_id"), F.lit(None).cast("double").alias("cluster_score")
     )
-    return rows.join(best, vec, "left").select(*rows.columns, "cluster_id", "cluster_score")
+    return best.select(*rows.columns, "cluster_id", "cluster_score").union(none)
 
 
 def _partial_sums(vec, held, before):

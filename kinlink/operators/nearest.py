@@ -1,28 +1,44 @@
-"""Top-1 record per query inside a group, over tiles of bounded size.
+"""Top-1 record per query inside a group, by an exact search that leaves out most of the group.
 
 A group (block or cluster) may hold any share of all rows, so it is never handled as one:
 
 1. Equal signatures in a group are one row (lowest id), so copies cost nothing.
 2. A query whose signature occurs in its group is settled by an equi join: the score is 1,
    which no other record can exceed.
-3. What is left is laid on a grid: records in tiles, queries in strips. One task sees one
-   tile and one strip, multiplies the two matrices and returns one row per query. No pair
-   ever becomes a row.
+3. What is left is put in the order of its direction, the positions of the largest components,
+   and cut: records into tiles, queries into strips. A tile is one row with its vectors and
+   the box around them.
+4. No vector of a tile can score more with a query than the best point of the box inside the
+   sphere. Each query first visits the tile where that bound is largest, and then only tiles
+   whose bound reaches the score found. One task sees a tile and the queries of one strip
+   that visit it. No pair of records ever becomes a row.
 """
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinlink.functions.arrow import list_matrix
 from kinlink.session import materialise
 
-# Rows per side of one grid cell: about 7 MB of signatures, and seconds of work.
-TILE_ROWS = 32768
-STRIP_ROWS = 32768
+# Rows of a tile and of a strip: under 2 MB of signatures.
+TILE_ROWS = 4096
+STRIP_ROWS = 4096
+# Boxes of a directory page; copies of the directory, among which the strips of a group are split.
+PAGE_TILES = 512
+COPIES = 8
+# Components whose positions give the direction of a vector.
+LEADING = 3
+# Multipliers at which the bound is computed, for a query and a sphere of length 1.
+MULTIPLIERS = (0.5, 0.65, 0.85)
+# What rounding may take from a bound, relative to the largest possible score.
+SLACK = 1e-9
 
 # Scores held at once inside a task (4 bytes each).
 _SCORES_AT_ONCE = 4_000_000
@@ -87,76 +103,286 @@ def _best(asked, scaled, score, tie=0.0):
     return best, top
 
 
-def _tile_winners(vec, on, best_of):
-    """Arrow co-group function: one strip of queries against one tile of records."""
+def direction(vec: Column) -> Column:
+    """A number that orders vectors by the signed positions of their largest components."""
+
+    @F.arrow_udf(T.LongType())
+    def code(column: pa.Array) -> pa.Array:
+        valid, matrix = list_matrix(column)
+        out = np.zeros(len(valid), np.int64)
+        if len(matrix):
+            top = np.argsort(-np.abs(matrix), axis=1, kind="stable")[:, :LEADING]
+            signed = 2 * top + (np.take_along_axis(matrix, top, 1) < 0)
+            number = np.zeros(len(matrix), np.int64)
+            for column_ in signed.T:
+                number = number * (2 * matrix.shape[1]) + column_
+            out[valid] = number
+        return pa.array(out)
+
+    return code(vec)
+
+
+def _lists(column) -> np.ndarray:
+    """Rows of an equal-length list column as a matrix."""
+    return list_matrix(column)[1]
+
 
-    def run(strip: pa.Table, tile: pa.Table) -> pa.Table:
-        if strip.num_rows == 0 or tile.num_rows == 0:
-            picked, score = np.empty(0, dtype=np.int64), np.empty(0)
-            strip, tile = strip.slice(0, 0), tile.slice(0, 0)
-        else:
-            tile = tile.take(pc.sort_indices(tile["id"]))
-            asked = list_matrix(strip[vec])[1]
-            known = list_matrix(tile[vec])[1]
-            picked, score = best_of(asked, known)
-        columns = {name: strip[name] for name in [*on, vec]}
-        columns["id"] = tile["id"].take(pa.array(picked))
-        columns["score"] = pa.array(score, type=pa.float64())
-        return pa.table(columns)
+def _cut(on, vec, more, limit, unit):
+    """Rows in order to one row for each run of at most ``limit`` rows of a group."""
+
+    def run(batches):
+        part = TaskContext.get().partitionId() << 32
+        key, held, made = None, [], 0
+
+        def packed():
+            nonlocal made
+            table = pa.concat_tables(held).combine_chunks()
+            matrix = _lists(table[vec])
+            shape = matrix
+            if unit:
+                length = np.sqrt((matrix * matrix).sum(1, keepdims=True))
+                shape = matrix / np.where(length == 0, 1, length)
+            columns = {name: table[name].slice(0, 1) for name in on}
+            columns["cut"] = pa.array([part + made], pa.int64())
+            for name in [vec, *more]:
+                values = table[name].combine_chunks()
+                columns["all_" + name] = pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+            # Single precision, moved outwards, so that the box still holds every vector.
+            low, high = shape.min(0).astype(np.float32), shape.max(0).astype(np.float32)
+            low, high = np.nextafter(low, np.float32(-np.inf)), np.nextafter(high, np.float32(np.inf))
+            columns["low"] = pa.array([low], pa.list_(pa.float32()))
+            columns["high"] = pa.array([high], pa.list_(pa.float32()))
+            columns["radius"] = pa.array([float(np.sqrt((shape * shape).sum(1)).max())])
+            made += 1
+            return pa.table(columns).combine_chunks().to_batches()[0]
+
+        for batch in batches:
+            table = pa.table(dict(zip(batch.schema.names, batch.columns)))
+            keys = list(zip(*[table[name].to_pylist() for name in on])) if on else [()] * len(table)
+            start = 0
+            while start < len(keys):
+                stop = start
+                room = limit - sum(map(len, held))
+                if held and keys[start] != key:
+                    room = 0
+                key = keys[start] if not held else key
+                while stop < len(keys) and stop - start < room and keys[stop] == key:
+                    stop += 1
+                if stop > start:
+                    held.append(table.slice(start, stop - start))
+                    start = stop
+                else:
+                    yield packed()
+                    held = []
+        if held:
+            yield packed()
 
     return run
 
 
-def grid_best(
-    asked: DataFrame,
-    known: DataFrame,
-    on: list[str],
-    vec: str,
-    best_of=cosine_best,
-    tile_rows: int = TILE_ROWS,
-    strip_rows: int = STRIP_ROWS,
-) -> DataFrame:
-    """``(on, vec, id, score)``: best row of ``known(on, vec, id)`` per row of ``asked(on, vec)``."""
-    grid = (
-        known.groupBy(*on)
-        .agg(F.count(F.lit(1)).alias("n_known"))
-        .join(asked.groupBy(*on).agg(F.count(F.lit(1)).alias("n_asked")), on)
-        .select(
+def cut_in_order(rows: DataFrame, on: list[str], vec: str, more: list[str], limit: int, unit: bool) -> DataFrame:
+    """One row for each run of at most ``limit`` rows of a group in the order of direction.
+
+    ``(on, cut, all_<vec>, all_<more>, low, high, radius)``: the lists of the run, and the box and
+    the largest length of its vectors (of length 1 if ``unit``). Rows are range-partitioned by
+    group, direction and a hash, so no group and no direction is in one task.
+    """
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Working columns get names that no group column has.
+    code, mark = "_direction", "_mark"
+    placed = rows.dropna(subset=on) if on else rows
+    placed = placed.select(*on, vec, *more, direction(F.col(vec)).alias(code), F.xxhash64(vec).alias(mark))
+    order = [*on, code, mark]
+    placed = placed.repartitionByRange(parts, *order).sortWithinPartitions(*order).drop(code, mark)
+    box = T.ArrayType(T.FloatType())
+    schema = T.StructType(
+        [rows.schema[name] for name in on]
+        + [T.StructField("cut", T.LongType())]
+        + [T.StructField("all_" + name, T.ArrayType(rows.schema[name].dataType)) for name in [vec, *more]]
+        + [T.StructField("low", box), T.StructField("high", box), T.StructField("radius", T.DoubleType())]
+    )
+    return placed.mapInArrow(_cut(on, vec, more, limit, unit), schema)
+
+
+def bounds(asked: np.ndarray, low: np.ndarray, high: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """The largest product that each query can have with a vector of each tile, or more.
+
+    For any multiplier m >= 0, the product with a vector x of the box and of at most ``radius``
+    length is at most m * radius**2 + sum of max(q x - m x**2) over the box.
+    """
+    length = np.sqrt((asked * asked).sum(1))
+    best = np.full((len(asked), len(low)), np.inf)
+    scale = np.where(length == 0, 1, length)[:, None] / np.where(radius == 0, 1, radius)[None, :]
+    for multiplier in MULTIPLIERS:
+        m = multiplier * scale
+        total = m * (radius**2)[None, :]
+        for d in range(asked.shape[1]):
+            q = asked[:, d, None]
+            x = np.clip(q / (2 * m), low[None, :, d], high[None, :, d])
+            total += x * (q - m * x)
+        np.minimum(best, total, out=best)
+    return best + SLACK * length[:, None] * radius[None, :]
+
+
+def _routes(vec, unit, tie, first):
+    """Rows (strip, page) to one request for each tile that queries of the strip visit."""
+
+    def run(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                row = batch.slice(r, 1)
+                column = row.column("all_" + vec)
+                vectors = column.flatten()
+                asked = list_matrix(vectors)[1].astype(np.float64)
+                if unit:
+                    size = np.sqrt((asked * asked).sum(1, keepdims=True))
+                    asked = asked / np.where(size == 0, 1, size)
+                cuts = row.column("cuts").flatten().to_numpy()
+                low, high = (list_matrix(row.column(c).flatten(), np.float64)[1] for c in ("lows", "highs"))
+                upper = bounds(asked, low, high, row.column("radii").flatten().to_numpy())
+                if first:
+                    visits = np.zeros(upper.shape, bool)
+                    visits[np.arange(len(asked)), upper.argmax(1)] = True
+                else:
+                    found = row.column("found").flatten().to_numpy(zero_copy_only=False)
+                    visits = upper >= (found - tie)[:, None]
+                    visits[np.arange(len(asked)), upper.argmax(1)] = False
+                tiles = np.flatnonzero(visits.any(0))
+                if not len(tiles):
+                    continue
+                rows = [np.flatnonzero(visits[:, t]) for t in tiles]
+                edges = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int32))
+                flat = np.concatenate(rows)
+                yield pa.record_batch(
+                    [
+                        pa.array(cuts[tiles]),
+                        pa.array(np.full(len(tiles), row.column("strip")[0].as_py())),
+                        pa.ListArray.from_arrays(edges, pa.array(flat.astype(np.int32))),
+                        pa.ListArray.from_arrays(edges, vectors.take(pa.array(flat))),
+                    ],
+                    ["cut", "strip", "rows", "asked"],
+                )
+
+    return run
+
+
+def _cells(vec, best_of):
+    """Rows (request, tile) to the best record of the tile for each query of the request."""
+
+    def run(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                row = batch.slice(r, 1)
+                ids = row.column("all_id").flatten()
+                order = pc.sort_indices(ids)
+                ids = ids.take(order)
+                known = list_matrix(row.column("all_" + vec).flatten().take(order))[1]
+                asked = list_matrix(row.column("asked").flatten())[1]
+                picked, score = best_of(asked, known)
+                yield pa.record_batch(
+                    [
+                        pa.array(np.full(len(asked), row.column("strip")[0].as_py())),
+                        row.column("rows").flatten(),
+                        ids.take(pa.array(picked)),
+                        pa.array(score, pa.float64()),
+                    ],
+                    ["strip", "row", "id", "score"],
+                )
+
+    return run
+
+
+@dataclass(frozen=True)
+class PrunedSearch:
+    """Exact best record of each asked row, visiting only tiles whose bound reaches the best so far."""
+
+    on: list[str]
+    vec: str
+    carry: list[str]
+    tiles: DataFrame
+    strips: DataFrame
+    first: DataFrame
+    found: DataFrame
+    second: DataFrame
+    cells: object
+
+    @classmethod
+    def of(cls, asked, known, on, vec, best_of, unit, tile_rows=TILE_ROWS, strip_rows=STRIP_ROWS, carry=()):
+        """``asked(on, vec, carry)``, ``known(on, vec, id)``; ``unit``: scores are cosines."""
+        carry = list(carry)
+        tie = 0.0 if unit else 10.0**-DOT_DECIMALS
+        tiles = materialise(cut_in_order(known, on, vec, ["id"], tile_rows, unit), "tiles")
+        strips = cut_in_order(asked, on, vec, carry, strip_rows, unit).drop("low", "high", "radius")
+        strips = materialise(strips.withColumnRenamed("cut", "strip"), "strips")
+        # Pages of boxes, once for each copy: strips of one group meet different copies.
+        page = F.pmod(F.xxhash64("cut"), F.ceil(F.col("boxes") / PAGE_TILES))
+        boxes = tiles.select(*on, "cut", "low", "high", "radius")
+        sizes = boxes.groupBy(*on).agg(F.count(F.lit(1)).alias("boxes"))
+        boxes = boxes.join(sizes, on) if on else boxes.crossJoin(sizes)
+        item = F.struct("cut", "low", "high", "radius")
+        pages = boxes.withColumn("page", page).groupBy(*on, "page").agg(F.array_sort(F.collect_list(item)).alias("items"))
+        pages = pages.select(
             *on,
-            F.ceil(F.col("n_known") / tile_rows).cast("int").alias("tiles"),
-            F.ceil(F.col("n_asked") / strip_rows).cast("int").alias("strips"),
+            F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))).alias("copy"),
+            *[F.col("items")[c].alias(name) for c, name in (("cut", "cuts"), ("low", "lows"), ("high", "highs"), ("radius", "radii"))],
+        )
+        pages = materialise(pages, "pages")
+        copy = F.pmod(F.xxhash64("strip"), F.lit(COPIES)).cast("int").alias("copy")
+        copied = strips.select(*on, "strip", "all_" + vec, copy)
+        schema = T.StructType(
+            [
+                T.StructField("cut", T.LongType()),
+                T.StructField("strip", T.LongType()),
+                T.StructField("rows", T.ArrayType(T.IntegerType())),
+                T.StructField("asked", strips.schema["all_" + vec].dataType),
+            ]
+        )
+        answer = T.StructType(
+            [
+                T.StructField("strip", T.LongType()),
+                T.StructField("row", T.IntegerType()),
+                T.StructField("id", known.schema["id"].dataType),
+                T.StructField("score", T.DoubleType()),
+            ]
         )
-    )
 
-    def every(count):
-        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+        def answers(requests):
+            met = requests.join(tiles.select("cut", "all_id", "all_" + vec), "cut").drop("cut")
+            return met.mapInArrow(_cells(vec, best_of), answer)
 
-    def one_of(count):
-        return F.pmod(F.xxhash64(vec), F.col(count)).cast("int")
+        first = copied.join(pages, [*on, "copy"]).mapInArrow(_routes(vec, unit, tie, True), schema)
+        first = materialise(first, "first")
+        found = materialise(answers(first), "found")
+        # The best score of each row of a strip, as a list in the order of the rows.
+        best = found.groupBy("strip", "row").agg(F.max("score").alias("score"))
+        best = best.groupBy("strip").agg(F.array_sort(F.collect_list(F.struct("row", "score"))).alias("items"))
+        best = best.select("strip", F.transform("items", lambda i: i["score"]).alias("found"))
+        open_ = copied.join(best, "strip").join(pages.where(F.size("cuts") > 1), [*on, "copy"])
+        second = materialise(open_.mapInArrow(_routes(vec, unit, tie, False), schema), "second")
+        return cls(on, vec, carry, tiles, strips, first, found, second, answers)
 
-    cell = [*on, "tile", "strip"]
-    strips = (
-        asked.join(grid, on)
-        .select(*on, vec, one_of("strips").alias("strip"), every("tiles").alias("tile"))
-    )
-    tiles = (
-        known.join(grid, on)
-        .select(*on, vec, "id", one_of("tiles").alias("tile"), every("strips").alias("strip"))
-    )
-    schema = T.StructType(
-        [asked.schema[name] for name in [*on, vec]]
-        + [known.schema["id"], T.StructField("score", T.DoubleType())]
-    )
-    winners = (
-        strips.groupBy(*cell)
-        .cogroup(tiles.groupBy(*cell))
-        .applyInArrow(_tile_winners(vec, on, best_of), schema)
-    )
-    return (
-        winners.groupBy(*on, vec)
-        .agg(F.min(F.struct((-F.col("score")).alias("rank"), F.col("id"))).alias("top"))
-        .select(*on, vec, F.col("top.id").alias("id"), (-F.col("top.rank")).alias("score"))
-    )
+    def best(self, id_name: str = "id", score_name: str = "score") -> DataFrame:
+        """``(on, vec, carry, id, score)`` of each asked row, the lowest id on ties."""
+        every = self.found.unionByName(self.cells(self.second))
+        top = every.groupBy("strip", "row").agg(F.min(F.struct((-F.col("score")).alias("rank"), F.col("id"))).alias("top"))
+        own = [self.vec, *self.carry]
+        cells = F.posexplode(F.arrays_zip(*["all_" + name for name in own])).alias("row", "cell")
+        rows = self.strips.select(F.struct(*self.on).alias("group") if self.on else F.lit(0).alias("group"), "strip", cells)
+        return rows.join(top, ["strip", "row"]).select(
+            *[F.col("group")[name].alias(name) for name in self.on],
+            *[F.col("cell")["all_" + name].alias(name) for name in own],
+            F.col("top.id").alias(id_name),
+            (-F.col("top.rank")).alias(score_name),
+        )
+
+    def visits(self) -> tuple[int, int]:
+        """Cells (strip, tile) that were visited, and all cells of the groups."""
+        visited = self.first.select("strip", "cut").union(self.second.select("strip", "cut")).distinct().count()
+        both = self.strips.groupBy(*self.on).agg(F.count(F.lit(1)).alias("s"))
+        tiles = self.tiles.groupBy(*self.on).agg(F.count(F.lit(1)).alias("t"))
+        both = both.join(tiles, self.on) if self.on else both.crossJoin(tiles)
+        return visited, both.agg(F.sum(F.col("s") * F.col("t"))).first()[0] or 0
 
 
 def best_record(
@@ -181,7 +407,6 @@ def best_record(
     asked = materialise(posed.select(*key).distinct().join(known, key, "left"), "asked")
     settled = asked.where("id is not null").withColumn("score", F.lit(1.0))
     left_open = asked.where("id is null").drop("id")
-    graded = settled.unionByName(
-        grid_best(left_open, known, on, vec, cosine_best, tile_rows, strip_rows)
-    )
+    search = PrunedSearch.of(left_open, known, on, vec, cosine_best, True, tile_rows, strip_rows)
+    graded = settled.unionByName(search.best())
     return posed.join(graded, key).select("qid", *on, "id", "score")

@@ -5,7 +5,14 @@ from brute import best as plain_best
 from brute import plan_text
 from pyspark.sql import functions as F
 
-from kinlink.operators.nearest import best_record, cosine_best, dot_best
+from kinlink.operators.nearest import (
+    PrunedSearch,
+    best_record,
+    bounds,
+    cosine_best,
+    cut_in_order,
+    dot_best,
+)
 from kinlink.plans.link import link_by_block, unlinked
 
 SCHEMA = "id bigint, block string, sig50 array<int>"
@@ -113,4 +120,53 @@ def test_pairs_never_become_rows(spark):
     asked = spark.createDataFrame(_rows(50, 9), SCHEMA).withColumnRenamed("id", "qid")
     plan = plan_text(best_record(asked, known, ["block"]))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-    assert "FlatMapCoGroupsInArrow" in plan
+    assert "MapInArrow" in plan and "CoGroups" not in plan
+
+
+def _directed(n, seed, noise=0.15):
+    """Vectors around 40 directions, as signatures of similar names are."""
+    draw = np.random.default_rng(seed)
+    heads = np.random.default_rng(0).exponential(20000, (40, 50))
+    return (heads[draw.integers(0, 40, n)] * draw.uniform(1 - noise, 1 + noise, (n, 50))).astype(int) + 1
+
+
+def test_bounds_hold_for_every_vector_of_a_tile():
+    draw = np.random.default_rng(1)
+    for unit in (True, False):
+        known, asked = draw.normal(size=(300, 20)), draw.normal(size=(40, 20))
+        known *= draw.uniform(0.1, 3, (300, 1))
+        if unit:
+            known, asked = np.abs(known), np.abs(asked)
+            known /= np.linalg.norm(known, axis=1, keepdims=True)
+            asked /= np.linalg.norm(asked, axis=1, keepdims=True)
+        tiles = np.split(known[np.argsort(known[:, 0])], 30)
+        low, high = np.array([t.min(0) for t in tiles]), np.array([t.max(0) for t in tiles])
+        radius = np.array([np.linalg.norm(t, axis=1).max() for t in tiles])
+        upper = bounds(asked, low, high, radius)
+        best = np.array([(asked @ t.T).max(1) for t in tiles]).T
+        assert (upper >= best).all()
+        assert (upper < np.linalg.norm(asked, axis=1)[:, None] * radius * 1.01).all()
+
+
+def test_search_visits_few_cells_and_finds_the_best(spark):
+    known, asked = _directed(3000, 2), _directed(400, 3)
+    records = [(i, "hot", v.tolist()) for i, v in enumerate(known)]
+    queries = [(i, "hot", v.tolist()) for i, v in enumerate(asked)]
+    rows = spark.createDataFrame(records, SCHEMA)
+    posed = spark.createDataFrame(queries, SCHEMA).drop("id")
+    search = PrunedSearch.of(posed, rows, ["block"], "sig50", cosine_best, True, tile_rows=40, strip_rows=40)
+    got = {tuple(r["sig50"]): (r["id"], r["score"]) for r in search.best().collect()}
+    pick, score = cosine_best(asked.astype(float), known.astype(float))
+    assert all(got[tuple(v)] == (int(p), x) for v, p, x in zip(asked.tolist(), pick, score))
+    visited, cells = search.visits()
+    assert cells >= 75 * 10 and visited < cells / 3
+
+
+def test_a_group_is_never_shuffled_by_its_key_alone(spark):
+    known = spark.createDataFrame(_rows(200, 8, hot=1.0), SCHEMA)
+    cut = cut_in_order(known, ["block"], "sig50", ["id"], 20, True)
+    plan = plan_text(cut)
+    assert "rangepartitioning(block" in plan and "hashpartitioning" not in plan
+    rows = cut.withColumn("part", F.shiftright("cut", 32)).collect()
+    assert max(len(r["all_id"]) for r in rows) == 20 and len({r["part"] for r in rows}) > 1
+    assert sorted(i for r in rows for i in r["all_id"]) == list(range(200))
