@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from kinlink.functions.arrow import list_matrix, matrix_list
 from kinlink.functions.signatures import LONG
-from kinlink.operators.nearest import DOT_DECIMALS, PrunedSearch, dot_best
+from kinlink.operators.nearest import DOT_DECIMALS, RecordIndex, dot_best
 from kinlink.session import broadcast_rows
 
 CLUSTERS = 50
@@ -213,7 +213,7 @@ def assign_clusters(
     known = centroids.select(F.col("centroid").alias(vec), F.col("cluster_id").alias("id"))
     others = [name for name in rows.columns if name != vec]
     asked = rows.where(F.col(vec).isNotNull())
-    search = PrunedSearch.of(asked, known, [], vec, dot_best, False, carry=others)
+    search = RecordIndex.of(known, [], vec, unit=False).search(asked, others)
     best = search.best("cluster_id", "cluster_score")
     none = rows.where(F.col(vec).isNull()).select(
         *rows.columns, F.lit(None).cast("int").alias("cluster_id"), F.lit(None).cast("double").alias("cluster_score")

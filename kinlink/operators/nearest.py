@@ -267,7 +267,7 @@ def _routes(vec, unit, tie, first):
     return run
 
 
-def _cells(vec, best_of):
+def _cells(vec, best_of, more):
     """Rows (request, tile) to the best record of the tile for each query of the request."""
 
     def run(batches):
@@ -280,41 +280,42 @@ def _cells(vec, best_of):
                 known = list_matrix(row.column("all_" + vec).flatten().take(order))[1]
                 asked = list_matrix(row.column("asked").flatten())[1]
                 picked, score = best_of(asked, known)
+                chosen = order.take(pa.array(picked))
                 yield pa.record_batch(
                     [
                         pa.array(np.full(len(asked), row.column("strip")[0].as_py())),
                         row.column("rows").flatten(),
                         ids.take(pa.array(picked)),
                         pa.array(score, pa.float64()),
+                        *[row.column("all_" + name).flatten().take(chosen) for name in more],
                     ],
-                    ["strip", "row", "id", "score"],
+                    ["strip", "row", "id", "score", *more],
                 )
 
     return run
 
 
 @dataclass(frozen=True)
-class PrunedSearch:
-    """Exact best record of each asked row, visiting only tiles whose bound reaches the best so far."""
+class RecordIndex:
+    """Records cut into tiles, and the boxes of the tiles: what a search needs, written once.
+
+    A tile is one row under its range partition, its shelf. A search reads the boxes, and of the
+    tiles only the shelves that some query visits.
+    """
 
     on: list[str]
     vec: str
-    carry: list[str]
+    more: list[str]
+    unit: bool
     tiles: DataFrame
-    strips: DataFrame
-    first: DataFrame
-    found: DataFrame
-    second: DataFrame
-    cells: object
+    pages: DataFrame
 
     @classmethod
-    def of(cls, asked, known, on, vec, best_of, unit, tile_rows=TILE_ROWS, strip_rows=STRIP_ROWS, carry=()):
-        """``asked(on, vec, carry)``, ``known(on, vec, id)``; ``unit``: scores are cosines."""
-        carry = list(carry)
-        tie = 0.0 if unit else 10.0**-DOT_DECIMALS
-        tiles = materialise(cut_in_order(known, on, vec, ["id"], tile_rows, unit), "tiles")
-        strips = cut_in_order(asked, on, vec, carry, strip_rows, unit).drop("low", "high", "radius")
-        strips = materialise(strips.withColumnRenamed("cut", "strip"), "strips")
+    def of(cls, known, on, vec, more=(), unit=True, tile_rows=TILE_ROWS):
+        """Of ``known(on, vec, id, more)``; with ``unit`` scores are cosines, else rounded products."""
+        more = list(more)
+        tiles = cut_in_order(known, on, vec, ["id", *more], tile_rows, unit)
+        tiles = materialise(tiles.withColumn("shelf", F.shiftright("cut", 32)), "tiles", ["shelf"])
         # Pages of boxes, once for each copy: strips of one group meet different copies.
         page = F.pmod(F.xxhash64("cut"), F.ceil(F.col("boxes") / PAGE_TILES))
         boxes = tiles.select(*on, "cut", "low", "high", "radius")
@@ -322,12 +323,38 @@ class PrunedSearch:
         boxes = boxes.join(sizes, on) if on else boxes.crossJoin(sizes)
         item = F.struct("cut", "low", "high", "radius")
         pages = boxes.withColumn("page", page).groupBy(*on, "page").agg(F.array_sort(F.collect_list(item)).alias("items"))
+        names = (("cut", "cuts"), ("low", "lows"), ("high", "highs"), ("radius", "radii"))
         pages = pages.select(
             *on,
             F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))).alias("copy"),
-            *[F.col("items")[c].alias(name) for c, name in (("cut", "cuts"), ("low", "lows"), ("high", "highs"), ("radius", "radii"))],
+            *[F.col("items")[c].alias(name) for c, name in names],
         )
-        pages = materialise(pages, "pages")
+        return cls(list(on), vec, more, unit, tiles, materialise(pages, "pages"))
+
+    def answers(self, requests: DataFrame, best_of) -> DataFrame:
+        """``(strip, row, id, score, more)``: the best record of a visited tile for each query."""
+        # One number for each range partition at most.
+        shelves = [r[0] for r in requests.select(F.shiftright("cut", 32).alias("s")).distinct().collect()]
+        held = self.tiles.where(F.col("shelf").isin(shelves)).select("cut", *["all_" + c for c in ("id", self.vec, *self.more)])
+        kinds = [self.tiles.schema["all_" + name].dataType.elementType for name in ("id", *self.more)]
+        schema = T.StructType(
+            [
+                T.StructField("strip", T.LongType()),
+                T.StructField("row", T.IntegerType()),
+                T.StructField("id", kinds[0]),
+                T.StructField("score", T.DoubleType()),
+                *[T.StructField(name, kind) for name, kind in zip(self.more, kinds[1:])],
+            ]
+        )
+        return requests.join(held, "cut").drop("cut").mapInArrow(_cells(self.vec, best_of, self.more), schema)
+
+    def search(self, asked: DataFrame, carry=(), strip_rows: int = STRIP_ROWS) -> "PrunedSearch":
+        """The search for each row of ``asked(on, vec, carry)``."""
+        best_of = cosine_best if self.unit else dot_best
+        tie = 0.0 if self.unit else 10.0**-DOT_DECIMALS
+        on, vec = self.on, self.vec
+        strips = cut_in_order(asked, on, vec, list(carry), strip_rows, self.unit).drop("low", "high", "radius")
+        strips = materialise(strips.withColumnRenamed("cut", "strip"), "strips")
         copy = F.pmod(F.xxhash64("strip"), F.lit(COPIES)).cast("int").alias("copy")
         copied = strips.select(*on, "strip", "all_" + vec, copy)
         schema = T.StructType(
@@ -338,53 +365,79 @@ class PrunedSearch:
                 T.StructField("asked", strips.schema["all_" + vec].dataType),
             ]
         )
-        answer = T.StructType(
-            [
-                T.StructField("strip", T.LongType()),
-                T.StructField("row", T.IntegerType()),
-                T.StructField("id", known.schema["id"].dataType),
-                T.StructField("score", T.DoubleType()),
-            ]
-        )
-
-        def answers(requests):
-            met = requests.join(tiles.select("cut", "all_id", "all_" + vec), "cut").drop("cut")
-            return met.mapInArrow(_cells(vec, best_of), answer)
-
-        first = copied.join(pages, [*on, "copy"]).mapInArrow(_routes(vec, unit, tie, True), schema)
+        first = copied.join(self.pages, [*on, "copy"]).mapInArrow(_routes(vec, self.unit, tie, True), schema)
         first = materialise(first, "first")
-        found = materialise(answers(first), "found")
+        found = materialise(self.answers(first, best_of), "found")
         # The best score of each row of a strip, as a list in the order of the rows.
         best = found.groupBy("strip", "row").agg(F.max("score").alias("score"))
         best = best.groupBy("strip").agg(F.array_sort(F.collect_list(F.struct("row", "score"))).alias("items"))
         best = best.select("strip", F.transform("items", lambda i: i["score"]).alias("found"))
-        open_ = copied.join(best, "strip").join(pages.where(F.size("cuts") > 1), [*on, "copy"])
-        second = materialise(open_.mapInArrow(_routes(vec, unit, tie, False), schema), "second")
-        return cls(on, vec, carry, tiles, strips, first, found, second, answers)
+        more = copied.join(best, "strip").join(self.pages.where(F.size("cuts") > 1), [*on, "copy"])
+        second = materialise(more.mapInArrow(_routes(vec, self.unit, tie, False), schema), "second")
+        every = found.unionByName(self.answers(second, best_of))
+        return PrunedSearch(self, list(carry), strips, first, second, every)
+
+    def link(self, queries: DataFrame) -> DataFrame:
+        """``(qid, on, id, score, more)``: the best record of each query, as in ``best_record``."""
+        key = [*self.on, self.vec]
+        posed = queries.where(F.col(self.vec).isNotNull()).select("qid", *key)
+        return self.search(posed, ["qid"]).best().select("qid", *self.on, "id", "score", *self.more)
+
+
+@dataclass(frozen=True)
+class PrunedSearch:
+    """Exact best record of each asked row, visiting only tiles whose bound reaches the best so far."""
+
+    index: RecordIndex
+    carry: list[str]
+    strips: DataFrame
+    first: DataFrame
+    second: DataFrame
+    every: DataFrame
 
     def best(self, id_name: str = "id", score_name: str = "score") -> DataFrame:
-        """``(on, vec, carry, id, score)`` of each asked row, the lowest id on ties."""
-        every = self.found.unionByName(self.cells(self.second))
-        top = every.groupBy("strip", "row").agg(F.min(F.struct((-F.col("score")).alias("rank"), F.col("id"))).alias("top"))
-        own = [self.vec, *self.carry]
+        """``(on, vec, carry, id, score, more)`` of each asked row, the lowest id on ties."""
+        on, more = self.index.on, self.index.more
+        order = F.struct((-F.col("score")).alias("rank"), F.col("id"))
+        value = F.struct((-F.col("score")).alias("rank"), F.col("id"), *more)
+        top = self.every.groupBy("strip", "row").agg(F.min_by(value, order).alias("top"))
+        own = [self.index.vec, *self.carry]
         cells = F.posexplode(F.arrays_zip(*["all_" + name for name in own])).alias("row", "cell")
-        rows = self.strips.select(F.struct(*self.on).alias("group") if self.on else F.lit(0).alias("group"), "strip", cells)
+        rows = self.strips.select(F.struct(*on).alias("group") if on else F.lit(0).alias("group"), "strip", cells)
         return rows.join(top, ["strip", "row"]).select(
-            *[F.col("group")[name].alias(name) for name in self.on],
+            *[F.col("group")[name].alias(name) for name in on],
             *[F.col("cell")["all_" + name].alias(name) for name in own],
             F.col("top.id").alias(id_name),
             (-F.col("top.rank")).alias(score_name),
+            *[F.col("top")[name].alias(name) for name in more],
         )
 
     def visits(self) -> tuple[int, int]:
         """Cells (strip, tile) that were visited, and all cells of the groups."""
         visited = self.first.select("strip", "cut").union(self.second.select("strip", "cut")).distinct().count()
-        both = self.strips.groupBy(*self.on).agg(F.count(F.lit(1)).alias("s"))
-        tiles = self.tiles.groupBy(*self.on).agg(F.count(F.lit(1)).alias("t"))
-        both = both.join(tiles, self.on) if self.on else both.crossJoin(tiles)
+        on = self.index.on
+        strips = self.strips.groupBy(*on).agg(F.count(F.lit(1)).alias("s"))
+        tiles = self.index.tiles.groupBy(*on).agg(F.count(F.lit(1)).alias("t"))
+        both = strips.join(tiles, on) if on else strips.crossJoin(tiles)
         return visited, both.agg(F.sum(F.col("s") * F.col("t"))).first()[0] or 0
 
 
+def distinct_records(records: DataFrame, on: list[str], vec: str, more: list[str]) -> DataFrame:
+    """``(on, vec, id, more)``: of records that are equal in group and signature, the lowest id."""
+    known = records.where(F.col(vec).isNotNull()).groupBy(*on, vec)
+    if not more:
+        return known.agg(F.min("id").alias("id"))
+    top = known.agg(F.min_by(F.struct("id", *more), F.col("id")).alias("_top"))
+    return top.select(*on, vec, F.col("_top.id").alias("id"), *[F.col("_top")[c].alias(c) for c in more])
+
+
+def index_records(records: DataFrame, on: list[str], vec: str = "sig50", more: list[str] | None = None) -> RecordIndex:
+    """A standing index of ``records`` for ``RecordIndex.link``, with columns ``more`` of the winners."""
+    more = more or []
+    known = materialise(distinct_records(records, on, vec, more), "known")
+    return RecordIndex.of(known, on, vec, more)
+
+
 def best_record(
     queries: DataFrame,
     records: DataFrame,
@@ -400,13 +453,11 @@ def best_record(
     written tables; the distinct signatures of each are written down when this is called.
     """
     key = [*on, vec]
-    known = materialise(
-        records.where(F.col(vec).isNotNull()).groupBy(*key).agg(F.min("id").alias("id")), "known"
-    )
+    known = materialise(distinct_records(records, on, vec, []), "known")
     posed = queries.where(F.col(vec).isNotNull()).select("qid", *key)
     asked = materialise(posed.select(*key).distinct().join(known, key, "left"), "asked")
     settled = asked.where("id is not null").withColumn("score", F.lit(1.0))
     left_open = asked.where("id is null").drop("id")
-    search = PrunedSearch.of(left_open, known, on, vec, cosine_best, True, tile_rows, strip_rows)
+    search = RecordIndex.of(known, on, vec, tile_rows=tile_rows).search(left_open, strip_rows=strip_rows)
     graded = settled.unionByName(search.best())
     return posed.join(graded, key).select("qid", *on, "id", "score")

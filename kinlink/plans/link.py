@@ -55,7 +55,10 @@ def link_by_cluster(
     on = ["cluster_id", *(also_on or [])]
     placed = place_queries(queries, index, scaler).select("qid", *on, "sig50")
     placed = materialise(placed, "placed")
-    return _finish(best_record(placed, index.records, on), min_score)
+    # One number for each cluster at most; folders of other clusters are not read.
+    used = [r[0] for r in placed.select("cluster_id").where("cluster_id is not null").distinct().collect()]
+    records = index.records.where(F.col("cluster_id").isin(used))
+    return _finish(best_record(placed, records, on), min_score)
 
 
 def unlinked(queries: DataFrame, links: DataFrame) -> DataFrame:

@@ -36,15 +36,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{top}/{uuid.uuid4().hex}/{name}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def materialise(df: DataFrame, name: str, folders: list[str] | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder, in ``folders`` by those columns, and read it back.
 
     Cuts the lineage at a table that outlives lost executors, and unlike a cache keeps
     column pruning and real sizes for the readers.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").parquet(path, partitionBy=folders)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,11 +2,12 @@
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 # What an empty field is while reading, so that it differs from a quoted empty text.
 NO_TEXT = "\u0000"
 
+
 def read_records(
     spark: SparkSession, path: str, schema: StructType, multi_line: bool = True
 ) -> DataFrame:
@@ -41,6 +42,17 @@ def write_csv(df: DataFrame, path: str) -> None:
     )
 
 
+def write_crosstab(groups: DataFrame, path: str) -> None:
+    """The guarded table as it is handed out: ``Key / Group`` and ``Average``, sorted by key."""
+    told = groups.select(F.col("label").alias("Key / Group"), F.col("avg").alias("Average"))
+    write_csv(told.orderBy("Key / Group"), path)
+
+
+def read_crosstab(spark: SparkSession, path: str) -> DataFrame:
+    schema = StructType([StructField("Key / Group", StringType()), StructField("Average", DoubleType())])
+    return read_records(spark, path, schema)
+
+
 def read_prepared(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

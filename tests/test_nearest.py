@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 from brute import best as plain_best
@@ -6,12 +7,13 @@ from brute import plan_text
 from pyspark.sql import functions as F
 
 from kinlink.operators.nearest import (
-    PrunedSearch,
+    RecordIndex,
     best_record,
     bounds,
     cosine_best,
     cut_in_order,
     dot_best,
+    index_records,
 )
 from kinlink.plans.link import link_by_block, unlinked
 
@@ -154,7 +156,7 @@ def test_search_visits_few_cells_and_finds_the_best(spark):
     queries = [(i, "hot", v.tolist()) for i, v in enumerate(asked)]
     rows = spark.createDataFrame(records, SCHEMA)
     posed = spark.createDataFrame(queries, SCHEMA).drop("id")
-    search = PrunedSearch.of(posed, rows, ["block"], "sig50", cosine_best, True, tile_rows=40, strip_rows=40)
+    search = RecordIndex.of(rows, ["block"], "sig50", tile_rows=40).search(posed, strip_rows=40)
     got = {tuple(r["sig50"]): (r["id"], r["score"]) for r in search.best().collect()}
     pick, score = cosine_best(asked.astype(float), known.astype(float))
     assert all(got[tuple(v)] == (int(p), x) for v, p, x in zip(asked.tolist(), pick, score))
@@ -170,3 +172,19 @@ def test_a_group_is_never_shuffled_by_its_key_alone(spark):
     rows = cut.withColumn("part", F.shiftright("cut", 32)).collect()
     assert max(len(r["all_id"]) for r in rows) == 20 and len({r["part"] for r in rows}) > 1
     assert sorted(i for r in rows for i in r["all_id"]) == list(range(200))
+
+
+def test_standing_index_links_batches_and_reads_only_visited_shelves(spark):
+    records, queries = _rows(300, 1), _rows(60, 2)
+    known = spark.createDataFrame(records, SCHEMA).withColumn("payload", F.col("id") * 10)
+    index = index_records(known, ["block"], more=["payload"])
+    asked = spark.createDataFrame(queries, SCHEMA).withColumnRenamed("id", "qid")
+    got = {r["qid"]: (r["id"], r["score"]) for r in index.link(asked).collect()}
+    assert got == plain_best(queries, records)
+    assert all(r["payload"] == 10 * r["id"] for r in index.link(asked.where("qid % 2 = 0")).collect())
+    one = index.search(asked.where("block = 'b1'").select("block", "sig50"))
+    shelves = {r[0] for r in one.first.select(F.shiftright("cut", 32)).collect()}
+    assert shelves < {r[0] for r in index.tiles.select("shelf").distinct().collect()}
+    plan = plan_text(index.answers(one.first, cosine_best))
+    assert re.search(r"PartitionFilters: \[[^\]]*shelf", plan)
+    assert index.link(asked.limit(0)).count() == 0

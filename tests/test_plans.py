@@ -1,16 +1,20 @@
+import json
 import os
 
 import pytest
 from brute import best as plain_best
 from brute import plan_text
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinlink.operators.clustering import group_means
-from kinlink.operators.crosstab import group_totals, guarded_crosstab
+from kinlink.operators.crosstab import group_totals, guarded_crosstab, matched_records
+from kinlink.operators.nearest import index_records
 from kinlink.plans.crosstab import private_crosstab
 from kinlink.plans.index import align_attributes, build_index, scaled_points, with_positions
 from kinlink.plans.link import link_by_block, link_by_cluster, place_queries
 from kinlink.plans.prepare import prepare_records, with_signature
+from kinlink.plans.stored import IncompleteIndex, open_index, save_index
 from kinlink.queries import ORACLES, QUERIES
 from kinlink.queries.data import document_queries, document_records, table
 from kinlink.queries.stores import DOCUMENT_SCHEMA
@@ -18,13 +22,15 @@ from kinlink.session import materialise, scratch_path, spread
 from kinlink.sources.tables import (
     insert_columns,
     read_centroids,
+    read_crosstab,
     read_index,
     read_records,
     write_centroids,
+    write_crosstab,
     write_csv,
     write_index,
 )
-from kinlink.streaming.matches import kept_matches, stream_matches
+from kinlink.streaming.matches import kept_matches, kept_totals, stream_matches, stream_totals
 
 FIRST = ["JOHN", "MARY", "JOSÉ", "ANNA", "PETER", "LINDA", "OMAR", "WEI"]
 LAST = ["SMITH", "NÚÑEZ", "JOHNSON", "BROWN", "GARCIA", "LEE", "O'NEIL", "VAN DYK"]
@@ -151,7 +157,7 @@ def test_stream_in_batches_with_restart_equals_batch(spark, small, tmp_path):
     parts[2].coalesce(1).write.mode("append").parquet(folder)
     parts[0].coalesce(1).write.mode("append").parquet(folder)  # the same queries once more
     kept = _stream(spark, folder, out, records)
-    assert len(os.listdir(f"{out}/matches")) == 4
+    assert len([n for n in os.listdir(f"{out}/matches") if n.startswith("batch=")]) == 4
 
     signed = with_signature(document_queries(documents), "name", 50).drop("name")
     links = link_by_block(materialise(signed, "all"), records, ["block"])
@@ -160,6 +166,88 @@ def test_stream_in_batches_with_restart_equals_batch(spark, small, tmp_path):
     assert {tuple(r) for r in guarded_crosstab(group_totals(matched)).collect()} == want
 
 
+def test_incremental_totals_equal_batch_over_restarts_and_repeats(spark, small, tmp_path):
+    documents = table(spark, small, "documents").where("length(text) < 4000")
+    records = materialise(with_signature(document_records(spark, small), "name", 50).drop("name"), "records")
+    index = index_records(records, ["block"], more=["category", "payload"])
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    kept = ("id", "category", "payload")
+    schema = T.StructType([records.schema[name] for name in kept])
+    wide = group_totals(records).schema
+    assert kept_totals(spark, f"{out}/totals", wide).count() == 0
+
+    def run():
+        arrivals = spark.readStream.schema(DOCUMENT_SCHEMA).option("maxFilesPerTrigger", 1).parquet(folder)
+
+        def link(batch):
+            return index.link(materialise(with_signature(document_queries(batch), "name", 50).drop("name"), "batch"))
+
+        stream_matches(arrivals, link, f"{out}/matches", f"{out}/progress", kept).awaitTermination()
+        stream_totals(spark, f"{out}/matches", schema, f"{out}/totals", f"{out}/counting").awaitTermination()
+        return {tuple(r) for r in kept_totals(spark, f"{out}/totals", wide).collect()}
+
+    parts = documents.randomSplit([1.0, 1.0, 1.0], seed=3)
+    for part in parts[:2]:
+        part.coalesce(1).write.mode("append").parquet(folder)
+    run()
+    parts[2].coalesce(1).write.mode("append").parquet(folder)
+    parts[0].coalesce(1).write.mode("append").parquet(folder)  # the same queries once more
+    # A batch that ran again has replaced its files.
+    again = spark.read.parquet(f"{out}/matches/batch=0").collect()
+    spark.createDataFrame(again, schema).coalesce(1).write.mode("overwrite").parquet(f"{out}/matches/batch=0")
+    got = run()
+    signed = with_signature(document_queries(documents), "name", 50).drop("name")
+    links = link_by_block(materialise(signed, "all"), records, ["block"])
+    assert got == {tuple(r) for r in group_totals(matched_records(records, links)).collect()}
+    assert run() == got  # nothing new arrived
+
+
+def test_saved_index_opens_in_another_session(spark, people, index, tmp_path):
+    path = str(tmp_path / "saved")
+    with pytest.raises(IncompleteIndex):
+        open_index(spark, path)
+    assert save_index(index, path) == 1
+    queries = materialise(prepare_records(people[3], "name"), "q")
+    want = {tuple(r) for r in link_by_cluster(queries, index, scaler="server").collect()}
+    other = spark.newSession()
+    asked = materialise(prepare_records(other.createDataFrame(people[1], "qid bigint, name string"), "name"), "q")
+    opened = open_index(other, path)
+    assert {tuple(r) for r in link_by_cluster(asked, opened, scaler="server").collect()} == want
+    assert sorted(opened.records.columns) == sorted(index.records.columns)
+    assert "PartitionFilters: [cluster_id" in plan_text(opened.records.where(F.col("cluster_id").isin([1, 2])))
+
+
+def test_half_written_and_damaged_indexes_are_refused(spark, index, tmp_path):
+    path = str(tmp_path / "saved")
+    save_index(index, path)
+    assert save_index(index, path) == 2
+    # A save that broke off before its manifest is not seen.
+    index.records.write.parquet(f"{path}/data-broken/records")
+    assert open_index(spark, path).records.count() == index.records.count()
+    with open(f"{path}/manifest-2.json") as file:
+        manifest = json.load(file)
+    for change in ({"format": 99}, {"records": manifest["records"] + 1}, {"folder": "data-broken"}):
+        number = max(int(n.split("-")[1].split(".")[0]) for n in os.listdir(path) if n.startswith("manifest")) + 1
+        with open(f"{path}/manifest-{number}.json", "w") as file:
+            json.dump({**manifest, **change}, file)
+        with pytest.raises(IncompleteIndex):
+            open_index(spark, path)
+    with open(f"{path}/manifest-{number + 1}.json", "w") as file:
+        file.write("{")
+    with pytest.raises(IncompleteIndex):
+        open_index(spark, path)
+    assert open_index(spark, path, 1).centroids.count() == 6
+
+
+def test_handed_out_table_keeps_its_labels(spark, tmp_path):
+    rows = [("A OR B, \"C\"", 7, 10.0, 10 / 7), ("nan", 6, 0.0, 0.0)]
+    groups = spark.createDataFrame(rows, "label string, n long, total double, avg double")
+    write_crosstab(groups, str(tmp_path / "out"))
+    back = read_crosstab(spark, str(tmp_path / "out"))
+    assert back.columns == ["Key / Group", "Average"]
+    assert [tuple(r) for r in back.collect()] == [(r[0], r[3]) for r in rows]
+
+
 def test_every_query_has_sql_but_the_random_one():
     assert set(QUERIES) - set(ORACLES) == {"kmeans_seed"}
     assert not set(ORACLES) - set(QUERIES)
