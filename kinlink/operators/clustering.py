@@ -1,13 +1,9 @@
 """Scaling, assignment by raw dot product, and the refinement loop."""
 
 from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
-from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,11 +12,15 @@ from pyspark.sql.window import Window
 from kinlink.functions.arrow import list_matrix, matrix_list
 from kinlink.functions.signatures import LONG
 from kinlink.operators.nearest import DOT_DECIMALS, RecordIndex, dot_best
-from kinlink.session import broadcast_rows
+from kinlink.session import broadcast_rows, materialise
 
 CLUSTERS = 50
 MAX_ROUNDS = 20
+# Branches of the tree in which partial sums are added up.
+FAN_IN = 16
 RESTARTS = 20
+# Passes over the points in which candidates for centres are drawn.
+PASSES = 5
 
 # Relative rounding error of a double.
 EPSILON = 2.0**-52
@@ -253,39 +253,48 @@ def _partial_sums(vec, held, before):
     return run
 
 
+def _add_up(by):
+    """Groups of partial sums to one row each."""
+
+    def run(table: pa.Table) -> pa.Table:
+        cells = list_matrix(table["cells"])[1].sum(axis=0, keepdims=True)
+        return pa.table({by: table[by].slice(0, 1), "cells": matrix_list(np.ones(1, dtype=bool), cells, pa.float64())})
+
+    return run
+
+
+def summed(parts: DataFrame, by: str) -> DataFrame:
+    """``(by, cells)``: the sums of the arrays ``cells`` of each ``by``, added up as a tree.
+
+    ``FAN_IN`` parts of a group meet first, so no task gets all the parts of a large one.
+    """
+    schema = T.StructType([parts.schema[by], parts.schema["cells"]])
+    some = parts.withColumn("_branch", F.pmod(F.monotonically_increasing_id(), F.lit(FAN_IN)))
+    some = some.groupBy(by, "_branch").applyInArrow(_add_up(by), schema)
+    return some.groupBy(by).applyInArrow(_add_up(by), schema)
+
+
+def _means(parts: DataFrame, by: str, name: str, extra: int) -> DataFrame:
+    """``(by, first cells, name)``: counts, and the mean of the cells after them."""
+    rows = summed(parts, by)
+    n = F.col("cells")[0]
+    sums = F.slice("cells", F.lit(extra + 1), F.size("cells") - extra)
+    counts = [F.col("cells")[i].cast("bigint").alias(c) for i, c in enumerate(("n", "moved")[:extra])]
+    return rows.select(by, *counts, F.transform(sums, lambda total: total / n).alias(name))
+
+
 def cluster_means(
     points: DataFrame, vec: str, held: Centroids, before: np.ndarray | None = None
 ) -> DataFrame:
     """``(cluster_id, n, moved, centroid)`` of the non-empty clusters under the centres ``held``.
 
-    Each task sums its rows per cluster first, so the shuffle carries one row per task,
-    cluster and position, however large a cluster is.
+    Each task sums its rows per cluster first, so the shuffle carries one array per task and
+    cluster, however large a cluster is.
     """
     parts = points.select(vec).mapInArrow(
         _partial_sums(vec, held, before), "cluster_id int, cells array<double>"
     )
-    cells = (
-        parts.select("cluster_id", F.posexplode("cells").alias("pos", "value"))
-        .groupBy("cluster_id", "pos")
-        .agg(F.sum("value").alias("value"))
-    )
-    rows = _as_vectors(cells, "cluster_id", "cells")
-    n, moved = F.col("cells")[0], F.col("cells")[1]
-    sums = F.slice("cells", 3, held.matrix.shape[1])
-    return rows.select(
-        "cluster_id",
-        n.cast("bigint").alias("n"),
-        moved.cast("bigint").alias("moved"),
-        F.transform(sums, lambda total: total / n).alias("centroid"),
-    )
-
-
-def _as_vectors(cells: DataFrame, by: str, name: str) -> DataFrame:
-    """``(by, name)``: the values of ``cells(by, pos, value)`` as one array in position order."""
-    packed = cells.groupBy(by).agg(
-        F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("packed")
-    )
-    return packed.select(by, F.transform("packed", lambda cell: cell["value"]).alias(name))
+    return _means(parts, "cluster_id", "centroid", 2)
 
 
 def _group_sums(by, vec):
@@ -324,40 +333,38 @@ def group_means(rows: DataFrame, by: str, vec: str, name: str = "centroid") -> D
     schema = T.StructType(
         [rows.schema[by], T.StructField("cells", T.ArrayType(T.DoubleType()))]
     )
-    cells = (
-        rows.select(by, vec)
-        .mapInArrow(_group_sums(by, vec), schema)
-        .select(by, F.posexplode("cells").alias("pos", "value"))
-        .groupBy(by, "pos")
-        .agg(F.sum("value").alias("value"))
-    )
-    n = F.col("cells")[0]
-    sums = F.slice("cells", F.lit(2), F.size("cells") - 1)
-    return _as_vectors(cells, by, "cells").select(
-        by, n.cast("bigint").alias("n"), F.transform(sums, lambda total: total / n).alias(name)
-    )
+    parts = rows.select(by, vec).mapInArrow(_group_sums(by, vec), schema)
+    return _means(parts, by, name, 1)
 
 
-def lloyd_step(points: DataFrame, vec: str, centroids: DataFrame) -> DataFrame:
-    """Centres after one round; an empty cluster keeps its centre."""
-    held = _held(centroids)
-    means = cluster_means(points, vec, held).select(
-        "cluster_id", F.col("centroid").alias("_mean")
-    )
+def _next_centres(centroids: DataFrame, means: DataFrame) -> DataFrame:
+    means = means.select("cluster_id", F.col("centroid").alias("_mean"))
     return centroids.join(means, "cluster_id", "left").select(
         "cluster_id", F.coalesce("_mean", "centroid").alias("centroid")
     )
 
 
+def lloyd_step(points: DataFrame, vec: str, centroids: DataFrame) -> DataFrame:
+    """Centres after one round; an empty cluster keeps its centre."""
+    held = Centroids.read(centroids)
+    if held is not None:
+        return _next_centres(centroids, cluster_means(points, vec, held))
+    placed = assign_clusters(points.select(vec), centroids, vec)
+    return _next_centres(centroids, group_means(placed, "cluster_id", vec))
+
+
 def lloyd_rounds(
     points: DataFrame, vec: str, centroids: DataFrame, max_rounds: int = MAX_ROUNDS
-) -> Centroids:
-    """Refined centres: rounds until no label changes, at most ``max_rounds``.
+) -> DataFrame:
+    """``(cluster_id, centroid)`` refined: rounds until no label changes, at most ``max_rounds``.
 
-    One job per round returns one row per cluster. The next round gets the centres by value,
-    so the lineage does not grow. ``points`` should be a written table.
+    Centres that fit the limit go to the tasks by value. More of them stay a table: points are
+    assigned by the pruned search, and the centres of a round are written before the next, so
+    the lineage does not grow. ``points`` should be a written table.
     """
-    held = _held(centroids)
+    held = Centroids.read(centroids)
+    if held is None:
+        return _table_rounds(points, vec, centroids, max_rounds)
     before = None
     for _ in range(max_rounds):
         rows = cluster_means(points, vec, held, before).collect()
@@ -367,14 +374,67 @@ def lloyd_rounds(
         for row in rows:
             matrix[np.searchsorted(held.ids, row["cluster_id"])] = row["centroid"]
         before, held = held.matrix, Centroids(held.ids, matrix)
-    return held
+    return held.table(points.sparkSession)
 
 
-def _held(centroids: DataFrame) -> Centroids:
-    held = Centroids.read(centroids)
-    if held is None:
-        raise ValueError("refinement needs centroids within kinlink.session.BROADCAST_LIMIT")
-    return held
+def _table_rounds(points: DataFrame, vec: str, centroids: DataFrame, max_rounds: int) -> DataFrame:
+    """``lloyd_rounds`` with the centres as a table.
+
+    Labels are compared with those of the round before by two sums of hashes over all points.
+    """
+    before = None
+    for _ in range(max_rounds):
+        placed = materialise(assign_clusters(points.select(vec), centroids, vec).select(vec, "cluster_id"), "placed")
+        marks = [F.sum(F.shiftright(F.xxhash64(F.lit(i), vec, "cluster_id"), 20)) for i in range(2)]
+        labels = placed.agg(*marks).first()
+        if labels == before:
+            break
+        before = labels
+        centroids = materialise(_next_centres(centroids, group_means(placed, "cluster_id", vec)), "centroids")
+    return centroids
+
+
+def _distances(vec: Column, centres: np.ndarray) -> Column:
+    """``struct(place, d2)``: the closest row of ``centres`` and its squared distance."""
+    squares = (centres * centres).sum(1)
+
+    @F.arrow_udf("place int, d2 double")
+    def measure(column: pa.Array) -> pa.Array:
+        valid, points = list_matrix(column)
+        place, d2 = np.zeros(len(valid), np.int32), np.zeros(len(valid))
+        if len(points):
+            near = (squares[None, :] - 2 * points @ centres.T).argmin(axis=1)
+            place[valid], d2[valid] = near, ((points - centres[near]) ** 2).sum(axis=1)
+        return pa.StructArray.from_arrays([pa.array(place), pa.array(d2)], names=["place", "d2"])
+
+    return measure(vec)
+
+
+def seeding_cost(points: DataFrame, vec: str, centres: np.ndarray) -> float:
+    """Sum of the squared distances of all points to their closest centre."""
+    rows = points.where(F.col(vec).isNotNull())
+    return rows.agg(F.sum(_distances(F.col(vec), centres)["d2"])).first()[0] or 0.0
+
+
+def _weighted_start(candidates: np.ndarray, weights: np.ndarray, k: int, restarts: int, seed: int) -> np.ndarray:
+    """``k`` rows of ``candidates``, drawn by weighted distance; the cheapest of some draws."""
+    best, least = None, np.inf
+    for turn in range(restarts):
+        draw = np.random.default_rng((seed, turn))
+        chosen = [int(draw.choice(len(candidates), p=weights / weights.sum()))]
+        d2 = ((candidates - candidates[chosen[0]]) ** 2).sum(axis=1)
+        while len(chosen) < k:
+            pull = weights * d2
+            pull[chosen] = 0
+            if not pull.sum():
+                pull = np.ones(len(candidates))
+                pull[chosen] = 0
+            chosen.append(int(draw.choice(len(candidates), p=pull / pull.sum())))
+            d2 = np.minimum(d2, ((candidates - candidates[chosen[-1]]) ** 2).sum(axis=1))
+        cost = float((weights * d2).sum())
+        if cost < least:
+            best, least = chosen, cost
+    return candidates[np.sort(best)]
 
 
 def kmeans_seed(
@@ -383,25 +443,48 @@ def kmeans_seed(
     k: int = CLUSTERS,
     restarts: int = RESTARTS,
     seed: int = 42,
-    parallelism: int = 4,
+    passes: int = PASSES,
 ) -> tuple[DataFrame, float]:
-    """Start centres from the cheapest of several k-means runs, and their cost.
+    """Start centres, ``k`` different points (all, if fewer), and their cost.
 
-    ``parallelism`` runs are submitted at a time, since one run leaves much of a cluster idle.
+    k-means||: each of a few passes over the points keeps about 2 k of them, by chance in
+    proportion to the squared distance to those kept so far. The candidates, weighted by the
+    points closest to them, are then thinned out to k on the driver, ``restarts`` times. If the
+    candidates would pass the limit for shipping centres, the k points of the least hash are
+    the start and the cost is not computed (NaN). ``points`` should be a written table.
     """
     spark = points.sparkSession
-    rows = points.where(F.col(vec).isNotNull()).select(array_to_vector(vec).alias("features"))
-    rows.persist()
-
-    def fit(turn):
-        model = KMeans(k=k, seed=seed + turn).fit(rows)
-        return model.summary.trainingCost, turn, model.clusterCenters()
-
-    try:
-        with ThreadPool(max(1, min(parallelism, restarts))) as pool:
-            runs = pool.map(inheritable_thread_target(spark)(fit), range(restarts))
-    finally:
-        rows.unpersist()
-    cost, _, centres = min(runs, key=lambda run: run[:2])
+    rows = points.where(F.col(vec).isNotNull()).select(F.col(vec).alias("vec"))
+    marked = rows.select("vec", F.xxhash64(F.lit(seed), "vec").alias("mark"))
+    first = marked.orderBy("mark", "vec").limit(1).select("vec").collect()
+    if not first or k < 1:
+        return spark.createDataFrame([], CENTROID_SCHEMA), 0.0
+    width = len(first[0][0])
+    if 1 + 4 * k * passes > broadcast_rows(width):
+        lowest = marked.dropDuplicates(["vec"]).orderBy("mark", "vec").limit(k)
+        number = F.monotonically_increasing_id().cast("int").alias("cluster_id")
+        start = materialise(lowest.select(number, F.col("vec").alias("centroid")), "start")
+        return start, float("nan")
+    candidates = np.array([first[0][0]])
+    for turn in range(passes):
+        d2 = _distances(F.col("vec"), candidates)["d2"]
+        total = seeding_cost(rows, "vec", candidates)
+        if not total:
+            break
+        chance = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(turn), "vec"), 1) / F.lit(2.0**63)
+        kept = rows.where(chance < d2 * (2 * k / total)).distinct().collect()
+        if kept:
+            candidates = np.unique(np.vstack([candidates, [r[0] for r in kept]]), axis=0)
+    if len(candidates) < k:
+        lowest = marked.dropDuplicates(["vec"]).orderBy("mark", "vec").limit(k + len(candidates))
+        more = [r["vec"] for r in lowest.collect()]
+        known = set(map(tuple, candidates))
+        fresh = [v for v in more if tuple(v) not in known][: k - len(candidates)]
+        candidates = np.vstack([candidates, *[np.array([v]) for v in fresh]])
+    closest = rows.groupBy(_distances(F.col("vec"), candidates)["place"].alias("place")).agg(F.count(F.lit(1)).alias("n"))
+    weights = np.zeros(len(candidates))
+    for row in closest.collect():
+        weights[row["place"]] = row["n"]
+    centres = _weighted_start(candidates, weights, min(k, len(candidates)), restarts, seed)
     table = [(i, [float(x) for x in centre]) for i, centre in enumerate(centres)]
-    return spark.createDataFrame(table, CENTROID_SCHEMA), cost
+    return spark.createDataFrame(table, CENTROID_SCHEMA), seeding_cost(rows, "vec", centres)

@@ -10,7 +10,6 @@ from kinlink.functions.signatures import unit_vector
 from kinlink.operators.clustering import (
     MAX_ROUNDS,
     RESTARTS,
-    Centroids,
     Scaler,
     assign_clusters,
     clusters_for,
@@ -73,9 +72,8 @@ def build_index(
     if start is None:
         k = clusters_for(points.count()) if k is None else k
         start, _ = kmeans_seed(points, "point", k, restarts, seed)
-    held: Centroids = lloyd_rounds(points, "point", start, max_rounds)
-    centroids = held.table(prepared.sparkSession)
-    records = assign_clusters(points, centroids, "point", held).drop("point", "sig200")
+    centroids = lloyd_rounds(points, "point", start, max_rounds)
+    records = assign_clusters(points, centroids, "point").drop("point", "sig200")
     return ClusterIndex(materialise(records, "index"), centroids, scaler)
 
 

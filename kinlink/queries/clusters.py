@@ -1,5 +1,6 @@
 """Queries on scaling, clustering and cluster layout."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from kinlink.functions.scalars import cluster_flags
@@ -11,6 +12,7 @@ from kinlink.operators.clustering import (
     kmeans_seed,
     lloyd_rounds,
     lloyd_step,
+    seeding_cost,
 )
 from kinlink.operators.layout import (
     cluster_histogram,
@@ -118,17 +120,28 @@ def one_round(spark, sf_dir):
 def refined(spark, sf_dir):
     """Labels after three rounds and the assignment that follows them."""
     points = materialise(vectors(spark, sf_dir), "points")
-    held = lloyd_rounds(points, "vec", label_centroids(points), ROUNDS)
-    placed = assign_clusters(points.select("id", "vec"), held.table(spark), "vec", held)
+    centres = lloyd_rounds(points, "vec", label_centroids(points), ROUNDS)
+    placed = assign_clusters(points.select("id", "vec"), centres, "vec")
     return placed.select(
         F.col("id").alias("vec_id"), "cluster_id", F.col("cluster_score").alias("score")
     )
 
 
 def seeded(spark, sf_dir):
+    """Start centres of the embeddings: are they different points, and cheap enough?
+
+    Which points they are depends on chance. Their cost is compared with that of the means of
+    the ten labels.
+    """
     points = materialise(vectors(spark, sf_dir), "points")
-    centroids, _ = kmeans_seed(points, "vec", k=10)
-    return _centre_cells(centroids)
+    centres, cost = kmeans_seed(points, "vec", k=10)
+    means = np.array([r["centroid"] for r in label_centroids(points).collect()])
+    cheap = cost <= 4 * seeding_cost(points, "vec", means)
+    known = points.select(F.col("vec").alias("centroid"), F.lit(True).alias("known")).distinct()
+    found = centres.dropDuplicates(["centroid"]).join(known, "centroid", "left")
+    return found.select(
+        "cluster_id", F.coalesce("known", F.lit(False)).alias("is_point"), F.lit(cheap).alias("is_cheap")
+    )
 
 
 QUERIES = {
@@ -163,6 +176,8 @@ _SCALED = """WITH raw AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v F
            GROUP BY cluster_id)"""
 
 ORACLES = {
+    "kmeans_seed": "SELECT range::INTEGER AS cluster_id, TRUE AS is_point, TRUE AS is_cheap "
+    "FROM range((SELECT least(10, count(DISTINCT embedding)) FROM embeddings))",
     "dimension_stats": "WITH cell AS (SELECT generate_subscripts(embedding, 1) AS pos, "
     "unnest(embedding)::DOUBLE AS x FROM embeddings) SELECT (pos - 1)::INTEGER AS pos, "
     "round(avg(x), 9) AS mean, round(stddev_pop(x), 9) AS std FROM cell GROUP BY pos",

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from brute import plan_text
 from pyspark.sql import functions as F
 
 from kinlink import session
@@ -15,6 +16,7 @@ from kinlink.operators.clustering import (
     kmeans_seed,
     lloyd_rounds,
     lloyd_step,
+    summed,
 )
 
 POINTS = "id bigint, vec array<double>"
@@ -31,6 +33,10 @@ def _centres(spark, matrix):
     )
 
 
+def _matrix(centres):
+    return [r["centroid"] for r in sorted(centres.collect(), key=lambda r: r["cluster_id"])]
+
+
 def test_stats_are_population_statistics(spark):
     data = np.random.default_rng(1).normal(3, 2, (90, 5))
     data[:, 2] = 0.1  # constant columns keep their scale
@@ -98,23 +104,64 @@ def test_rounds_by_hand(spark):
     points = _points(spark, [[3.0, 0.0], [5.0, 1.0], [0.0, 2.0], [1.0, 4.0]])
     start = _centres(spark, [[1.0, 0.0], [0.0, 1.0]])
     one = lloyd_rounds(points, "vec", start, 1)
-    assert one.matrix.tolist() == [[4.0, 0.5], [0.5, 3.0]]
+    assert _matrix(one) == [[4.0, 0.5], [0.5, 3.0]]
     # The labels stay, so the centres are a fixed point.
-    assert lloyd_rounds(points, "vec", start, 20).matrix.tolist() == one.matrix.tolist()
+    assert _matrix(lloyd_rounds(points, "vec", start, 20)) == _matrix(one)
 
 
 def test_all_labels_zero_still_updates(spark):
     held = lloyd_rounds(_points(spark, [[1.0], [3.0]]), "vec", _centres(spark, [[1.0]]))
-    assert held.matrix.tolist() == [[2.0]]
+    assert _matrix(held) == [[2.0]]
+
+
+def test_rounds_with_centres_as_a_table_equal_those_by_value(spark, monkeypatch):
+    draw = np.random.default_rng(8)
+    data = draw.normal(size=(120, 5))
+    points, start = _points(spark, data), _centres(spark, data[:14])
+    few = np.array(_matrix(lloyd_rounds(points, "vec", start, 6)))
+    one = np.array(_matrix(lloyd_step(points, "vec", start)))
+    monkeypatch.setattr(session, "BROADCAST_LIMIT", 10 * 8 * 200)
+    assert Centroids.read(start) is None
+    many = np.array(_matrix(lloyd_rounds(points, "vec", start, 6)))
+    assert np.allclose(few, many, atol=1e-12)
+    assert np.allclose(one, np.array(_matrix(lloyd_step(points, "vec", start))), atol=1e-12)
+
+
+def test_partial_sums_are_arrays_and_meet_in_a_tree(spark):
+    parts = spark.createDataFrame([(i % 3, [1.0, float(i)]) for i in range(300)], "g int, cells array<double>")
+    got = {r["g"]: r["cells"] for r in summed(parts, "g").collect()}
+    assert got == {g: [100.0, float(sum(range(g, 300, 3)))] for g in range(3)}
+    plan = plan_text(group_means(_points(spark, [[1.0]]).withColumn("g", F.lit(1)), "g", "vec"))
+    assert "Generate" not in plan and plan.count("FlatMapGroupsInArrow") == 2
 
 
-def test_seed_picks_cheapest_run(spark):
+def test_seeds_are_distinct_points_of_every_heap(spark):
     data = np.vstack([np.random.default_rng(5).normal(c, 0.1, (20, 2)) for c in (-5, 0, 5)])
+    data[3] = data[4]
     points = _points(spark, data)
     table, cost = kmeans_seed(points, "vec", k=3, restarts=4)
-    assert sorted(round(r["centroid"][0]) for r in table.collect()) == [-5, 0, 5]
-    alone = kmeans_seed(points, "vec", k=3, restarts=1)[1]
-    assert cost <= alone + 1e-9  # sums of doubles vary in their last place
+    centres = [r["centroid"] for r in table.collect()]
+    assert sorted(round(c[0]) for c in centres) == [-5, 0, 5]
+    assert all(c in data.tolist() for c in centres)
+    d2 = ((data[:, None, :] - np.array(centres)[None]) ** 2).sum(2).min(1).sum()
+    assert abs(cost - d2) < 1e-9
+    assert _matrix(kmeans_seed(points, "vec", k=3, restarts=4)[0]) == _matrix(table)
+
+
+def test_seeds_of_few_points_and_of_none(spark):
+    points = _points(spark, [[1.0, 2.0]] * 5 + [[2.0, 2.0]])
+    table, cost = kmeans_seed(points, "vec", k=4, restarts=2)
+    assert sorted(_matrix(table)) == [[1.0, 2.0], [2.0, 2.0]] and cost == 0
+    assert kmeans_seed(points.limit(0), "vec", k=4)[0].count() == 0
+
+
+def test_more_seeds_than_can_be_shipped_are_points_by_hash(spark, monkeypatch):
+    data = np.random.default_rng(6).normal(size=(50, 3))
+    monkeypatch.setattr(session, "BROADCAST_LIMIT", 10 * 8 * 3)
+    table, _ = kmeans_seed(_points(spark, data), "vec", k=12)
+    found = [tuple(r["centroid"]) for r in table.collect()]
+    assert len(set(found)) == 12 and set(found) <= set(map(tuple, data.tolist()))
+    assert sorted(r["cluster_id"] for r in table.collect()) == list(range(12))
 
 
 def test_cluster_count_matches_the_sample_run():
