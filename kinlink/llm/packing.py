@@ -12,6 +12,8 @@ tasks, each by its own length and rank.
 """
 
 import bisect
+import json
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinlink.llm import words as W
-from kinlink.llm.pretokens import CACHE_PIECES, distinct_spans
+from kinlink.llm.pretokens import CACHE_PIECES, byte_letters, distinct_spans
 from kinlink.llm.tables import store
 
 CAPACITY = 4096
@@ -29,11 +31,19 @@ CAPACITY = 4096
 RUN_ROWS = 50_000
 
 
+_KIND = np.full(256, 3, np.uint8)
+_KIND[[0x20, 9, 10, 11, 12, 13]] = 0
+_KIND[97:123] = 1
+_KIND[48:58] = 2
+
+
 class WordEncoder:
-    """Token ids of whole texts by a tokenizer that encodes words between blanks one by one.
+    """Token ids of whole texts by a tokenizer that drops white space and splits at it.
 
-    That holds for tokenizers that drop white space and split at it. Every distinct word of a
-    slice goes to the tokenizer once, and those met lately come from a bounded cache.
+    Words of ASCII letters, digits and marks are cut as the tokenizer's own pattern cuts them:
+    contractions, runs of letters, single digits, runs of marks. Their pieces go to its BPE
+    model. Other words, and words with an added token, go to the tokenizer as a whole. Every
+    distinct piece of a slice is encoded once, and those met lately come from a bounded cache.
     """
 
     def __init__(self, model_json: str):
@@ -42,36 +52,87 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(model_json)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
+        self.added = [t["content"].encode() for t in json.loads(model_json)["added_tokens"]]
+        self.letters = str.maketrans(dict(enumerate(byte_letters())))
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
-    def _known(self, words: list[bytes]) -> list[bytes]:
-        found = list(map(self.young.get, words))
+    def pieces(self, data: np.ndarray, offsets: np.ndarray):
+        """The bytes with ASCII words in lower case, start, end and text of each piece, and which are whole words."""
+        starts, ends, owner = W.word_spans(data, offsets)
+        high = np.zeros(len(data) + 1, np.int64)
+        np.cumsum(data >= 128, out=high[1:])
+        whole = high[ends] > high[starts]
+        raw = data.tobytes()
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                whole[np.searchsorted(starts, at, "right") - 1] = True
+                at = raw.find(token, at + 1)
+        low = W.lowered(data)
+        kind = _KIND[low]
+        opens = np.ones(len(data) + 3, bool)
+        opens[1 : len(data)] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+        opens[starts] = True
+        # A contraction is a quote that opens a piece and one of these endings.
+        quote = np.flatnonzero((low == 0x27) & opens[: len(data)])
+        ahead = np.concatenate([low, np.zeros(2, np.uint8)])
+        one, two = ahead[quote + 1], ahead[quote + 2]
+        short = (one == 115) | (one == 116) | (one == 109) | (one == 100)  # s t m d
+        long = (((one == 114) | (one == 118)) & (two == 101)) | ((one == 108) & (two == 108))  # re ve ll
+        last = ends[np.searchsorted(starts, quote, "right") - 1] if len(starts) else quote
+        short &= quote + 1 < last
+        long &= quote + 2 < last
+        for found, size in ((quote[short], 1), (quote[long], 2)):
+            opens[found + 1] = False
+            opens[found + 1 + size] = True
+        # Whole words are one piece, as they stand.
+        inside = np.zeros(len(data) + 1, np.int64)
+        np.add.at(inside, starts[whole], 1)
+        np.add.at(inside, ends[whole], -1)
+        inside = np.cumsum(inside)[:-1] > 0
+        shown = np.where(inside, data, low)
+        opens = opens[: len(data)] & ~inside & (kind != 0)
+        opens[starts[whole]] = True
+        begin = np.flatnonzero(opens)
+        word = np.searchsorted(starts, begin, "right") - 1
+        end = np.minimum(np.append(begin[1:], len(data)), ends[word])
+        return shown, begin, end, owner[word], whole[word]
+
+    def _known(self, raw: bytes, spans: list[tuple[int, int, bool]]) -> list[bytes]:
+        keys = [raw[s:e] for s, e, _ in spans]
+        found = list(map(self.young.get, keys))
         missing = []
         for i, ids in enumerate(found):
             if ids is None:
-                ids = found[i] = self.old.get(words[i])
+                ids = found[i] = self.old.get(keys[i])
                 if ids is None:
                     missing.append(i)
                 else:
-                    self.young[words[i]] = ids
-        encode = self.tokenizer.encode
+                    self.young[keys[i]] = ids
+        text = raw.decode("latin-1").translate(self.letters) if missing else ""
+        tokenize, encode = self.model.tokenize, self.tokenizer.encode
         for i in missing:
-            ids = encode(words[i].decode(), add_special_tokens=False).ids
-            found[i] = self.young[words[i]] = np.array(ids, "<u4").tobytes()
+            start, stop, whole = spans[i]
+            if whole:
+                ids = encode(keys[i].decode(), add_special_tokens=False).ids
+            else:
+                ids = [t.id for t in tokenize(text[start:stop])]
+            found[i] = self.young[keys[i]] = array("I", ids).tobytes()
         if len(self.young) > CACHE_PIECES:
             self.old, self.young = self.young, {}
         return found
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a slice of texts, and the number of ids of each text."""
-        starts, ends, owner = W.word_spans(data, offsets)
         texts = len(offsets) - 1
+        shown, starts, ends, owner, whole = self.pieces(data, offsets)
         if not len(starts):
             return np.zeros(0, "<u4"), np.zeros(texts, np.int64)
-        code, sample = distinct_spans(data, starts, ends)
-        raw = data.tobytes()
-        words = self._known([raw[s:e] for s, e in zip(starts[sample].tolist(), ends[sample].tolist())])
+        code, sample = distinct_spans(shown, starts, ends)
+        spans = list(zip(starts[sample].tolist(), ends[sample].tolist(), whole[sample].tolist()))
+        words = self._known(shown.tobytes(), spans)
         sizes = np.fromiter(map(len, words), np.int64, len(words)) >> 2
         blob = np.frombuffer(b"".join(words), "<u4")
         first = np.cumsum(sizes) - sizes
@@ -124,7 +185,7 @@ def token_pieces(
                 yield pa.record_batch(columns, ["part", "row", "id", "piece", "start", "length", "ids"])
 
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    return rows.mapInArrow(encoded, "part int, row long, id long, piece int, start long, length long, ids binary")
+    return rows.mapInArrow(W.tidy(encoded), "part int, row long, id long, piece int, start long, length long, ids binary")
 
 
 def plan_steps(counts: dict[int, int], capacity: int) -> np.ndarray:
