@@ -103,7 +103,14 @@ def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(_table(spark, sf_dir, "conversations"))
 
 
+def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What ``op3_fair_mixing`` aims at: sizes and targets, without the draw."""
+    mix = op3_fair_mixing(spark, sf_dir)
+    return mix.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"))
+
+
 QUERIES = {
+    "source_targets": targets,
     "op12_collocations": op12_collocations,
     "op11_best_fit_packing": op11_best_fit_packing,
     "op13_conversation_trie": op13_conversation_trie,
@@ -119,4 +126,12 @@ QUERIES = {
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
 }
 
-ORACLES: dict[str, str] = {"op12_collocations": SQL.PHRASES, "op13_conversation_trie": SQL.TRIE}
+ORACLES: dict[str, str] = {
+    "op1_itq_near_dedup": SQL.VECTORS,
+    "op6_vector_top_k": SQL.TOP_K,
+    "op7_chat_format": SQL.CHAT,
+    "op9_minhash_near_dedup": SQL.NEAR_TEXTS,
+    "op12_collocations": SQL.PHRASES,
+    "op13_conversation_trie": SQL.TRIE,
+    "source_targets": SQL.TARGETS,
+}

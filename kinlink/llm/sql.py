@@ -73,3 +73,92 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, a
   array_to_string(phrase, ' ') AS phrase, a, l, r, n, score::BIGINT AS score
 FROM stay JOIN sizes USING (lang) QUALIFY rank <= 2000
 """
+
+_REACH = """reach AS (
+  SELECT id, id AS far FROM nodes UNION SELECT r.id, e.b FROM reach r JOIN edges e ON e.a = r.far
+), roots AS (SELECT id, min(far) AS component_id FROM reach GROUP BY id)"""
+
+VECTORS = f"""
+WITH RECURSIVE usable AS (
+  SELECT vec_id AS id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), edges AS (
+  SELECT a.id AS a, b.id AS b FROM usable a JOIN usable b ON a.label = b.label AND a.id <> b.id
+    AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.93
+), nodes AS (SELECT DISTINCT vec_id AS id FROM embeddings), {_REACH}
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN roots ON roots.id = vec_id
+LEFT JOIN (SELECT a, count(DISTINCT b) AS n FROM edges GROUP BY a) ON a = vec_id
+"""
+
+TOP_K = """
+WITH cells AS (
+  SELECT vec_id AS id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.id AS query_id, c.id AS vec_id,
+    list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM cells q JOIN cells c ON q.id % 50 = 0 AND c.id <> q.id AND len(q.v) = len(c.v)
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5
+"""
+
+_ESCAPES = ("replace(replace(replace(replace({0}, '\\\\', '\\\\\\\\'), '<turn>', '\\\\o'), '<turn:esc>', '\\\\s'), '</turn>', '\\\\c')")
+
+CHAT = f"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'
+), turns AS (
+  SELECT *, contains(role, chr(10)) OR regexp_matches(role || chr(0) || text, '<turn>|<turn:esc>|</turn>') AS odd FROM rows
+), shown AS (
+  SELECT *, CASE WHEN odd
+    THEN length('<turn:esc></turn>') + length(replace({_ESCAPES.format('role')}, chr(10), '\\n')) + length({_ESCAPES.format('text')})
+    ELSE length('<turn></turn>') + length(role) + length(text) END + 2 AS chars FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(chars)::BIGINT AS formatted_chars
+FROM shown GROUP BY conv_id
+"""
+
+NEAR_TEXTS = f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)
+), sizes AS (SELECT id, count(*) AS n FROM shingles GROUP BY id
+), edges AS (
+  SELECT a, b FROM (SELECT x.id AS a, y.id AS b, count(*) AS shared FROM shingles x JOIN shingles y ON x.s = y.s AND x.id <> y.id GROUP BY 1, 2)
+  JOIN sizes m ON m.id = a JOIN sizes n ON n.id = b WHERE 100 * shared >= 85 * (m.n + n.n - shared)
+), nodes AS (SELECT DISTINCT doc_id AS id FROM documents), {_REACH}
+SELECT doc_id, coalesce(sizes.n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM documents JOIN roots ON roots.id = doc_id LEFT JOIN sizes ON sizes.id = doc_id
+"""
+
+# A target is a share by weight of what capped sources leave; sources are capped in the order
+# of size by weight, so the first one that fits gives the level of all after it.
+TARGETS = """
+WITH docs AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents
+), sources AS (
+  SELECT *, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight
+  FROM (SELECT source, sum(size)::BIGINT AS source_size FROM docs GROUP BY source)
+), levels AS (
+  SELECT *, (sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER before, 0))::DOUBLE
+    / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0))::DOUBLE AS level,
+    row_number() OVER (ORDER BY source_size / weight, source NULLS LAST) AS place
+  FROM sources WINDOW before AS (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), fits AS (SELECT level, place FROM levels WHERE level * weight <= 3 * source_size ORDER BY place LIMIT 1)
+SELECT d.doc_id, d.size, l.source_size, round(CASE WHEN f.place IS NULL OR l.place < f.place
+  THEN 3.0 * l.source_size ELSE f.level * l.weight END::DOUBLE, 6) AS target
+FROM docs d JOIN levels l ON l.source IS NOT DISTINCT FROM d.source LEFT JOIN fits f ON TRUE
+"""
