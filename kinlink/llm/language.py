@@ -1,5 +1,7 @@
 """Language of mixed texts: scripts narrow the candidates, Viterbi labels the words."""
 
+import unicodedata
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -10,6 +12,11 @@ from kinlink.llm import words as W
 BUCKETS = 1 << 16
 # Words that one step of the search takes side by side; longer texts are several pieces.
 PIECE = 256
+# Up to this many labels texts are cut into pieces, each searched from every label; more labels
+# make that dearer than going through long texts word by word.
+FEW_LABELS = 16
+# States of one group of texts.
+CELLS = 1 << 25
 # Natural log of the odds against a change of language between two words.
 SWITCH = 8.0
 # Log likelihoods: what is added to each count, and the share of a language's letters that a
@@ -37,10 +44,9 @@ def _script_table() -> np.ndarray:
 
 def _letters(points: np.ndarray) -> np.ndarray:
     """Letters and the marks that go with them."""
-    import unicodedata
-
-    table = np.zeros(0x110000, bool)
-    for point in np.flatnonzero(np.bincount(points)).tolist() if len(points) else []:
+    seen = np.bincount(points)
+    table = np.zeros(len(seen), bool)
+    for point in np.flatnonzero(seen).tolist():
         table[point] = unicodedata.category(chr(point))[0] in "LM"
     return table[points]
 
@@ -90,6 +96,7 @@ def train(texts: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     ``texts``: (text, lang). Counts cover every text; what comes back is bounded by the
     buckets and scripts times the number of languages.
     """
+
     def counted(batches):
         scripts = _script_table()
         totals: dict[str, np.ndarray] = {}
@@ -111,7 +118,7 @@ def train(texts: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
                 ["lang", "cell", "count"],
             )
 
-    rows = texts.select("text", "lang").mapInArrow(counted, "lang string, cell int, count long")
+    rows = texts.select("text", "lang").mapInArrow(W.tidy(counted), "lang string, cell int, count long")
     table = rows.groupBy("lang", "cell").agg(F.sum("count").alias("count")).toArrow()
     names = sorted(set(table["lang"].to_pylist()))
     code = {name: i for i, name in enumerate(names)}
@@ -127,26 +134,48 @@ def train(texts: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
 def best_path(scores: np.ndarray, owner: np.ndarray, switch: float) -> np.ndarray:
     """Label of each word: the best sum of scores less ``switch`` for each change, in each text.
 
-    Texts are cut into pieces of ``PIECE`` words. All pieces are searched side by side, once
-    from each label before them and once free; the pieces of a text are then put together
-    from these, which gives the same result as one search over the whole text.
+    Texts are taken in groups of at most ``CELLS`` states, so memory follows neither the slice
+    nor the square of the labels; a text larger than that is a group of its own.
     """
     n, labels = scores.shape
     first = np.flatnonzero(np.diff(owner, prepend=-1))
     sizes = np.diff(np.append(first, n))
-    each = -(-sizes // PIECE)
+    starts = labels + 1 if labels <= FEW_LABELS else 1
+    group = (np.cumsum(sizes) - sizes) * starts * labels // CELLS
+    cuts = np.flatnonzero(np.diff(group, prepend=-1))
+    edges = [*first[cuts].tolist(), n]
+    out = np.empty(n, np.int64)
+    for a, b in zip(edges[:-1], edges[1:]):
+        out[a:b] = _group_paths(scores[a:b], owner[a:b], switch, PIECE if starts > 1 else None)
+    return out
+
+
+def _group_paths(scores: np.ndarray, owner: np.ndarray, switch: float, piece: int | None) -> np.ndarray:
+    """``best_path`` of a few texts, which are searched side by side.
+
+    With ``piece`` texts are cut into pieces of so many words, and each is searched once from
+    each label before it and once free; the pieces of a text are then put together from these,
+    which gives the same result as one search over the whole text. Without, a text is one piece
+    that is searched free. A state keeps whether it stayed, and a step its best label before.
+    """
+    n, labels = scores.shape
+    first = np.flatnonzero(np.diff(owner, prepend=-1))
+    sizes = np.diff(np.append(first, n))
+    most = piece or int(sizes.max())
+    fixed = labels if piece else 0
+    each = -(-sizes // most)
     number = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-    begin = np.repeat(first, each) + number * PIECE
-    length = np.minimum(np.repeat(sizes, each) - number * PIECE, PIECE)
+    begin = np.repeat(first, each) + number * most
+    length = np.minimum(np.repeat(sizes, each) - number * most, most)
     order = np.argsort(-length, kind="stable")
     begin, length, rank = begin[order], length[order], np.argsort(order)
     pieces = len(begin)
-    state = np.full((pieces, labels + 1, labels), -1e30, np.float32)
-    state[:, labels] = 0
-    state[:, np.arange(labels), np.arange(labels)] = 0
+    state = np.full((pieces, fixed + 1, labels), -1e30, np.float32)
+    state[:, fixed] = 0
+    state[:, np.arange(fixed), np.arange(fixed)] = 0
     steps = int(length.max())
-    stay = np.empty((steps, pieces, labels + 1, labels), bool)
-    top = np.empty((steps, pieces, labels + 1), np.uint8)
+    kind = np.uint8 if labels <= 1 << 8 else np.uint16 if labels <= 1 << 16 else np.int32
+    stay, top = [], []
     for t in range(steps):
         live = int(np.searchsorted(-length, -t, "left"))
         now = state[:live]
@@ -154,7 +183,8 @@ def best_path(scores: np.ndarray, owner: np.ndarray, switch: float) -> np.ndarra
         jump = np.take_along_axis(now, best[:, :, None], 2) - np.float32(switch)
         keep = now >= jump
         state[:live] = np.where(keep, now, jump) + scores[begin[:live] + t][:, None, :]
-        stay[t, :live], top[t, :live] = keep, best
+        stay.append(keep)
+        top.append(best.astype(kind))
     # Along each text: the label before each piece that leads to the best end.
     into, label = np.empty(pieces, np.int64), np.empty(pieces, np.int64)
     rank_of = rank.tolist()
@@ -162,23 +192,23 @@ def best_path(scores: np.ndarray, owner: np.ndarray, switch: float) -> np.ndarra
     for count in each.tolist():
         own = rank_of[at : at + count]
         at += count
-        value, came = state[own[0], labels], []
+        value, came = state[own[0], fixed], []
         for p in own[1:]:
-            reach = value[:, None] + state[p, :labels]
+            reach = value[:, None] + state[p, :fixed]
             came.append(reach.argmax(0))
             value = reach.max(0)
         end = int(value.argmax())
         for p, back in zip(own[:0:-1], came[::-1]):
             label[p], into[p] = end, back[end]
             end = int(back[end])
-        label[own[0]], into[own[0]] = end, labels
+        label[own[0]], into[own[0]] = end, fixed
     out = np.empty(n, np.int64)
     for t in range(steps - 1, -1, -1):
-        live = int(np.searchsorted(-length, -t, "left"))
+        live = len(stay[t])
         rows = np.arange(live)
         out[begin[:live] + t] = label[:live]
-        same = stay[t, rows, into[:live], label[:live]]
-        label[:live] = np.where(same, label[:live], top[t, rows, into[:live]])
+        same = stay[t][rows, into[:live], label[:live]]
+        label[:live] = np.where(same, label[:live], top[t][rows, into[:live]])
     return out
 
 
@@ -241,7 +271,7 @@ def identify(
 
     schema = "id long, lang_pred string, score double" + (", spans array<struct<start: int, length: int, lang: string>>" if with_spans else "")
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    return rows.mapInArrow(labelled, schema).withColumnRenamed("id", id_column)
+    return rows.mapInArrow(W.tidy(labelled), schema).withColumnRenamed("id", id_column)
 
 
 def held_out(id_column: str, parts: int = 4, part: int = 2):
