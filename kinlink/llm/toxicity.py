@@ -11,10 +11,14 @@ BUCKETS = 1 << 18
 FACTORS = 8
 # The most labelled documents that training reads, those with the least hash of the id.
 SAMPLE = 24_000
-# A bucket counts if as many documents of the sample hold it, and if it is this many standard
-# errors more or less frequent in toxic ones; the rest is noise that long texts would add up.
+# A bucket counts if as many documents of the sample hold it, and if it tells something: alone
+# it is this many standard errors more or less frequent in toxic ones, or together with another
+# one so many more than the two are by themselves. The rest is noise that long texts would add up.
 LEAST_DOCS = 5
 LEAST_Z = 3.0
+LEAST_PAIR_Z = 8.0
+# The most frequent buckets, whose pairs are looked at.
+PAIR_BUCKETS = 2048
 # Stems: beginnings of words, in bytes, that count as terms beside the word itself.
 STEMS = (4, 5)
 # Batches that training takes at least; few labels are gone through more often.
@@ -58,7 +62,39 @@ def term_buckets(texts: DataFrame) -> DataFrame:
                     ["id", "terms"],
                 )
 
-    return texts.mapInArrow(hashed, "id long, terms array<int>")
+    return texts.mapInArrow(W.tidy(hashed), "id long, terms array<int>")
+
+
+def telling_pairs(flat: np.ndarray, sizes: np.ndarray, labels: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+    """Which of ``buckets`` tell something of toxicity in a pair with another one of them.
+
+    A pair's count in toxic texts is compared with what follows from its count in all texts and
+    the two buckets' own excess, by which a pair of two terms that tell nothing alone, but
+    something together, stands out.
+    """
+    m = len(buckets)
+    place = np.full(BUCKETS, -1, np.int64)
+    place[buckets] = np.arange(m)
+    both, bad = np.zeros((m, m)), np.zeros((m, m))
+    edges = np.concatenate([[0], np.cumsum(sizes)])
+    for a in range(0, len(sizes), 2000):
+        b = min(a + 2000, len(sizes))
+        own = place[flat[edges[a] : edges[b]]]
+        row = np.repeat(np.arange(b - a), sizes[a:b])
+        cells = np.zeros((b - a, m), np.float32)
+        cells[row[own >= 0], own[own >= 0]] = 1
+        both += cells.T @ cells
+        toxic = cells[labels[a:b] > 0]
+        bad += toxic.T @ toxic
+    rate = labels.mean()
+    single = np.diag(both).copy()
+    lift = np.divide(np.diag(bad), single, out=np.full(m, rate), where=single > 0) - rate
+    # Shrunk towards the rate, as rare pairs say little.
+    expected = np.clip(rate + lift[:, None] + lift[None, :], 0.02, 0.98)
+    z = (bad - both * expected) / np.sqrt(both * expected * (1 - expected) + 1)
+    np.fill_diagonal(z, 0)
+    z[both < 4 * LEAST_DOCS] = 0
+    return (np.abs(z) >= LEAST_PAIR_Z).any(1)
 
 
 class Machine:
@@ -106,6 +142,10 @@ def fit(
     share = np.clip(held / len(labels), 1e-9, 1 - 1e-9)
     z = (in_bad / bad - (held - in_bad) / good) / np.sqrt(share * (1 - share) * (1 / bad + 1 / good))
     common = (held >= LEAST_DOCS) & (np.abs(z) >= LEAST_Z)
+    often = np.argsort(-held, kind="stable")[:PAIR_BUCKETS]
+    often = often[held[often] >= 4 * LEAST_DOCS]
+    if 0 < labels.sum() < len(labels) and len(often):
+        common[often[telling_pairs(flat, sizes, labels, often)]] = True
     buckets = np.flatnonzero(common)
     used = common[flat]
     whose = np.repeat(np.arange(len(labels)), sizes)[used]
@@ -177,7 +217,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
             ["bucket", "weight", "factors"],
         )
 
-    rows = sample.select("id", "terms", "toxic").mapInArrow(learned, "bucket int, weight double, factors array<double>")
+    rows = sample.select("id", "terms", "toxic").mapInArrow(W.tidy(learned), "bucket int, weight double, factors array<double>")
     found = rows.orderBy("bucket").toArrow()
     if not len(found):
         return fit(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
@@ -203,7 +243,7 @@ def score(docs: DataFrame, machine: Machine, id_column: str = "doc_id", text_col
             yield pa.record_batch([batch.column(0), pa.array(found)], ["id", "score"])
 
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    return rows.mapInArrow(scored, "id long, score double")
+    return rows.mapInArrow(W.tidy(scored), "id long, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
