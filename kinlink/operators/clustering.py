@@ -164,7 +164,8 @@ class Centroids:
                 names=["cluster_id", "score"],
             )
 
-        return pick(vec)
+        # Both fields come from one evaluation: Spark does not repeat what it takes for random.
+        return pick.asNondeterministic()(vec)
 
     def scores(self, vec: Column) -> Column:
         """Rounded dot product with every centre, in centre order."""

@@ -29,8 +29,10 @@ def cluster_members(rows: DataFrame, cluster_id: int) -> DataFrame:
     return rows.where(F.col("cluster_id") == cluster_id)
 
 
-def positions(rows: DataFrame, group: str = "cluster_id", order: str = "id") -> DataFrame:
-    """``(group, order, pos)``: place of each row in its group, from 0.
+def positions(
+    rows: DataFrame, group: str = "cluster_id", order: str = "id", keep: list[str] | None = None
+) -> DataFrame:
+    """``(group, order, keep, pos)``: place of each row in its group, from 0.
 
     Rows are range-partitioned by group and order, numbered inside each range, and shifted by
     the sizes of the earlier ranges of the group, so that a large group spans many tasks.
@@ -40,7 +42,7 @@ def positions(rows: DataFrame, group: str = "cluster_id", order: str = "id") ->
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cut = materialise(
         rows.where(F.col(group).isNotNull())
-        .select(group, order)
+        .select(group, order, *(keep or []))
         .repartitionByRange(parts, group, order)
         .withColumn("part", F.spark_partition_id()),
         "positions",
@@ -55,7 +57,7 @@ def positions(rows: DataFrame, group: str = "cluster_id", order: str = "id") ->
     return (
         cut.withColumn("inner", F.row_number().over(inside) - 1)
         .join(starts, [group, "part"])
-        .select(group, order, (F.col("start") + F.col("inner")).alias("pos"))
+        .select(group, order, *(keep or []), (F.col("start") + F.col("inner")).alias("pos"))
     )
 
 
@@ -104,9 +106,11 @@ def cluster_histogram(rows: DataFrame) -> DataFrame:
 
     The last bin is closed on both sides, so it holds the two highest ids.
     """
+    # One row for each cluster, read three times: written, so that rows are assigned once.
     counts = rows.where(F.col("cluster_id").isNotNull()).groupBy("cluster_id").agg(
         F.count(F.lit(1)).alias("n")
     )
+    counts = materialise(counts, "counts")
     ends = counts.agg(F.min("cluster_id").alias("lo"), F.max("cluster_id").alias("hi"))
     top_bin = F.greatest(F.col("lo"), F.col("hi") - 1)
     bins = ends.where("lo is not null").select(

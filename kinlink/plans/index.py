@@ -78,5 +78,6 @@ def build_index(
 
 
 def with_positions(index: ClusterIndex) -> DataFrame:
-    placed = positions(index.records)
-    return index.records.join(placed, ["cluster_id", "id"])
+    """The index's records with their place in the cluster; their columns travel along."""
+    others = [name for name in index.records.columns if name not in ("cluster_id", "id")]
+    return positions(index.records, keep=others)

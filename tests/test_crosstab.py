@@ -21,7 +21,8 @@ from kinlink.operators.crosstab import (
     merge_map,
     size_gate,
 )
-from kinlink.operators.lookups import block_lookup, category_lookup, payload_lookup
+from kinlink.operators import lookups
+from kinlink.operators.lookups import block_lookup, category_lookup, heavy_keys, payload_lookup
 from kinlink.plans.crosstab import private_crosstab
 from kinlink.plans.index import align_attributes
 
@@ -153,3 +154,24 @@ def test_missing_payloads_can_be_skipped_through_the_plan(spark):
 def test_ragged_lists_are_refused():
     with pytest.raises(ValueError):
         list_matrix(pa.array([[1.0], [2.0, 3.0, 4.0]]))
+
+
+def test_one_key_with_half_of_all_rows_spreads_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(lookups, "LEAST_HEAVY", 50)
+    rows = spark.range(0, 4000, 1, 4).select(
+        F.col("id").alias("row"), F.when(F.col("id") % 2 == 0, 7).when(F.col("id") % 5 == 0, None).otherwise(F.col("id")).alias("k")
+    )
+    table = spark.createDataFrame([(7, "old", 1), (7, "hot", 2), (9, "nine", 1)], "k long, v string, at int")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = category_lookup(rows, table, "k", "v", "at")
+        got = {r["row"]: r["category"] for r in found.collect()}
+        tasks = found.where("k = 7").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {i: "hot" if i % 2 == 0 or i == 7 else "nine" if i == 9 else None for i in range(4000)}
+    assert found.columns == ["k", "row", "category"]
+    assert len(tasks) >= 2 and max(r["count"] for r in tasks) < 1500
+    assert {r["k"]: r["_splits"] for r in heavy_keys(rows, "k").collect()} == {7: 3}

@@ -1,8 +1,10 @@
 import random
 from collections import Counter
 
+from brute import plan_text
 from pyspark.sql import functions as F
 
+from kinlink.operators.clustering import assign_clusters
 from kinlink.operators.layout import (
     cluster_histogram,
     cluster_members,
@@ -64,3 +66,14 @@ def test_histogram_closes_its_last_bin(spark):
     one = spark.createDataFrame([(4,), (4,)], "cluster_id int")
     assert [tuple(r) for r in cluster_histogram(one).collect()] == [(4, 2)]
     assert cluster_histogram(one.where("false")).count() == 0
+
+
+def test_assignment_is_evaluated_once(spark):
+    points = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(20)], "id long, vec array<double>")
+    centres = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "cluster_id int, centroid array<double>")
+    placed = assign_clusters(points, centres, "vec")
+    assert plan_text(placed).count("ArrowEvalPython") == 1
+    assert plan_text(cluster_histogram(placed)).count("ArrowEvalPython") == 0
+    kept = positions(placed, keep=["vec", "cluster_score"])
+    assert kept.columns == ["cluster_id", "id", "vec", "cluster_score", "pos"]
+    assert sorted((r["id"], r["vec"][0]) for r in kept.collect()) == [(i, float(i)) for i in range(20)]
