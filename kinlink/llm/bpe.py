@@ -12,7 +12,7 @@ from kinlink.llm import words as W
 from kinlink.llm.pretokens import PieceEncoder, added_tokens, byte_letters
 
 # Transitions that a task keeps; they are looked up again after that many new ones.
-TRANSITIONS = 400_000
+TRANSITIONS = 200_000
 
 
 class TokenAutomaton:
@@ -166,5 +166,5 @@ def encode_decode(
 
     schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    out = rows.mapInArrow(convert, schema + (", ids array<int>, decoded string" if with_ids else ""))
+    out = rows.mapInArrow(W.tidy(convert), schema + (", ids array<int>, decoded string" if with_ids else ""))
     return out.withColumnRenamed("id", id_column)

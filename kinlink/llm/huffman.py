@@ -151,7 +151,7 @@ def token_ids(docs: DataFrame, vocabulary: str, end: int, id_column: str, text_c
                 yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(counts + 1), column], ["id", "n", "ids"])
 
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    return rows.mapInArrow(encoded, "id long, n long, ids binary")
+    return rows.mapInArrow(W.tidy(encoded), "id long, n long, ids binary")
 
 
 def global_counts(ids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -167,7 +167,7 @@ def global_counts(ids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         used = np.flatnonzero(total)
         yield pa.record_batch([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["token", "count"])
 
-    rows = ids.select("ids").mapInArrow(counted, "token long, count long")
+    rows = ids.select("ids").mapInArrow(W.tidy(counted), "token long, count long")
     table = rows.groupBy("token").agg(F.sum("count").alias("count")).toArrow()
     return table["token"].to_numpy(), table["count"].to_numpy()
 
@@ -203,7 +203,7 @@ def document_codes(ids: DataFrame, tokens: np.ndarray, lengths: np.ndarray) -> D
                     ["id", "n", "bits", "marks"],
                 )
 
-    return ids.select("id", "n", "ids").mapInArrow(coded, "id long, n long, bits binary, marks array<long>")
+    return ids.select("id", "n", "ids").mapInArrow(W.tidy(coded), "id long, n long, bits binary, marks array<long>")
 
 
 def write_tokens(
@@ -261,7 +261,7 @@ def write_tokens(
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = coded.repartitionByRange(tasks, "id", "n").sortWithinPartitions(*order).select("id", "n", "bits", "marks")
     schema = "part int, before long, ids array<long>, counts array<long>, checkpoints array<long>, bits binary"
-    segments = store(placed.mapInArrow(packed, schema), "segments")
+    segments = store(placed.mapInArrow(W.tidy(packed), schema), "segments")
     discard(coded)
     return store(codes, "codes"), segments
 
@@ -295,7 +295,7 @@ def read_tokens(spark: SparkSession, codes: DataFrame, segments: DataFrame, with
                 yield pa.record_batch(columns, names[: len(columns)])
 
     schema = "part int, id long, inside long, n_tokens long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
-    rows = segments.mapInArrow(decoded, schema)
+    rows = segments.mapInArrow(W.tidy(decoded), schema)
     # One row for each part of the files.
     parts = segments.groupBy("part").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
     ahead = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

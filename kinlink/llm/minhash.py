@@ -39,7 +39,7 @@ def text_signatures(docs: DataFrame, id_column: str, text_column: str, bands: in
                 )
 
     rows_in = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    return rows_in.mapInArrow(sign, "id long, n long, h1 long, h2 long, keys array<long>")
+    return rows_in.mapInArrow(W.tidy(sign), "id long, n long, h1 long, h2 long, keys array<long>")
 
 
 def shingle_sets(rows_in: DataFrame) -> DataFrame:
@@ -59,7 +59,7 @@ def shingle_sets(rows_in: DataFrame) -> DataFrame:
                     ["id", "grp", "elements"],
                 )
 
-    return rows_in.select("id", "grp", "text").mapInArrow(shingled, "id long, grp long, elements array<long>")
+    return rows_in.select("id", "grp", "text").mapInArrow(W.tidy(shingled), "id long, grp long, elements array<long>")
 
 
 def candidate_groups(bands: DataFrame) -> DataFrame:

@@ -100,7 +100,7 @@ def paragraph_keys(docs: DataFrame, id_column: str, text_column: str) -> DataFra
                 )
 
     rows = marked(docs, id_column, text_column).where("id is not null").select("id", "text", "mark")
-    return rows.mapInArrow(keyed, "doc long, mark long, no int, keys array<long>")
+    return rows.mapInArrow(W.tidy(keyed), "doc long, mark long, no int, keys array<long>")
 
 
 def marked(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -151,7 +151,7 @@ def paragraph_sets(rows: DataFrame) -> DataFrame:
                     yield pa.record_batch([pa.array(c, kind) for c, kind in zip(zip(*out), kinds)], fields)
 
     schema = "doc long, mark long, no int, keys array<long>, word int, n_words int, start int, stop int, h1 long, h2 long, elements array<long>"
-    return rows.select("id", "text", "asked", "mark").mapInArrow(made, schema)
+    return rows.select("id", "text", "asked", "mark").mapInArrow(W.tidy(made), schema)
 
 
 def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

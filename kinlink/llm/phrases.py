@@ -63,7 +63,7 @@ class Filter:
                 at = np.unique(np.concatenate(cls._places(batch.column(0).to_numpy().view(np.uint64), size)).astype(np.int64))
                 yield pa.record_batch([pa.array(at // page_bits), pa.array((at % page_bits).astype(np.int32))], ["page", "bit"])
 
-        places = hashes.select("id").mapInArrow(probed, "page long, bit int").distinct()
+        places = hashes.select("id").mapInArrow(W.tidy(probed), "page long, bit int").distinct()
         pages = places.groupBy("page").applyInArrow(paged, "page long, bits binary").toArrow()
         out = np.zeros(size // 8, np.uint8)
         for page, bits in zip(pages["page"].to_pylist(), pages["bits"].to_pylist()):
@@ -132,7 +132,7 @@ def word_table(texts: DataFrame, seed: int) -> DataFrame:
                     ["lang", "word", "id", "f"],
                 )
 
-    rows = texts.select("lang", "text").mapInArrow(counted, "lang string, word string, id long, f long")
+    rows = texts.select("lang", "text").mapInArrow(W.tidy(counted), "lang string, word string, id long, f long")
     return rows.groupBy("lang", "word", "id").agg(F.sum("f").alias("f"))
 
 
@@ -166,7 +166,7 @@ def pair_table(texts: DataFrame, seed: int, known: Filter) -> DataFrame:
                     (one, two), number = _tallied([ids[at - 1], ids[at]])
                     yield pa.record_batch([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(number)], ["w1", "w2", "f"])
 
-    rows = texts.select("lang", "text").mapInArrow(counted, "w1 long, w2 long, f long")
+    rows = texts.select("lang", "text").mapInArrow(W.tidy(counted), "w1 long, w2 long, f long")
     return rows.groupBy("w1", "w2").agg(F.sum("f").alias("f")).where(F.col("f") >= LEAST)
 
 
@@ -233,7 +233,7 @@ def suffix_table(texts: DataFrame, seed: int, pairs: Filter, hot: np.ndarray, gr
                 )
 
     schema = "grp long, at int, w1 long, w2 long, w3 long, w4 long, n long"
-    return texts.select("lang", "text").mapInArrow(suffixes, schema)
+    return texts.select("lang", "text").mapInArrow(W.tidy(suffixes), schema)
 
 
 def subtree_nodes(suffixes: DataFrame, groups: int) -> DataFrame:
@@ -298,7 +298,7 @@ def subtree_nodes(suffixes: DataFrame, groups: int) -> DataFrame:
     tasks = int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["grp", "w1", "w2", "w3"]
     rows = suffixes.repartition(max(tasks, min(groups, 8 * tasks)), "grp").sortWithinPartitions(*order)
-    found = rows.mapInArrow(built, "w1 long, w2 long, w3 long, w4 long, f long")
+    found = rows.mapInArrow(W.tidy(built), "w1 long, w2 long, w3 long, w4 long, f long")
     # Nodes above a prolonged prefix have leaves in several groups.
     return found.groupBy("w1", "w2", "w3", "w4").agg(F.sum("f").alias("f")).where(F.col("f") >= LEAST)
 
@@ -326,9 +326,9 @@ def phrase_counts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
             yield pa.record_batch([pa.array(pair_hash(one, two).view(np.int64))], ["id"])
 
     # Fewer than there are groups, by the definition of the budget.
-    large = pairs.where(F.col("f") > budget).select("w1", "w2").mapInArrow(hashed, "id long").toArrow()
+    large = pairs.where(F.col("f") > budget).select("w1", "w2").mapInArrow(W.tidy(hashed), "id long").toArrow()
     hot = np.sort(large["id"].to_numpy().view(np.uint64))
-    linked = Filter.of(pairs.select("w1", "w2").mapInArrow(hashed, "id long"), number)
+    linked = Filter.of(pairs.select("w1", "w2").mapInArrow(W.tidy(hashed), "id long"), number)
     deep = subtree_nodes(suffix_table(texts, seed, linked, hot, groups), groups)
     deep = store(deep, "nodes")
     every = pairs.select(F.array("w1", "w2").alias("words"), "f").union(

@@ -16,7 +16,7 @@ import pandas as pd
 from kinlink.llm import words as W
 
 # Pieces of each of the two generations that a task keeps.
-CACHE_PIECES = 150_000
+CACHE_PIECES = 100_000
 _SPACES = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0

@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinlink.llm import words as W
 from kinlink.llm.tables import discard, store
 
 # Turns of one shard, on average; a shard is held by one task.
@@ -240,7 +241,7 @@ def trie_nodes(convs: DataFrame) -> DataFrame:
     shared = found.where("key is not null")
     tasks = int(convs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chunks = shared.where("ends <> ''").repartition(tasks, "key").sortWithinPartitions("key", "part").select("key", "ends")
-    hashes = chunks.mapInArrow(_hashed_ends, "key binary, sha string")
+    hashes = chunks.mapInArrow(W.tidy(_hashed_ends), "key binary, sha string")
     merged = shared.groupBy("key").agg(
         F.max("parent_key").alias("parent_key"),
         F.min("conv_id").alias("conv_id"),

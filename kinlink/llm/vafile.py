@@ -5,6 +5,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinlink.llm import words as W
 from kinlink.llm.tables import store
 
 # Bits of a cell in each dimension.
@@ -104,7 +105,7 @@ def top_k(
                     yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found)], ["query_id", "id", "score"])
 
     columns = ["width", "first", "step", "ids", "cells", "vectors", "query_ids", "query_vectors"]
-    best = pairs.select(*columns).mapInArrow(searched, "query_id long, id long, score long")
+    best = pairs.select(*columns).mapInArrow(W.tidy(searched), "query_id long, id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("id").alias(id_column), "score")

@@ -6,6 +6,9 @@ Texts are taken in slices of a few megabytes, so memory does not follow the batc
 single text longer than a slice is a slice of its own.
 """
 
+import ctypes
+import functools
+import gc
 import hashlib
 
 import numpy as np
@@ -17,17 +20,50 @@ SLICE_BYTES = 2 << 20
 
 
 def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes of a string column, and where each text begins and ends; null is empty."""
+    """All bytes of a string column, and where each text begins and ends; null is empty.
+
+    The bytes are those of the column itself, not a copy.
+    """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    wide = pa.types.is_large_string(column.type)
+    if not wide and not pa.types.is_string(column.type):
+        column, wide = column.cast(pa.large_string()), True
+    while True:
+        kind = np.int64 if wide else np.int32
+        offsets = np.frombuffer(column.buffers()[1] or bytes(8), kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        if not column.null_count or not np.diff(offsets)[column.is_null().to_numpy(zero_copy_only=False)].any():
+            break
+        column = pc.fill_null(column, "")  # nulls that stand over bytes
     data = column.buffers()[2]
     data = np.zeros(0, np.uint8) if data is None else np.frombuffer(data, np.uint8)
     first = offsets[0] if len(offsets) else 0
     return data[first : offsets[-1] if len(offsets) else 0], offsets - first
 
 
+def give_back() -> None:
+    """Return to the system what the worker has freed; workers outlive their tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
+def tidy(run):
+    """A function over the batches of a task, which gives memory back when the task ends."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 def slices(offsets: np.ndarray, limit: int = SLICE_BYTES):
     """Ranges of texts of about ``limit`` bytes; a longer text is alone."""
     a, n = 0, len(offsets) - 1
