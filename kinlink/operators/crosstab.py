@@ -1,6 +1,6 @@
 """Grouped counts and sums, the size gate, and the merging of small groups."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -105,6 +105,36 @@ def merged_totals(totals: DataFrame, mapping: DataFrame) -> DataFrame:
     )
 
 
+def group_name(category: Column) -> Column:
+    """An aggregate: a name of fixed length for a set of categories, in whatever order they come."""
+    halves = [F.bit_xor(F.conv(F.substring(F.md5(category), at, 15), 16, 10).cast("bigint")) for at in (1, 16)]
+    return F.concat_ws("-", *[half.cast("string") for half in halves])
+
+
+def merged_groups(totals: DataFrame, mapping: DataFrame) -> DataFrame:
+    """``(name, categories, n, total)`` per target, however many categories it has.
+
+    The name stands for the set of categories; ``merged_members`` lists them.
+    """
+    return (
+        totals.join(mapping, "category")
+        .groupBy("target")
+        .agg(
+            group_name(F.col("category")).alias("name"),
+            F.count(F.lit(1)).alias("categories"),
+            F.sum("n").alias("n"),
+            F.sum("total").alias("total"),
+        )
+        .drop("target")
+    )
+
+
+def merged_members(mapping: DataFrame) -> DataFrame:
+    """``(name, category)``: one row for each category of each merged group."""
+    names = mapping.groupBy("target").agg(group_name(F.col("category")).alias("name"))
+    return mapping.join(names, mapping["target"].eqNullSafe(names["target"])).select("name", "category")
+
+
 def with_average(groups: DataFrame) -> DataFrame:
     return groups.withColumn("avg", safe_average(F.col("total"), F.col("n")))
 
@@ -115,18 +145,28 @@ def guarded_crosstab(
     on_small: str = "merge",
     release_small_total: bool = False,
     seed: str = "",
+    labels: str = "text",
 ) -> DataFrame:
     """``(label, n, total, avg)`` with no group of ``min_size`` records or fewer.
 
     ``on_small="drop"`` leaves failing groups out instead of merging them.
     ``release_small_total`` lets the merger of all groups out even when it fails too.
+    ``labels="name"`` names a merged group by a digest of its categories instead of the
+    categories themselves, for groups of more of them than a text should hold; ``merged_members``
+    has them as rows.
     """
+    if labels not in ("text", "name"):
+        raise ValueError("labels is 'text' or 'name'")
     if on_small == "drop":
         kept = size_gate(totals, min_size).where("passing")
         return with_average(kept.select(F.col("category").alias("label"), "n", "total"))
     if on_small != "merge":
         raise ValueError("on_small is 'merge' or 'drop'")
-    merged = merged_totals(totals, merge_map(totals, min_size, seed))
+    mapping = merge_map(totals, min_size, seed)
+    if labels == "name":
+        merged = merged_groups(totals, mapping).select(F.col("name").alias("label"), "n", "total")
+    else:
+        merged = merged_totals(totals, mapping)
     if not release_small_total:
         merged = merged.where(passes_size(F.col("n"), min_size))
     return with_average(merged)

@@ -20,6 +20,7 @@ def private_crosstab(
     skip_missing_payload: bool = False,
     keep_missing_category: bool = False,
     seed: str = "",
+    labels: str = "text",
 ) -> DataFrame:
     """``(label, n, total, avg)`` over the distinct linked ``records(id, payload, category)``.
 
@@ -31,4 +32,4 @@ def private_crosstab(
     )
     # One row per category, read several times by the size gate and the merge.
     totals = materialise(totals, "totals")
-    return guarded_crosstab(totals, min_size, on_small, release_small_total, seed)
+    return guarded_crosstab(totals, min_size, on_small, release_small_total, seed, labels)

@@ -9,6 +9,8 @@ from kinlink.operators.crosstab import (
     group_totals,
     matched_records,
     merge_map,
+    merged_groups,
+    merged_members,
     merged_totals,
     size_gate,
 )
@@ -92,6 +94,17 @@ def labels(spark, sf_dir):
     return merged.select("label", "n", _money("total"))
 
 
+def named_groups(spark, sf_dir):
+    """Merged groups by name, with the number of their categories instead of a list."""
+    totals = _nation_totals(spark, sf_dir)
+    groups = merged_groups(totals, merge_map(totals))
+    return groups.select("name", "categories", "n", _money("total"))
+
+
+def group_members(spark, sf_dir):
+    return merged_members(merge_map(_nation_totals(spark, sf_dir)))
+
+
 def averages(spark, sf_dir):
     """Mean balance per category, 0 where no customer has one to count."""
     counted = nation_customer(spark, sf_dir).groupBy("category").agg(
@@ -141,6 +154,8 @@ QUERIES = {
     "size_deltas": deltas,
     "merge_map": mapping,
     "merged_labels": labels,
+    "merged_groups": named_groups,
+    "merged_members": group_members,
     "safe_average": averages,
     "masked_crosstab": masked,
     "merged_crosstab": merged,
@@ -159,7 +174,15 @@ _MATCHED = f"WITH {block_links_sql()}, {MATCHED_TOTALS}"
 _NATIONS = f"WITH {NATION_TOTALS}"
 _FINAL = "SELECT label, n, total::BIGINT AS total, round(total / n, 6) AS avg FROM"
 
+_NAME = " || '-' || ".join(
+    f"bit_xor(('0x' || substr(md5(category), {at}, 15))::BIGINT)::VARCHAR" for at in (1, 16)
+)
+
 ORACLES = {
+    "merged_groups": f"{_NATIONS}, {merge('t')} SELECT {_NAME} AS name, count(*) AS categories, sum(n)::BIGINT AS n, "
+    "sum(total)::DOUBLE AS total FROM t JOIN mapping USING (category) GROUP BY target",
+    "merged_members": f"{_NATIONS}, {merge('t')}, names AS (SELECT target, {_NAME} AS name FROM mapping GROUP BY target) "
+    "SELECT name, category FROM mapping m JOIN names ON names.target IS NOT DISTINCT FROM m.target",
     "payload_coerce": "SELECT c_custkey, c_mktsegment = 'BUILDING' AS missing, CASE WHEN "
     "c_mktsegment = 'BUILDING' OR c_acctbal < 0 THEN 0 ELSE c_acctbal END AS payload FROM customer",
     "category_one_hot": "SELECT doc_id, "

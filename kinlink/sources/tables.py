@@ -4,8 +4,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-# What an empty field is while reading, so that it differs from a quoted empty text.
-NO_TEXT = "\u0000"
+# What an empty field is while reading, so that it differs from a quoted empty text. A text that
+# is exactly this would be read as missing.
+NO_TEXT = "\u0000kinlink: no text\u0000"
 
 
 def read_records(

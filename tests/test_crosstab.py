@@ -2,6 +2,7 @@ import random
 
 import pyarrow as pa
 import pytest
+from brute import plan_text
 from pyspark.sql import functions as F
 
 from kinlink.functions.arrow import list_matrix
@@ -19,12 +20,15 @@ from kinlink.operators.crosstab import (
     matched_mask,
     matched_records,
     merge_map,
+    merged_groups,
+    merged_members,
     size_gate,
 )
 from kinlink.operators import lookups
 from kinlink.operators.lookups import block_lookup, category_lookup, heavy_keys, payload_lookup
 from kinlink.plans.crosstab import private_crosstab
 from kinlink.plans.index import align_attributes
+from kinlink.session import materialise
 
 TOTALS = "category string, n bigint, total double"
 
@@ -175,3 +179,30 @@ def test_one_key_with_half_of_all_rows_spreads_over_tasks(spark, monkeypatch):
     assert found.columns == ["k", "row", "category"]
     assert len(tasks) >= 2 and max(r["count"] for r in tasks) < 1500
     assert {r["k"]: r["_splits"] for r in heavy_keys(rows, "k").collect()} == {7: 3}
+
+
+def test_many_small_categories_have_a_name_of_fixed_length(spark):
+    totals = spark.range(200_000).select(
+        F.concat(F.lit("category "), F.col("id")).alias("category"),
+        F.when(F.col("id") < 3, 100).otherwise(1).alias("n"),
+        F.col("id").cast("double").alias("total"),
+    )
+    totals = materialise(totals, "totals")
+    groups = guarded_crosstab(totals, labels="name").collect()
+    assert len(groups) == 3 and max(len(r["label"]) for r in groups) < 45
+    assert sum(r["n"] for r in groups) == 300 + 199_997
+    assert sum(r["total"] for r in groups) == sum(range(200_000))
+    members = merged_members(merge_map(totals))
+    sizes = {r["name"]: r["count"] for r in members.groupBy("name").count().collect()}
+    assert set(sizes) == {r["label"] for r in groups} and sum(sizes.values()) == 200_000
+    assert "collect_set" not in plan_text(guarded_crosstab(totals, labels="name"))
+    with pytest.raises(ValueError):
+        guarded_crosstab(totals, labels="x")
+
+
+def test_names_do_not_depend_on_order_and_tell_sets_apart(spark):
+    totals = spark.createDataFrame([("a", 9, 1.0), ("b", 1, 2.0), ("c", 1, 3.0), ("d", 8, 1.0)], TOTALS)
+    mapping = spark.createDataFrame([("a", "a"), ("b", "a"), ("c", "d"), ("d", "d")], "category string, target string")
+    one = {tuple(r) for r in merged_groups(totals, mapping).collect()}
+    assert one == {tuple(r) for r in merged_groups(totals.orderBy("n"), mapping.orderBy("category")).collect()}
+    assert len({r[0] for r in one}) == 2

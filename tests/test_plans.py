@@ -123,7 +123,7 @@ def test_insert_columns_keeps_places(spark):
 def test_csv_keeps_odd_text(spark, tmp_path):
     rows = [
         (1, 'say "hi", you\nthere'), (2, None), (3, "José, #1"), (4, "back\\slash"), (5, ""), (6, " A  B "),
-        (7, "\tx"), (8, "a\r\nb"), (9, '"'), (10, " "),
+        (7, "\tx"), (8, "a\r\nb"), (9, '"'), (10, " "), (11, "\u0000"),
     ]
     df = spark.createDataFrame(rows, "id int, name string")
     write_csv(df, str(tmp_path / "out"))
