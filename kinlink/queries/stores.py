@@ -35,6 +35,7 @@ from kinlink.queries.sql import (
     signatures,
 )
 from kinlink.session import materialise, scratch_path
+from kinlink.sources.ranges import read_records_in_ranges
 from kinlink.sources.tables import (
     read_centroids,
     read_crosstab,
@@ -85,6 +86,14 @@ def csv_documents(spark, sf_dir):
     return read_records(spark, path, documents.schema)
 
 
+def csv_in_ranges(spark, sf_dir):
+    """Whole documents to CSV and back, each file read by byte ranges."""
+    documents = table(spark, sf_dir, "documents")
+    path = scratch_path(spark, "ranges")
+    write_csv(documents, path)
+    return read_records_in_ranges(spark, path, documents.schema)
+
+
 def centroid_table(spark, sf_dir):
     path = scratch_path(spark, "centroids")
     write_centroids(label_centroids(vectors(spark, sf_dir)), path)
@@ -206,6 +215,7 @@ def streamed_crosstab(spark, sf_dir):
 QUERIES = {
     "scan_csv_roundtrip": csv_roundtrip,
     "scan_csv_documents": csv_documents,
+    "scan_csv_ranges": csv_in_ranges,
     "centroid_table": centroid_table,
     "cluster_index_roundtrip": index_roundtrip,
     "index_reopened": reopened_index,
@@ -258,6 +268,7 @@ ORACLES = {
     "c_nationkey::VARCHAR AS block, TRUE AS fits FROM customer JOIN s_sig ON id = c_custkey",
     "scan_csv_roundtrip": "SELECT * FROM customer",
     "scan_csv_documents": "SELECT * FROM documents",
+    "scan_csv_ranges": "SELECT * FROM documents",
     "centroid_table": f"WITH {LABEL_CENTROIDS} SELECT cluster_id, "
     "(generate_subscripts(c, 1) - 1)::INTEGER AS pos, round(unnest(c), 6) AS x FROM c0",
     "cluster_index_roundtrip": _INDEX,
