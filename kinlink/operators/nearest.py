@@ -316,13 +316,11 @@ class RecordIndex:
         more = list(more)
         tiles = cut_in_order(known, on, vec, ["id", *more], tile_rows, unit)
         tiles = materialise(tiles.withColumn("shelf", F.shiftright("cut", 32)), "tiles", ["shelf"])
-        # Pages of boxes, once for each copy: strips of one group meet different copies.
-        page = F.pmod(F.xxhash64("cut"), F.ceil(F.col("boxes") / PAGE_TILES))
-        boxes = tiles.select(*on, "cut", "low", "high", "radius")
-        sizes = boxes.groupBy(*on).agg(F.count(F.lit(1)).alias("boxes"))
-        boxes = boxes.join(sizes, on) if on else boxes.crossJoin(sizes)
-        item = F.struct("cut", "low", "high", "radius")
-        pages = boxes.withColumn("page", page).groupBy(*on, "page").agg(F.array_sort(F.collect_list(item)).alias("items"))
+        # Pages of boxes, once for each copy: strips of one group meet different copies. A page
+        # has the tiles of a group that one shelf holds, up to a number.
+        page = F.call_function("div", F.col("cut"), F.lit(PAGE_TILES)).alias("page")
+        boxes = tiles.select(*on, page, F.struct("cut", "low", "high", "radius").alias("item"))
+        pages = boxes.groupBy(*on, "page").agg(F.array_sort(F.collect_list("item")).alias("items"))
         names = (("cut", "cuts"), ("low", "lows"), ("high", "highs"), ("radius", "radii"))
         pages = pages.select(
             *on,
@@ -367,7 +365,12 @@ class RecordIndex:
         )
         first = copied.join(self.pages, [*on, "copy"]).mapInArrow(_routes(vec, self.unit, tie, True), schema)
         first = materialise(first, "first")
-        found = materialise(self.answers(first, best_of), "found")
+        found = self.answers(first, best_of)
+        several = self.pages.where((F.col("copy") == 0) & (F.size("cuts") > 1))
+        if several.isEmpty():
+            # Every query has visited the only tile of each page.
+            return PrunedSearch(self, list(carry), strips, first, first.limit(0), found)
+        found = materialise(found, "found")
         # The best score of each row of a strip, as a list in the order of the rows.
         best = found.groupBy("strip", "row").agg(F.max("score").alias("score"))
         best = best.groupBy("strip").agg(F.array_sort(F.collect_list(F.struct("row", "score"))).alias("items"))
