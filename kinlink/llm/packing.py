@@ -13,6 +13,7 @@ tasks, each by its own length and rank.
 
 import bisect
 import json
+import re
 from array import array
 
 import numpy as np
@@ -31,6 +32,7 @@ CAPACITY = 4096
 RUN_ROWS = 50_000
 
 
+_CONTROL = re.compile(rb"[\x00-\x08\x0e-\x1f\x7f]")
 _KIND = np.full(256, 3, np.uint8)
 _KIND[[0x20, 9, 10, 11, 12, 13]] = 0
 _KIND[97:123] = 1
@@ -111,14 +113,17 @@ class WordEncoder:
                     missing.append(i)
                 else:
                     self.young[keys[i]] = ids
-        text = raw.decode("latin-1").translate(self.letters) if missing else ""
+        # Printable ASCII stands for itself in byte-level vocabularies.
+        text = raw.decode("latin-1")
+        plain = not _CONTROL.search(raw)
         tokenize, encode = self.model.tokenize, self.tokenizer.encode
         for i in missing:
             start, stop, whole = spans[i]
             if whole:
                 ids = encode(keys[i].decode(), add_special_tokens=False).ids
             else:
-                ids = [t.id for t in tokenize(text[start:stop])]
+                piece = text[start:stop]
+                ids = [t.id for t in tokenize(piece if plain else piece.translate(self.letters))]
             found[i] = self.young[keys[i]] = array("I", ids).tobytes()
         if len(self.young) > CACHE_PIECES:
             self.old, self.young = self.young, {}
