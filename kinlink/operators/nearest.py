@@ -42,6 +42,8 @@ SLACK = 1e-9
 
 # Scores held at once inside a task (4 bytes each).
 _SCORES_AT_ONCE = 4_000_000
+# Pairs near a maximum that are scored exactly at once.
+_HITS_AT_ONCE = 20_000
 
 # Decimals to which real-valued dot products are rounded before they are ranked.
 DOT_DECIMALS = 6
@@ -95,11 +97,16 @@ def _best(asked, scaled, score, tie=0.0):
         rough = np.matmul(unit, turned, out=scores[: len(unit)])
         floor = (rough.max(axis=1) - margin[part]).astype(np.float32)[:, None]
         hits = np.flatnonzero(np.greater_equal(rough, floor, out=near[: len(unit)]))
-        row, col = np.divmod(hits, len(scaled))
-        value = score(row + start, col)
-        order = np.lexsort((col, -value, row))
-        first = order[np.unique(row[order], return_index=True)[1]]
-        best[part], top[part] = col[first], value[first]
+        # However many rows tie, a few are scored at a time; earlier ones win.
+        own, most = best[part], top[part]
+        most[:] = -np.inf
+        for at in range(0, len(hits), _HITS_AT_ONCE):
+            row, col = np.divmod(hits[at : at + _HITS_AT_ONCE], len(scaled))
+            value = score(row + start, col)
+            order = np.lexsort((col, -value, row))
+            first = order[np.unique(row[order], return_index=True)[1]]
+            first = first[value[first] > most[row[first]]]
+            own[row[first]], most[row[first]] = col[first], value[first]
     return best, top
 
 

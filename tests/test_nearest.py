@@ -1,7 +1,9 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pytest
 from brute import best as plain_best
 from brute import plan_text
 from pyspark.sql import functions as F
@@ -111,6 +113,19 @@ def test_near_equal_scores_are_ranked_exactly():
     assert (pick == scores.argmax(axis=1)).all() and (score == scores.max(axis=1)).all()
 
 
+def test_many_ties_need_little_memory():
+    known = np.tile(np.arange(1.0, 201.0), (4000, 1))
+    known[3999, 0] += 1
+    asked = np.tile(np.arange(2.0, 402.0, 2.0), (100, 1))
+    tracemalloc.start()
+    pick, score = cosine_best(asked, known)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (pick == 0).all() and score == pytest.approx(1.0)
+    assert peak < 200e6
+    assert dot_best(asked, known)[0].tolist() == [3999] * 100
+
+
 def test_dot_ties_go_to_first_row():
     points = np.array([[1.0, 0.0], [0.0, 0.0], [0.0, -2.0]])
     centres = np.array([[0.5, -1.0], [0.5 + 1e-9, -1.0], [0.4, 3.0]])
