@@ -193,17 +193,18 @@ def streamed_crosstab(spark, sf_dir):
     folder = scratch_path(spark, "stream")
     documents = table(spark, sf_dir, "documents")
     part = F.pmod(F.xxhash64("doc_id"), F.lit(3))
-    for number in range(3):
-        documents.where(part == number).coalesce(1).write.mode("append").parquet(f"{folder}/arrivals")
-    arrivals = spark.readStream.schema(DOCUMENT_SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{folder}/arrivals")
 
     def link(batch):
         signed = with_signature(document_queries(batch), "name", SHORT).drop("name")
         return index.link(materialise(signed, "batch"))
 
     kept = ("id", "category", "payload")
-    run = stream_matches(arrivals, link, f"{folder}/matches", f"{folder}/progress", kept)
-    run.awaitTermination()
+    for number in range(3):
+        # As many files as tasks write; the stream goes on where it stopped, with all that is new.
+        documents.where(part == number).write.mode("append").parquet(f"{folder}/arrivals")
+        arrivals = spark.readStream.schema(DOCUMENT_SCHEMA).parquet(f"{folder}/arrivals")
+        run = stream_matches(arrivals, link, f"{folder}/matches", f"{folder}/progress", kept)
+        run.awaitTermination()
     schema = T.StructType([records.schema[name] for name in kept])
     run = stream_totals(spark, f"{folder}/matches", schema, f"{folder}/totals", f"{folder}/counting")
     run.awaitTermination()
