@@ -23,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from kinlink.functions.arrow import list_matrix
 from kinlink.session import materialise
@@ -42,6 +43,9 @@ SLACK = 1e-9
 
 # Scores held at once inside a task (4 bytes each).
 _SCORES_AT_ONCE = 4_000_000
+# Queries whose bounds are computed at once, and vectors of queries that go to tiles as one batch.
+_BOUNDS_AT_ONCE = 512
+_REQUESTED_AT_ONCE = 16_384
 # Pairs near a maximum that are scored exactly at once.
 _HITS_AT_ONCE = 20_000
 
@@ -232,6 +236,18 @@ def bounds(asked: np.ndarray, low: np.ndarray, high: np.ndarray, radius: np.ndar
     return best + SLACK * length[:, None] * radius[None, :]
 
 
+def _visits(asked, low, high, radius, found):
+    """Which tiles each query visits: the one of the largest bound, or the others that reach ``found``."""
+    visits = np.zeros((len(asked), len(low)), bool)
+    for start in range(0, len(asked), _BOUNDS_AT_ONCE):
+        part = slice(start, start + _BOUNDS_AT_ONCE)
+        upper = bounds(asked[part], low, high, radius)
+        if found is not None:
+            visits[part] = upper >= found[part, None]
+        visits[np.arange(start, start + len(upper)), upper.argmax(1)] = found is None
+    return visits
+
+
 def _routes(vec, unit, tie, first):
     """Rows (strip, page) to one request for each tile that queries of the strip visit."""
 
@@ -241,35 +257,31 @@ def _routes(vec, unit, tie, first):
                 row = batch.slice(r, 1)
                 column = row.column("all_" + vec)
                 vectors = column.flatten()
-                asked = list_matrix(vectors)[1].astype(np.float64)
+                asked = list_matrix(vectors)[1].astype(np.float64, copy=False)
                 if unit:
                     size = np.sqrt((asked * asked).sum(1, keepdims=True))
                     asked = asked / np.where(size == 0, 1, size)
                 cuts = row.column("cuts").flatten().to_numpy()
                 low, high = (list_matrix(row.column(c).flatten(), np.float64)[1] for c in ("lows", "highs"))
-                upper = bounds(asked, low, high, row.column("radii").flatten().to_numpy())
-                if first:
-                    visits = np.zeros(upper.shape, bool)
-                    visits[np.arange(len(asked)), upper.argmax(1)] = True
-                else:
-                    found = row.column("found").flatten().to_numpy(zero_copy_only=False)
-                    visits = upper >= (found - tie)[:, None]
-                    visits[np.arange(len(asked)), upper.argmax(1)] = False
-                tiles = np.flatnonzero(visits.any(0))
-                if not len(tiles):
-                    continue
-                rows = [np.flatnonzero(visits[:, t]) for t in tiles]
-                edges = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int32))
-                flat = np.concatenate(rows)
-                yield pa.record_batch(
-                    [
-                        pa.array(cuts[tiles]),
-                        pa.array(np.full(len(tiles), row.column("strip")[0].as_py())),
-                        pa.ListArray.from_arrays(edges, pa.array(flat.astype(np.int32))),
-                        pa.ListArray.from_arrays(edges, vectors.take(pa.array(flat))),
-                    ],
-                    ["cut", "strip", "rows", "asked"],
-                )
+                found = None if first else row.column("found").flatten().to_numpy(zero_copy_only=False) - tie
+                visits = _visits(asked, low, high, row.column("radii").flatten().to_numpy(), found)
+                counts = visits.sum(0)
+                tiles = np.flatnonzero(counts)
+                # A few tiles at a time: where bounds leave out little, a strip goes to all of them.
+                upto = np.cumsum(counts[tiles])
+                runs = (upto - counts[tiles]) // _REQUESTED_AT_ONCE
+                for own in np.split(tiles, np.flatnonzero(np.diff(runs)) + 1) if len(tiles) else []:
+                    edges = pa.array(np.concatenate([[0], np.cumsum(counts[own])]).astype(np.int32))
+                    flat = np.concatenate([np.flatnonzero(visits[:, t]) for t in own])
+                    yield pa.record_batch(
+                        [
+                            pa.array(cuts[own]),
+                            pa.array(np.full(len(own), row.column("strip")[0].as_py())),
+                            pa.ListArray.from_arrays(edges, pa.array(flat.astype(np.int32))),
+                            pa.ListArray.from_arrays(edges, vectors.take(pa.array(flat))),
+                        ],
+                        ["cut", "strip", "rows", "asked"],
+                    )
 
     return run
 
@@ -322,19 +334,23 @@ class RecordIndex:
         """Of ``known(on, vec, id, more)``; with ``unit`` scores are cosines, else rounded products."""
         more = list(more)
         tiles = cut_in_order(known, on, vec, ["id", *more], tile_rows, unit)
-        tiles = materialise(tiles.withColumn("shelf", F.shiftright("cut", 32)), "tiles", ["shelf"])
+        tiles = materialise(tiles.withColumn("shelf", F.shiftright("cut", 32)), "tiles", ["shelf"], wide=True)
         # Pages of boxes, once for each copy: strips of one group meet different copies. A page
-        # has the tiles of a group that one shelf holds, up to a number.
-        page = F.call_function("div", F.col("cut"), F.lit(PAGE_TILES)).alias("page")
-        boxes = tiles.select(*on, page, F.struct("cut", "low", "high", "radius").alias("item"))
-        pages = boxes.groupBy(*on, "page").agg(F.array_sort(F.collect_list("item")).alias("items"))
+        # has the next tiles of a group, up to a number, on however many shelves they are: a
+        # query first visits one tile of each page, so pages must not grow with the shelves.
+        # Only the numbers of the tiles are put in order as one group.
+        place = F.row_number().over(Window.partitionBy(*on).orderBy("cut")) - 1
+        page = F.call_function("div", place, F.lit(PAGE_TILES)).alias("page")
+        numbered = tiles.select(*on, "cut").select("cut", page)
+        boxes = tiles.select(*on, "cut", F.struct("cut", "low", "high", "radius").alias("item"))
+        pages = boxes.join(numbered, "cut").groupBy(*on, "page").agg(F.array_sort(F.collect_list("item")).alias("items"))
         names = (("cut", "cuts"), ("low", "lows"), ("high", "highs"), ("radius", "radii"))
         pages = pages.select(
             *on,
             F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))).alias("copy"),
             *[F.col("items")[c].alias(name) for c, name in names],
         )
-        return cls(list(on), vec, more, unit, tiles, materialise(pages, "pages"))
+        return cls(list(on), vec, more, unit, tiles, materialise(pages, "pages", wide=True))
 
     def answers(self, requests: DataFrame, best_of) -> DataFrame:
         """``(strip, row, id, score, more)``: the best record of a visited tile for each query."""
@@ -359,7 +375,7 @@ class RecordIndex:
         tie = 0.0 if self.unit else 10.0**-DOT_DECIMALS
         on, vec = self.on, self.vec
         strips = cut_in_order(asked, on, vec, list(carry), strip_rows, self.unit).drop("low", "high", "radius")
-        strips = materialise(strips.withColumnRenamed("cut", "strip"), "strips")
+        strips = materialise(strips.withColumnRenamed("cut", "strip"), "strips", wide=True)
         copy = F.pmod(F.xxhash64("strip"), F.lit(COPIES)).cast("int").alias("copy")
         copied = strips.select(*on, "strip", "all_" + vec, copy)
         schema = T.StructType(
@@ -371,7 +387,7 @@ class RecordIndex:
             ]
         )
         first = copied.join(self.pages, [*on, "copy"]).mapInArrow(_routes(vec, self.unit, tie, True), schema)
-        first = materialise(first, "first")
+        first = materialise(first, "first", wide=True)
         found = self.answers(first, best_of)
         several = self.pages.where((F.col("copy") == 0) & (F.size("cuts") > 1))
         if several.isEmpty():
@@ -383,7 +399,7 @@ class RecordIndex:
         best = best.groupBy("strip").agg(F.array_sort(F.collect_list(F.struct("row", "score"))).alias("items"))
         best = best.select("strip", F.transform("items", lambda i: i["score"]).alias("found"))
         more = copied.join(best, "strip").join(self.pages.where(F.size("cuts") > 1), [*on, "copy"])
-        second = materialise(more.mapInArrow(_routes(vec, self.unit, tie, False), schema), "second")
+        second = materialise(more.mapInArrow(_routes(vec, self.unit, tie, False), schema), "second", wide=True)
         every = found.unionByName(self.answers(second, best_of))
         return PrunedSearch(self, list(carry), strips, first, second, every)
 

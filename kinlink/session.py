@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 # Largest driver-held side (centroids) that is shipped to every task, in bytes.
 BROADCAST_LIMIT = 64 * 1024 * 1024
 
+# Row groups of wide rows, and after how many rows their size is looked at.
+_WIDE = {"parquet.block.size": str(8 * 1024 * 1024), "parquet.page.size.row.check.min": "8"}
+
 _TO_DELETE: set[str] = set()
 
 
@@ -36,15 +39,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{top}/{uuid.uuid4().hex}/{name}"
 
 
-def materialise(df: DataFrame, name: str, folders: list[str] | None = None) -> DataFrame:
+def materialise(df: DataFrame, name: str, folders: list[str] | None = None, wide: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder, in ``folders`` by those columns, and read it back.
 
     Cuts the lineage at a table that outlives lost executors, and unlike a cache keeps
-    column pruning and real sizes for the readers.
+    column pruning and real sizes for the readers. ``wide`` is for rows of up to a megabyte:
+    thousands of rows of one row group are decoded at once, so a row group gets only some.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.mode("overwrite").parquet(path, partitionBy=folders)
+    options = _WIDE if wide else {}
+    df.write.mode("overwrite").options(**options).parquet(path, partitionBy=folders)
     return spark.read.schema(df.schema).parquet(path)
 
 

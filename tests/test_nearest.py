@@ -3,11 +3,14 @@ import re
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from brute import best as plain_best
 from brute import plan_text
 from pyspark.sql import functions as F
 
+from kinlink.operators import nearest
 from kinlink.operators.nearest import (
     RecordIndex,
     best_record,
@@ -18,6 +21,7 @@ from kinlink.operators.nearest import (
     index_records,
 )
 from kinlink.plans.link import link_by_block, unlinked
+from kinlink.session import materialise
 
 SCHEMA = "id bigint, block string, sig50 array<int>"
 
@@ -203,3 +207,37 @@ def test_standing_index_links_batches_and_reads_only_visited_shelves(spark):
     plan = plan_text(index.answers(one.first, cosine_best))
     assert re.search(r"PartitionFilters: \[[^\]]*shelf", plan)
     assert index.link(asked.limit(0)).count() == 0
+
+
+def test_a_query_first_visits_one_tile_however_many_shelves_its_group_is_on(spark):
+    known, asked = _directed(3000, 2), _directed(200, 3)
+    rows = spark.createDataFrame([(i, "hot", v.tolist()) for i, v in enumerate(known)], SCHEMA)
+    posed = spark.createDataFrame([(i, "hot", v.tolist()) for i, v in enumerate(asked)], SCHEMA).drop("id")
+    index = RecordIndex.of(rows, ["block"], "sig50", tile_rows=40)
+    assert index.tiles.select("shelf").distinct().count() > 1
+    first = index.search(posed, strip_rows=40).first
+    assert first.agg(F.sum(F.size("rows"))).first()[0] == len(asked)
+
+
+def test_requests_of_a_strip_go_out_a_few_tiles_at_a_time(monkeypatch):
+    monkeypatch.setattr(nearest, "_REQUESTED_AT_ONCE", 30)
+    draw = np.random.default_rng(4)
+    asked = draw.integers(1, 100, (20, 5)).astype(np.int32)
+    low, high = np.zeros((12, 5)), np.ones((12, 5))
+    row = pa.record_batch(
+        [pa.array([7])]
+        + [pa.array([x.tolist()]) for x in (asked, np.arange(12), low, high, np.ones(12), np.zeros(20))],
+        ["strip", "all_sig50", "cuts", "lows", "highs", "radii", "found"],
+    )
+    sent = list(nearest._routes("sig50", True, 0.0, False)(iter([row])))
+    assert len(sent) > 1 and max(sum(map(len, b["rows"].to_pylist())) for b in sent) <= 60
+    pairs = [(c, r, tuple(v)) for b in sent for c, rs, vs in zip(*(b[n].to_pylist() for n in ("cut", "rows", "asked"))) for r, v in zip(rs, vs)]
+    # All but the tile that was visited first, which here is the first one.
+    assert sorted(pairs) == [(c, r, tuple(asked[r].tolist())) for c in range(1, 12) for r in range(20)]
+
+
+def test_wide_rows_are_written_in_small_row_groups(spark, tmp_path):
+    rows = spark.range(0, 64, 1, 1).select("id", F.transform(F.sequence(F.lit(1), F.lit(200_000)), lambda i: F.xxhash64(i, "id")).alias("v"))
+    files = materialise(rows, "wide", wide=True).inputFiles()
+    groups = [pq.ParquetFile(f.removeprefix("file:")).metadata.num_row_groups for f in files]
+    assert sum(groups) >= 4
