@@ -25,7 +25,9 @@ _CHUNK = 16384
 
 # Characters whose shingles are made at once, and hashes remembered, inside a task.
 _PIECE = 400_000
-_KNOWN = 500_000
+_KNOWN = 150_000
+# Texts that are Python objects at once.
+_ROWS = 64
 
 
 def hash_family(length: int) -> list[tuple[int, int]]:
@@ -128,6 +130,12 @@ def _text_minima(texts, family, length, known):
     return _minima(numbers[gram], offsets, family, length)
 
 
+def _texts(column):
+    """The texts of a column, a few at a time as Python objects."""
+    for start in range(0, len(column), _ROWS):
+        yield from column.slice(start, _ROWS).to_pylist()
+
+
 def _pieces(texts):
     """(row, text) pieces of at most ``_PIECE`` characters that overlap by two."""
     for row, text in enumerate(texts):
@@ -162,7 +170,7 @@ def signature(name: Column, length: int = LONG) -> Column:
     def compute(column: pa.Array) -> pa.Array:
         out = np.full((len(column), length), MODULUS, dtype=np.int32)
         known = {}
-        for run in _runs(_pieces(column.to_pylist())):
+        for run in _runs(_pieces(_texts(column))):
             rows, starts = np.unique([row for row, _ in run], return_index=True)
             minima = _text_minima([text for _, text in run], family, length, known)
             out[rows] = np.minimum(out[rows], np.minimum.reduceat(minima, starts, axis=0))

@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 from brute import native_signature, plan_text
 from hypothesis import HealthCheck, given, settings
@@ -122,3 +123,10 @@ def test_signature_needs_no_shuffle(spark):
     rows = spark.range(10).selectExpr("id", "concat('name', id) AS name")
     plan = plan_text(rows.select("id", signature(F.col("name"), 50)))
     assert "Exchange" not in plan
+
+
+def test_only_a_few_texts_are_python_objects_at_once(monkeypatch):
+    monkeypatch.setattr(signatures, "_ROWS", 3)
+    column = pa.array(["abcd", None, "", "efgh", "ijkl", "mn", "opq"])
+    texts = signatures._texts(column)
+    assert iter(texts) is texts and list(texts) == column.to_pylist()
