@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,8 @@ from kinlink.llm.pretokens import PieceEncoder, added_tokens, byte_letters
 
 # Transitions that a task keeps; they are looked up again after that many new ones.
 TRANSITIONS = 200_000
+# Bytes of texts that are encoded at once: their arrays take some thirty times as much.
+SLICE = 1 << 20
 
 
 class TokenAutomaton:
@@ -34,19 +37,19 @@ class TokenAutomaton:
 
     def __init__(self, tokens: list[bytes], merges: list[tuple[int, int, int]]):
         self.labels, self.met = tokens, 0
-        self.copied: dict[int, tuple[int, int]] = {}
-        self.beside: dict[int, tuple[int, int]] = {}
-        self.lost: dict[tuple[int, int], int] = {}
+        # The token copied and the one put in beside, with the number of the merge: -1 for none.
+        self.copied, self.beside, self.since = (array("i", [-1]) * len(tokens) for _ in range(3))
+        # A lost arc has one number for state and token.
+        self.lost: dict[int, int] = {}
         for k, (u, v, w) in enumerate(merges):
-            self.lost[u, v] = k
-            self.copied[w] = (v, k)
-            self.beside[w] = (u, k)
+            self.lost[u * len(tokens) + v] = k
+            self.copied[w], self.beside[w], self.since[w] = v, u, k
 
     def trie(self) -> dict:
         """The labels by their bytes; under -1 the token that ends there."""
         root: dict = {}
         for token, label in enumerate(self.labels):
-            if label is not None and (token in self.copied or len(label) == 1):
+            if label is not None and (self.copied[token] >= 0 or len(label) == 1):
                 node = root
                 for byte in label:
                     node = node.setdefault(byte, {})
@@ -55,20 +58,21 @@ class TokenAutomaton:
 
     def has_arc(self, state: int, token: int) -> bool:
         """Whether ``token`` may follow in the state after the token ``state``."""
-        lost, copied, beside = self.lost, self.copied, self.beside
+        lost, copied, beside, merged = self.lost, self.copied, self.beside, self.since
+        tokens = len(copied)
         until = len(lost)
         while True:
             arc, since = token, len(lost)
             while True:
-                k = lost.get((state, arc))
+                k = lost.get(state * tokens + arc)
                 if k is not None and k < until and k <= since:
                     return False
-                if arc not in beside:
+                if beside[arc] < 0:
                     break
-                arc, since = beside[arc]
-            if state not in copied:
+                arc, since = beside[arc], merged[arc]
+            if copied[state] < 0:
                 return True
-            state, until = copied[state]
+            state, until = copied[state], merged[state]
 
     def encode(self, piece: bytes, trie: dict, table: dict[int, dict[int, bool]]) -> list[int]:
         """Tokens of one piece; ``table`` holds the transitions out of each state met so far."""
@@ -145,7 +149,7 @@ def encode_decode(
         label = labels.__getitem__
         for batch in batches:
             data, offsets = W.text_bytes(batch.column(1))
-            for a, b in W.slices(offsets):
+            for a, b in W.slices(offsets, SLICE):
                 ids, counts = encoder.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 ends = np.cumsum(counts).tolist()
                 one, two, texts, rows = [], [], [], []

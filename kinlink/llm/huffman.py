@@ -123,10 +123,10 @@ def library_encoder(model_json: str, added: dict[str, int]) -> PieceEncoder:
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_str(model_json).model
-    letters = str.maketrans(dict(enumerate(byte_letters())))
+    letters = np.array([ord(letter) for letter in byte_letters()], "<u2")
 
     def pieces(raw: bytes, spans: list[tuple[int, int]]):
-        shown = raw.decode("latin-1").translate(letters) if spans else ""
+        shown = letters[np.frombuffer(raw, np.uint8)].tobytes().decode("utf-16-le") if spans else ""
         return ([t.id for t in model.tokenize(shown[s:e])] for s, e in spans)
 
     return PieceEncoder(pieces, added)

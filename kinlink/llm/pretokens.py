@@ -127,18 +127,21 @@ class PieceEncoder:
 
     def _known(self, raw: bytes, spans: list[tuple[int, int]]) -> list[bytes]:
         keys = [raw[s:e] for s, e in spans]
-        found = list(map(self.young.get, keys))
+        young, old, added = self.young, self.old, self.added
+        found = list(map(young.get, keys))
         missing = []
-        for i, ids in enumerate(found):
+        for i in [i for i, ids in enumerate(found) if ids is None]:
+            key = keys[i]
+            ids = old.get(key)
             if ids is None:
-                ids = found[i] = self.old.get(keys[i])
-                if ids is None:
-                    missing.append(i)
-                else:
-                    self.young[keys[i]] = ids
+                missing.append(i)
+            else:
+                young[key] = found[i] = ids
         for i, ids in zip(missing, self.encode_pieces(raw, [spans[i] for i in missing])):
-            own = self.added.get(keys[i])
-            found[i] = self.young[keys[i]] = array("I", ids if own is None else [own]).tobytes()
+            key = keys[i]
+            if key in added:
+                ids = [added[key]]
+            found[i] = young[key] = array("I", ids).tobytes()
         if len(self.young) > CACHE_PIECES:
             self.old, self.young = self.young, {}
         return found
