@@ -6,6 +6,7 @@ and token counts, the bits, and a checkpoint, the bit at which it begins, for ea
 ``BLOCK`` tokens of a document. Blocks are decoded independently and side by side.
 """
 
+import json
 import zlib
 
 import numpy as np
@@ -15,13 +16,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinlink.llm import words as W
-from kinlink.llm.pretokens import PieceEncoder, added_tokens, byte_letters
+from kinlink.llm.pretokens import TableEncoder, added_tokens, byte_letters
 from kinlink.llm.tables import discard, store
 
 # The longest code in bits; the decoding table has 2**LIMIT entries.
 LIMIT = 18
 BLOCK = 256
 SEGMENT = 1 << 18
+# Ids that are counted at once.
+COUNTED = 1 << 20
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -59,13 +62,14 @@ class Code:
         width = np.int64(1) << (LIMIT - lengths)
         first = np.cumsum(width) - width
         size = int(tokens.max()) + 1 if len(tokens) else 1
+        if size > 1 << 27:
+            raise ValueError("ids have to be below 2**27")
         self.bits, self.length = np.zeros(size, np.uint32), np.zeros(size, np.int64)
         self.bits[tokens] = first >> (LIMIT - lengths)
         self.length[tokens] = lengths
-        self.token = np.zeros(1 << LIMIT, np.uint32)
-        self.size = np.ones(1 << LIMIT, np.uint8)
-        self.token[: width.sum()] = np.repeat(tokens, width)
-        self.size[: width.sum()] = np.repeat(lengths, width)
+        # A token and, in the lowest five bits, the length of its code.
+        self.entry = np.ones(1 << LIMIT, np.uint32)
+        self.entry[: width.sum()] = np.repeat(tokens << 5 | lengths, width)
 
     def encode(self, ids: np.ndarray, counts: np.ndarray) -> tuple[bytes, np.ndarray]:
         """The bits of some documents one after the other, and where each block begins.
@@ -79,29 +83,37 @@ class Code:
         sizes = (upto[ends] - before + 7) >> 3
         at = upto[:-1] + np.repeat((np.cumsum(sizes) - sizes) * 8 - before, counts)
         total = int(sizes.sum())
-        value = self.bits[ids].astype(np.uint64) << (32 - lengths - (at & 7)).astype(np.uint64)
-        byte = at >> 3
-        out = np.zeros(total + 4)
-        for k in range(4):
-            out += np.bincount(byte + k, ((value >> np.uint64(24 - 8 * k)) & np.uint64(255)).astype(np.float64), len(out))
         first, _ = blocks(counts)
-        return out[:total].astype(np.uint8).tobytes(), at[first]
+        # Codes that begin in one word of 64 bits are added up; its last may go on in the next.
+        word, free = at >> 6, 64 - lengths - (at & 63)
+        heads = np.flatnonzero(np.diff(word, prepend=-1))
+        bits = self.bits[ids].astype(np.uint64)
+        out = np.zeros(total // 8 + 2, np.uint64)
+        over = np.flatnonzero(free < 0)
+        tail = bits[over] << (64 + free[over]).astype(np.uint64)
+        bits[over] >>= (-free[over]).astype(np.uint64)
+        bits <<= np.maximum(free, 0).astype(np.uint64)
+        if len(heads):
+            out[word[heads]] = np.add.reduceat(bits, heads)
+        out[word[over] + 1] |= tail
+        return out.astype(">u8").tobytes()[:total], at[first]
 
     def decode(self, data: bytes, counts: np.ndarray, checkpoints: np.ndarray) -> np.ndarray:
         """All ids of a segment, every block at once, one table look-up for each token."""
         first, sizes = blocks(counts)
         if not len(first):
             return np.zeros(0, np.uint32)
-        raw = np.frombuffer(data + bytes(8), np.uint8).astype(np.uint32)
+        # Blocks that have ended go on reading, over the zeros that follow.
+        raw = np.frombuffer(data + bytes(BLOCK * LIMIT // 8 + 8), np.uint8).astype(np.uint32)
         window = (raw[:-3] << 24) | (raw[1:-2] << 16) | (raw[2:-1] << 8) | raw[3:]
-        at = checkpoints.astype(np.int64).copy()
-        out = np.empty((len(first), int(sizes.max())), np.uint32)
-        for step in range(out.shape[1]):
-            place = np.minimum(at >> 3, len(window) - 1)
-            code = ((window[place] << (at & 7).astype(np.uint32)) & np.uint32(0xFFFFFFFF)) >> np.uint32(32 - LIMIT)
-            out[:, step] = self.token[code]
-            at += self.size[code]
-        return out[np.arange(out.shape[1])[None, :] < sizes[:, None]]
+        at = checkpoints.astype(np.int64)
+        out = np.empty((int(sizes.max()), len(first)), np.uint32)
+        for step in out:
+            code = window[at >> 3] << (at & 7).astype(np.uint32)
+            code >>= np.uint32(32 - LIMIT)
+            np.take(self.entry, code, out=step, mode="clip")
+            at += step & np.uint32(31)
+        return (out >> np.uint32(5)).T[np.arange(len(out))[None, :] < sizes[:, None]]
 
 
 def blocks(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,22 +130,57 @@ def runs_of(counts: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(counts)]))
 
 
-def library_encoder(model_json: str, added: dict[str, int]) -> PieceEncoder:
-    """Pieces encoded by the BPE model of the tokenizers library."""
+def library_encoder(model_json: str, added: dict[str, int]) -> TableEncoder:
+    """Pieces encoded by the BPE model of the tokenizers library, many in one call."""
     from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import CharDelimiterSplit
 
     model = Tokenizer.from_str(model_json).model
+    library = Tokenizer(model)
+    # The letters that stand for bytes are printable, so a line break is none of them.
+    library.pre_tokenizer = CharDelimiterSplit("\n")
     letters = np.array([ord(letter) for letter in byte_letters()], "<u2")
+    vocabulary = library.get_vocab()
+    spelled = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+    spelled[[*vocabulary.values()]] = [len(text) for text in vocabulary]
+
+    def pieces(keys: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(ends):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        shown = np.insert(letters[keys], ends[:-1], ord("\n")).tobytes().decode("utf-16-le")
+        ids = np.array(library.encode_batch_fast([shown], add_special_tokens=False)[0].ids, np.uint32)
+        # Tokens spell their pieces, so their lengths tell where a piece ends.
+        upto = np.concatenate([[0], np.cumsum(spelled[ids])])
+        at = np.searchsorted(upto, ends)
+        if upto[-1] == ends[-1] and (upto[at] == ends).all():
+            return ids, np.diff(at, prepend=0)
+        each = [[t.id for t in model.tokenize(piece)] for piece in shown.split("\n")]
+        return np.array([i for own in each for i in own], np.uint32), np.array([len(own) for own in each])
+
+    return TableEncoder(pieces, added)
+
+
+def id_type(vocabulary: str, end: int) -> str:
+    """The type that ids are kept in between the steps: 16 bits if the largest one fits."""
+    with open(vocabulary, encoding="utf-8") as file:
+        known = json.load(file)["model"]["vocab"]
+    largest = max([end, *known.values(), *added_tokens(vocabulary).values()])
+    return "<u2" if largest < 1 << 16 else "<u4"
 
-    def pieces(raw: bytes, spans: list[tuple[int, int]]):
-        shown = letters[np.frombuffer(raw, np.uint8)].tobytes().decode("utf-16-le") if spans else ""
-        return ([t.id for t in model.tokenize(shown[s:e])] for s, e in spans)
 
-    return PieceEncoder(pieces, added)
+def flat_ids(column, kind: str) -> np.ndarray:
+    """All ids of a binary column, one row after the other, without a copy."""
+    column = column.cast(pa.large_binary())
+    edges = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    data = np.zeros(0, np.uint8) if data is None else np.frombuffer(data, np.uint8)
+    return data[edges[0] : edges[-1]].view(kind)
 
 
 def token_ids(docs: DataFrame, vocabulary: str, end: int, id_column: str, text_column: str) -> DataFrame:
-    """(id, n, ids): the ids of each whole text and the end id, as little-endian 32 bits in ids."""
+    """(id, n, ids): the ids of each whole text and the end id, little-endian in ids (see ``id_type``)."""
+    kind = id_type(vocabulary, end)
+    width = np.dtype(kind).itemsize
     with open(vocabulary, encoding="utf-8") as file:
         shared = docs.sparkSession.sparkContext.broadcast((file.read(), added_tokens(vocabulary)))
 
@@ -143,8 +190,8 @@ def token_ids(docs: DataFrame, vocabulary: str, end: int, id_column: str, text_c
             data, offsets = W.text_bytes(batch.column(1))
             for a, b in W.slices(offsets):
                 ids, counts = encoder.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                ids = np.insert(ids, np.cumsum(counts), np.uint32(end)).astype("<u4")
-                edges = np.concatenate([[0], np.cumsum(counts + 1)]) * 4
+                ids = np.insert(ids, np.cumsum(counts), np.uint32(end)).astype(kind)
+                edges = np.concatenate([[0], np.cumsum(counts + 1)]) * width
                 column = pa.Array.from_buffers(
                     pa.large_binary(), b - a, [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(ids)]
                 ).cast(pa.binary())
@@ -154,16 +201,18 @@ def token_ids(docs: DataFrame, vocabulary: str, end: int, id_column: str, text_c
     return rows.mapInArrow(W.tidy(encoded), "id long, n long, ids binary")
 
 
-def global_counts(ids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def global_counts(ids: DataFrame, kind: str) -> tuple[np.ndarray, np.ndarray]:
     """Every id that occurs and how often; as many rows as the vocabulary has at most."""
 
     def counted(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            own = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u4"))
-            if len(own) > len(total):
-                own, total = total, own
-            total[: len(own)] += own
+            flat = flat_ids(batch.column(0), kind)
+            for a in range(0, len(flat), COUNTED):
+                own = np.bincount(flat[a : a + COUNTED])
+                if len(own) > len(total):
+                    own, total = total, own
+                total[: len(own)] += own
         used = np.flatnonzero(total)
         yield pa.record_batch([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["token", "count"])
 
@@ -172,7 +221,7 @@ def global_counts(ids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return table["token"].to_numpy(), table["count"].to_numpy()
 
 
-def document_codes(ids: DataFrame, tokens: np.ndarray, lengths: np.ndarray) -> DataFrame:
+def document_codes(ids: DataFrame, kind: str, tokens: np.ndarray, lengths: np.ndarray) -> DataFrame:
     """(id, n, bits, marks): each document's code and the bits at which its blocks begin.
 
     Documents are put in order as codes, which are a third of the size of their ids.
@@ -183,10 +232,9 @@ def document_codes(ids: DataFrame, tokens: np.ndarray, lengths: np.ndarray) -> D
         code = Code(*shared.value)
         for batch in batches:
             counts = batch.column(1).to_numpy()
-            own = batch.column(2).to_pylist()
+            flat, upto = flat_ids(batch.column(2), kind), np.concatenate([[0], np.cumsum(counts)])
             for a, b in runs_of(counts):
-                flat = np.frombuffer(b"".join(own[a:b]), "<u4").astype(np.int64)
-                bits, marks = code.encode(flat, counts[a:b])
+                bits, marks = code.encode(flat[upto[a] : upto[b]].astype(np.int64), counts[a:b])
                 each = -(-counts[a:b] // BLOCK)
                 cuts = np.concatenate([[0], np.cumsum(each)]).astype(np.int32)
                 # Every document has a block, as it has an end id.
@@ -217,12 +265,13 @@ def write_tokens(
     """
     spark = docs.sparkSession
     ids = store(token_ids(docs, vocabulary, end, id_column, text_column), "ids", "zstd")
-    tokens, counts = global_counts(ids)
+    kind = id_type(vocabulary, end)
+    tokens, counts = global_counts(ids, kind)
     lengths = code_lengths(counts)
     codes = spark.createDataFrame(
         pa.table({"token": pa.array(tokens, pa.int64()), "length": pa.array(lengths, pa.int64())})
     )
-    coded = store(document_codes(ids, tokens, lengths), "coded")
+    coded = store(document_codes(ids, kind, tokens, lengths), "coded")
     discard(ids)
 
     def packed(batches):

@@ -17,6 +17,8 @@ from kinlink.llm import words as W
 
 # Pieces of each of the two generations that a task keeps.
 CACHE_PIECES = 100_000
+# The same for tables, which take some 60 bytes for a piece where dictionaries take 200.
+TABLE_PIECES = 300_000
 _SPACES = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
@@ -93,6 +95,14 @@ def piece_starts(text: str, points: np.ndarray, offsets: np.ndarray, added=()) -
     return np.flatnonzero(starts)
 
 
+def gathered(values: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The values of some ranges one after the other."""
+    upto = np.cumsum(sizes)
+    total = int(upto[-1]) if len(upto) else 0
+    kind = np.int32 if max(total, len(values)) < 2**31 else np.int64
+    return values[np.arange(total, dtype=kind) + np.repeat((first - upto + sizes).astype(kind), sizes)]
+
+
 def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The kind of each span of bytes, and one span of each kind; equal content is one kind.
 
@@ -112,6 +122,52 @@ def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tu
     return code, sample
 
 
+class PieceTable:
+    """Ids of pieces in a few arrays. A hash finds a piece, and its bytes have to be equal."""
+
+    def __init__(self):
+        # Hashes in order and which piece each is of; then one row for each piece.
+        self.hashes, self.piece = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.keys, self.ids = np.zeros(0, np.uint8), np.zeros(0, np.uint32)
+        self.key_end, self.id_end, self.id_count = (np.zeros(0, np.int64) for _ in range(3))
+
+    def find(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """The number of each span of ``data`` in this table, -1 for those it does not have."""
+        found = np.full(len(hashes), -1)
+        if not len(self.hashes):
+            return found
+        order = np.argsort(hashes)
+        at = np.minimum(np.searchsorted(self.hashes, hashes[order]), len(self.hashes) - 1)
+        same = self.hashes[at] == hashes[order]
+        spans, pieces = order[same], self.piece[at[same]]
+        begin = np.concatenate([[0], self.key_end])[pieces]
+        equal = self.key_end[pieces] - begin == sizes[spans]
+        spans, pieces, begin = spans[equal], pieces[equal], begin[equal]
+        own, held = gathered(data, starts[spans], sizes[spans]), gathered(self.keys, begin, sizes[spans])
+        differ = np.searchsorted(np.cumsum(sizes[spans]), np.flatnonzero(own != held), "right")
+        found[spans] = pieces
+        found[spans[differ]] = -1
+        return found
+
+    def add(self, hashes: np.ndarray, keys: np.ndarray, sizes: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Put in pieces, given one after the other; their numbers."""
+        number = len(self.key_end) + np.arange(len(hashes))
+        order = np.argsort(hashes)
+        at = np.searchsorted(self.hashes, hashes[order])
+        self.hashes = np.insert(self.hashes, at, hashes[order])
+        self.piece = np.insert(self.piece, at, number[order])
+        self.key_end = np.concatenate([self.key_end, len(self.keys) + np.cumsum(sizes)])
+        self.id_end = np.concatenate([self.id_end, len(self.ids) + np.cumsum(counts)])
+        self.id_count = np.concatenate([self.id_count, counts])
+        self.keys, self.ids = np.concatenate([self.keys, keys]), np.concatenate([self.ids, ids])
+        return number
+
+    def ids_of(self, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of some pieces begin in ``ids``, and how many they are."""
+        counts = self.id_count[pieces]
+        return self.id_end[pieces] - counts, counts
+
+
 class PieceEncoder:
     """Token ids of whole texts, from a function that encodes pieces to ids.
 
@@ -146,6 +202,12 @@ class PieceEncoder:
             self.old, self.young = self.young, {}
         return found
 
+    def pieces(self, data: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray):
+        """Some ids, and where those of each of the different pieces begin and how many they are."""
+        pieces = self._known(raw, list(zip(starts.tolist(), ends.tolist())))
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) >> 2
+        return np.frombuffer(b"".join(pieces), np.uint32), np.cumsum(sizes) - sizes, sizes
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a slice of texts, as unsigned 32 bits, and the number of ids of each text."""
         raw = data.tobytes()
@@ -159,12 +221,51 @@ class PieceEncoder:
         begin = place[starts]
         end = np.append(begin[1:], len(data))
         code, sample = distinct_spans(data, begin, end)
-        pieces = self._known(raw, list(zip(begin[sample].tolist(), end[sample].tolist())))
-        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) >> 2
-        blob = np.frombuffer(b"".join(pieces), np.uint32)
-        first = np.cumsum(sizes) - sizes
+        blob, first, sizes = self.pieces(data, raw, begin[sample], end[sample])
         each = sizes[code]
-        upto = np.cumsum(each)
-        ids = blob[np.arange(upto[-1]) + np.repeat(first[code] - upto + each, each)]
-        whole = np.concatenate([[0], upto])[np.searchsorted(starts, offsets)]
+        ids = gathered(blob, first[code], each)
+        whole = np.concatenate([[0], np.cumsum(each)])[np.searchsorted(starts, offsets)]
         return ids, np.diff(whole)
+
+
+class TableEncoder(PieceEncoder):
+    """The same with the pieces that a task has met in two tables instead of dictionaries.
+
+    ``encode_pieces(keys, ends)`` gives all ids of pieces that stand one after the other and
+    end at ``ends``, and how many each has.
+    """
+
+    def __init__(self, encode_pieces, added: dict[str, int]):
+        super().__init__(encode_pieces, added)
+        self.young, self.old = PieceTable(), PieceTable()
+        if added:
+            keys = [np.frombuffer(token, np.uint8) for token in self.added]
+            sizes = np.array([len(key) for key in keys])
+            joined, one = np.concatenate(keys), np.ones(len(keys), np.int64)
+            hashes = W.span_hashes(joined, np.cumsum(sizes) - sizes, np.cumsum(sizes), 1)
+            self.whole = PieceTable()
+            self.whole.add(hashes, joined, sizes, np.array([*self.added.values()], np.uint32), one)
+        else:
+            self.whole = PieceTable()
+
+    def pieces(self, data, raw, starts, ends):
+        sizes, hashes = ends - starts, W.span_hashes(data, starts, ends, 1)
+        number = self.young.find(data, starts, sizes, hashes)
+        rest, moved, more = np.flatnonzero(number < 0), [], []
+        # The added tokens stand first, so that they are never encoded as other pieces.
+        for table in (self.whole, self.old):
+            at = table.find(data, starts[rest], sizes[rest], hashes[rest])
+            first, counts = table.ids_of(at[at >= 0])
+            more.append((gathered(table.ids, first, counts), counts))
+            moved.append(rest[at >= 0])
+            rest = rest[at < 0]
+        keys = gathered(data, starts[rest], sizes[rest])
+        more.append(self.encode_pieces(keys, np.cumsum(sizes[rest])))
+        rest = np.concatenate([*moved, rest])
+        keys = gathered(data, starts[rest], sizes[rest])
+        ids, counts = (np.concatenate(x) for x in zip(*more))
+        number[rest] = self.young.add(hashes[rest], keys, sizes[rest], ids, counts)
+        out = (self.young.ids, *self.young.ids_of(number))
+        if len(self.young.key_end) > TABLE_PIECES:
+            self.old, self.young = self.young, PieceTable()
+        return out
