@@ -7,6 +7,7 @@ and token counts, the bits, and a checkpoint, the bit at which it begins, for ea
 """
 
 import json
+import os
 import zlib
 
 import numpy as np
@@ -23,6 +24,8 @@ from kinlink.llm.tables import discard, store
 LIMIT = 18
 BLOCK = 256
 SEGMENT = 1 << 18
+# Pieces in one text for the library: longer texts take longer for each piece.
+TOGETHER = 256
 # Ids that are counted at once.
 COUNTED = 1 << 20
 
@@ -132,6 +135,8 @@ def runs_of(counts: np.ndarray) -> list[tuple[int, int]]:
 
 def library_encoder(model_json: str, added: dict[str, int]) -> TableEncoder:
     """Pieces encoded by the BPE model of the tokenizers library, many in one call."""
+    # A task has one core.
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
     from tokenizers.pre_tokenizers import CharDelimiterSplit
 
@@ -148,7 +153,9 @@ def library_encoder(model_json: str, added: dict[str, int]) -> TableEncoder:
         if not len(ends):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         shown = np.insert(letters[keys], ends[:-1], ord("\n")).tobytes().decode("utf-16-le")
-        ids = np.array(library.encode_batch_fast([shown], add_special_tokens=False)[0].ids, np.uint32)
+        cuts = [0, *(ends + np.arange(1, len(ends) + 1))[TOGETHER - 1 : -1 : TOGETHER].tolist(), len(shown) + 1]
+        parts = (library.encode_batch_fast([shown[a : b - 1]], add_special_tokens=False)[0] for a, b in zip(cuts, cuts[1:]))
+        ids = np.concatenate([np.array(part.ids, np.uint32) for part in parts])
         # Tokens spell their pieces, so their lengths tell where a piece ends.
         upto = np.concatenate([[0], np.cumsum(spelled[ids])])
         at = np.searchsorted(upto, ends)

@@ -40,7 +40,8 @@ def added_tokens(vocabulary: str) -> dict[str, int]:
 
 def classes(points: np.ndarray) -> np.ndarray:
     """Letter, number, white space or other, for each code point."""
-    seen = np.bincount(points)
+    seen = np.zeros(int(points.max()) + 1, bool)
+    seen[points] = True
     table = np.zeros(len(seen), np.uint8)
     for point in np.flatnonzero(seen).tolist():
         first = unicodedata.category(chr(point))[0]
