@@ -271,8 +271,10 @@ def write_tokens(
     come first; rows that repeat an id are ordered by size and code.
     """
     spark = docs.sparkSession
-    ids = store(token_ids(docs, vocabulary, end, id_column, text_column), "ids", "zstd")
     kind = id_type(vocabulary, end)
+    # Ids of 16 bits take less than the later steps do, so they need no slow codec.
+    codec = "snappy" if kind == "<u2" else "zstd"
+    ids = store(token_ids(docs, vocabulary, end, id_column, text_column), "ids", codec)
     tokens, counts = global_counts(ids, kind)
     lengths = code_lengths(counts)
     codes = spark.createDataFrame(
